@@ -75,17 +75,19 @@ def date_columns(cells: Column) -> dict[str, Column]:
     A later cell of the same type replaces the date, but never clears an earlier raw text.
     """
     known = F.filter(cells, lambda c: date_type(c["label"]).isNotNull())
+
+    def last_of(kind: str) -> tuple[Column, Column]:
+        mine = F.filter(known, lambda c: date_type(c["label"]) == kind)
+        parsed = F.transform(mine, lambda c: parsed_date(F.lit(kind), c["text"]))
+        raws = F.transform(mine, lambda c: raw_date(F.lit(kind), c["text"]))
+        kept = F.filter(raws, lambda raw: raw.isNotNull())
+        return F.try_element_at(parsed, F.lit(-1)), F.try_element_at(kept, F.lit(-1))
+
     columns: dict[str, Column] = {}
-    raw_seen = F.size(known) == 0
+    inexact = F.size(known) == 0
     for name in DATE_TYPES:
-        mine = F.filter(known, lambda c, name=name: date_type(c["label"]) == name)
-        dates = F.transform(mine, lambda c, name=name: parsed_date(F.lit(name), c["text"]))
-        raws = F.filter(
-            F.transform(mine, lambda c, name=name: raw_date(F.lit(name), c["text"])),
-            lambda r: r.isNotNull(),
-        )
-        columns[name] = F.try_element_at(dates, F.lit(-1))
-        columns[f"{name}_raw"] = F.try_element_at(raws, F.lit(-1))
-        raw_seen = raw_seen | (F.size(raws) > 0)
-    columns["has_invalid_dates"] = raw_seen
+        columns[name], raw = last_of(name)
+        columns[f"{name}_raw"] = raw
+        inexact = inexact | raw.isNotNull()
+    columns["has_invalid_dates"] = inexact
     return columns

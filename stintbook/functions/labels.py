@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from stintbook.functions.text import strip
-from stintbook.schema import DATE_MAX, DATE_MIN
+from stintbook.schema import DATE_MAX, DATE_MIN, day
 
 # A line-up shows the first of these that any member carries.
 VERSION_PRIORITY = ("-", "CS1.6", "CS:S", "CS:GO", "CS2")
@@ -57,8 +57,8 @@ def date_text(date: Column, as_of: dt.date) -> Column:
     """``5 Jan 2024``; ``-`` for none, ``Unknown`` and ``Present`` for the open ends."""
     return (
         F.when(date.isNull(), F.lit("-"))
-        .when(date == F.lit(DATE_MIN), F.lit("Unknown"))
-        .when((date == F.lit(DATE_MAX)) | (date == F.lit(as_of)), F.lit("Present"))
+        .when(date == day(DATE_MIN), F.lit("Unknown"))
+        .when((date == day(DATE_MAX)) | (date == day(as_of)), F.lit("Present"))
         .otherwise(F.date_format(date, "d MMM yyyy"))
     )
 

@@ -10,7 +10,7 @@ import datetime as dt
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stintbook.schema import DATE_MAX, DATE_MIN
+from stintbook.schema import DATE_MAX, DATE_MIN, day
 
 
 def is_clean() -> Column:
@@ -50,24 +50,24 @@ def stored_end() -> Column:
 
 
 def period_start() -> Column:
-    return F.coalesce(F.col("join_date"), F.lit(DATE_MIN))
+    return F.coalesce(F.col("join_date"), day(DATE_MIN))
 
 
 def period_end() -> Column:
     """End of the period shown in line-ups; open stints run to 9999-12-31."""
-    return F.coalesce(F.col("inactive_date"), F.col("leave_date"), F.lit(DATE_MAX))
+    return F.coalesce(F.col("inactive_date"), F.col("leave_date"), day(DATE_MAX))
 
 
 def overlap_end(as_of: dt.date) -> Column:
     """End used for overlaps: the earlier of both dates, a missing one standing for ``as_of``."""
     return F.least(
-        F.coalesce(F.col("inactive_date"), F.lit(as_of)),
-        F.coalesce(F.col("leave_date"), F.lit(as_of)),
+        F.coalesce(F.col("inactive_date"), day(as_of)),
+        F.coalesce(F.col("leave_date"), day(as_of)),
     )
 
 
 def in_window(date_from: dt.date, date_to: dt.date) -> Column:
     """The stint touches the closed window; a missing date never excludes it."""
-    joined = F.col("join_date").isNull() | (F.col("join_date") <= F.lit(date_to))
+    joined = F.col("join_date").isNull() | (F.col("join_date") <= day(date_to))
     ended = F.col("inactive_or_leave_date")
-    return joined & (ended.isNull() | (ended >= F.lit(date_from)))
+    return joined & (ended.isNull() | (ended >= day(date_from)))

@@ -20,7 +20,7 @@ from stintbook.functions.predicates import (
     period_end,
     period_start,
 )
-from stintbook.schema import DEFAULT_FROM, MIN_SHOWN_DAYS, RECORD
+from stintbook.schema import DEFAULT_FROM, MIN_SHOWN_DAYS, RECORD, day
 
 
 def team_window(
@@ -98,8 +98,8 @@ def shown_segments(
     segments: DataFrame, date_from: dt.date | None, date_to: dt.date | None, as_of: dt.date
 ) -> DataFrame:
     """Segments with members, inside the open window, that last long enough."""
-    since = F.lit(date_from or DEFAULT_FROM)
-    until = F.lit(date_to or as_of + dt.timedelta(days=1))
+    since = day(date_from or DEFAULT_FROM)
+    until = day(date_to or as_of + dt.timedelta(days=1))
     return segments.filter(
         (F.col("members") > 0)
         & (F.col("end") > since)

@@ -18,6 +18,11 @@ def player_stints(stints: DataFrame, player_uid: str) -> DataFrame:
     return stints.filter(F.col("player_uid") == player_uid).select(*RECORD)
 
 
+def stints_of(stints: DataFrame, players: DataFrame) -> DataFrame:
+    """All stints of the players listed in a column ``player_uid``."""
+    return stints.join(players.select("player_uid"), "player_uid", "left_semi").select(*RECORD)
+
+
 def team_names(teams: DataFrame) -> DataFrame:
     return teams.select("unique_name")
 

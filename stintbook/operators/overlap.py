@@ -21,7 +21,7 @@ HEAVY_FLOOR = 100_000
 
 
 def clean_spans(stints: DataFrame, as_of: dt.date) -> DataFrame:
-    """Clean stints as ``(player_uid, team_id, start, end)``, each different one once.
+    """Clean stints as ``(player_uid, team_id, start, end)``.
 
     Intervals that end before they start overlap nothing and are dropped here.
     """
@@ -34,7 +34,6 @@ def clean_spans(stints: DataFrame, as_of: dt.date) -> DataFrame:
             overlap_end(as_of).alias("end"),
         )
         .filter(F.col("start") <= F.col("end"))
-        .distinct()
     )
 
 

@@ -18,6 +18,7 @@ from stintbook.operators.overlap import (
     overlaps_with,
     self_overlaps,
 )
+from stintbook.schema import day
 from stintbook.sources.shared import keep
 
 # How many times ``limit`` rows are tried to find a lower bound for a place in the top list.
@@ -71,8 +72,8 @@ def current_tenure(stints: DataFrame, as_of: dt.date, merge: str = "lag") -> Dat
     the rest. Under ``lag`` a join after ``as_of`` takes days away; under ``exact`` it adds none.
     """
     joined = F.col("join_date")
-    days = F.datediff(F.lit(as_of), joined)
-    first = F.greatest(F.datediff(F.lit(as_of), F.min(joined)), F.lit(0))
+    days = F.datediff(day(as_of), joined)
+    first = F.greatest(F.datediff(day(as_of), F.min(joined)), F.lit(0))
     if merge == "lag":
         total = first + F.sum(F.when(days < 0, days).otherwise(0))
     elif merge == "exact":
@@ -190,7 +191,7 @@ def pair_days(
     floor: int = HEAVY_FLOOR,
 ) -> DataFrame:
     """Days together of every pair that ever shared a team. The output is as large as that."""
-    spans = keep(clean_spans(stints, as_of), "spans")
+    spans = keep(clean_spans(stints, as_of).distinct(), "spans")
     together = self_overlaps(spans, True, heavy_teams(spans, share, floor))
     return covered_days(together, ["player1", "player2"], merge)
 
@@ -264,7 +265,7 @@ def pairs_with_most_time(
     So only players with enough days, and only first overlaps early enough to leave room for
     the needed days, are joined. The pairs found are then added up over all their teams.
     """
-    spans = keep(clean_spans(stints, as_of), "spans")
+    spans = keep(clean_spans(stints, as_of).distinct(), "spans")
     return pairs_with_most_time_of_spans(spans, merge, limit, share, floor)
 
 

@@ -44,7 +44,7 @@ def _section(number: int, table: DataFrame, keys: list[str], measure: str, days:
 
 
 def main_report(stints: DataFrame, as_of: dt.date, merge: str = "lag") -> DataFrame:
-    spans = keep(clean_spans(stints, as_of), "spans")
+    spans = keep(clean_spans(stints, as_of).distinct(), "spans")
     sections = [
         (rankings.longest_current_tenure(stints, as_of, merge, 5), ["player_uid", "team_id"],
          "total_days", True),

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # An unknown start and an open end of a membership period.
@@ -17,6 +19,11 @@ DEFAULT_FROM = dt.date(2000, 11, 9)
 MIN_SHOWN_DAYS = 3
 
 
+def day(date: dt.date) -> Column:
+    """A date constant. Passed as text, since Spark's Python literal drops leading zeros."""
+    return F.lit(date.isoformat()).cast("date")
+
+
 def _fields(spec: list[tuple[str, T.DataType]]) -> T.StructType:
     return T.StructType([T.StructField(name, kind, True) for name, kind in spec])
 
