@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintbook.schema import STINTS
@@ -98,11 +98,16 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def date_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One date cell per order line, ``(l_orderkey, l_linenumber, kind, text)``.
+def _cell_kind() -> Column:
+    return (
+        F.when(F.col("l_returnflag") == "A", "join_date")
+        .when(F.col("l_returnflag") == "R", "inactive_date")
+        .otherwise("leave_date")
+    )
 
-    The ship date is written in ten ways: exact, with unknown parts, missing, or odd.
-    """
+
+def _cell_text() -> Column:
+    """The ship date in one of ten ways: exact, with unknown parts, missing, or odd."""
     day = F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd")
     ways = [
         day,
@@ -116,17 +121,13 @@ def date_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.replace(day, F.lit("-"), F.lit("/")),
         F.left(day, F.lit(7)),
     ]
-    way = (F.col("l_quantity").cast("int") % 10) + 1
-    kind = (
-        F.when(F.col("l_returnflag") == "A", "join_date")
-        .when(F.col("l_returnflag") == "R", "inactive_date")
-        .otherwise("leave_date")
-    )
+    return F.element_at(F.array(*ways), (F.col("l_quantity").cast("int") % 10) + 1)
+
+
+def date_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One date cell per order line, ``(l_orderkey, l_linenumber, kind, text)``."""
     return table(spark, sf_dir, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        kind.alias("kind"),
-        F.element_at(F.array(*ways), way).alias("text"),
+        "l_orderkey", "l_linenumber", _cell_kind().alias("kind"), _cell_text().alias("text")
     )
 
 
@@ -136,15 +137,18 @@ def roster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     Lines 1 to 3 stand in a tab; of these, tab 3 is not about a game. Other lines take the
     game from the infobox, which names two games on even lines.
     """
-    cells = date_cells(spark, sf_dir)
-    lines = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_tax"
+    rows = table(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page_id"),
+        F.col("l_linenumber").alias("line"),
+        F.col("l_partkey").cast("string").alias("part"),
+        F.col("l_suppkey").cast("string").alias("supplier"),
+        F.when(F.col("l_tax") >= 0.05, "(Coach)").alias("position"),
+        _cell_kind().alias("kind"),
+        _cell_text().alias("text"),
     )
-    rows = lines.join(cells, ["l_orderkey", "l_linenumber"])
-    number = F.col("l_linenumber").cast("string")
-    supplier = F.col("l_suppkey").cast("string")
-    part = F.col("l_partkey").cast("string")
-    tabbed = F.col("l_linenumber") <= 3
+    # parsing is the costly part, so the still narrow rows are spread evenly before it
+    rows = rows.repartition("page_id")
+    line, part, supplier = F.col("line"), F.col("part"), F.col("supplier")
     caption = (
         F.when(F.col("kind") == "join_date", "Join Date:")
         .when(F.col("kind") == "inactive_date", "Inactive Date:")
@@ -155,25 +159,24 @@ def roster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit('<html><body><h1 id="firstHeading"><span>Team '),
         part,
         F.lit('</span></h1><div><div class="infobox-description">Games:</div><div><a>CS</a>'),
-        F.when(F.col("l_linenumber") % 2 == 0, "<a>CS2</a>"),
+        F.when(line % 2 == 0, "<a>CS2</a>"),
         F.lit('</div></div><h3><span id="Player_Roster">Player Roster</span></h3><div>'),
         F.lit('<ul class="nav-tabs"><li class="tab1 active">CS2</li><li class="tab2">CS:GO</li>'),
         F.lit('<li class="tab3">Notes</li></ul><div class="'),
-        F.when(tabbed, F.concat(F.lit("content"), number)).otherwise("plain"),
+        F.when(line <= 3, F.concat(F.lit("content"), line.cast("string"))).otherwise("plain"),
         F.lit('"><table class="roster-card"><tr class="Player"><td class="ID">'),
         F.lit('<span class="flag"><img title="Land '),
         supplier,
         F.lit('"></span><a href="'),
-        F.when(F.col("l_linenumber") == 5, "/index.php?title=S%C3%A9_")
-        .otherwise("/wiki/S%C3%A9_"),
+        F.when(line == 5, "/index.php?title=S%C3%A9_").otherwise("/wiki/S%C3%A9_"),
         supplier,
-        F.when(F.col("l_linenumber") == 5, "&amp;action=edit&amp;redlink=1"),
+        F.when(line == 5, "&amp;action=edit&amp;redlink=1"),
         F.lit('"> s'),
         supplier,
         F.lit(" </a>"),
-        F.when(F.col("l_linenumber") == 1, '<i title="Captain"></i>'),
+        F.when(line == 1, '<i title="Captain"></i>'),
         F.lit('</td><td class="Position"><i>'),
-        F.when(F.col("l_tax") >= 0.05, "(Coach)"),
+        F.col("position"),
         F.lit('</i></td><td class="Date"><div class="MobileStuffDate">'),
         caption,
         F.lit("</div><i>"),
@@ -183,7 +186,7 @@ def roster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("</table></div></body></html>"),
     )
     return rows.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("page_id"),
+        "page_id",
         F.concat(F.lit("https://wiki.example/game/Team_"), part).alias("url"),
         html.alias("html"),
     )

@@ -19,24 +19,26 @@ _ENDS = {
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "parent", "children")
+    """An element that knows the span of its own subtree in the page's document order."""
 
-    def __init__(self, tag: str, attrs: dict[str, str], parent: Element | None) -> None:
+    __slots__ = ("tag", "attrs", "classes", "parent", "children", "page", "begin", "end")
+
+    def __init__(
+        self, tag: str, attrs: dict[str, str], parent: Element | None, page: list[Element]
+    ) -> None:
         self.tag = tag
         self.attrs = attrs
+        self.classes = attrs["class"].split() if "class" in attrs else ()
         self.parent = parent
         self.children: list[Element | str] = []
+        self.page = page
+        self.begin = len(page)
+        self.end = self.begin + 1
+        page.append(self)
 
-    def has_class(self, name: str) -> bool:
-        return name in self.attrs.get("class", "").split()
-
-    def walk(self) -> Iterator[Element]:
-        """This element and all below it, in document order."""
-        stack = [self]
-        while stack:
-            element = stack.pop()
-            yield element
-            stack.extend(c for c in reversed(element.children) if isinstance(c, Element))
+    def below(self) -> list[Element]:
+        """All elements inside this one, in document order."""
+        return self.page[self.begin + 1 : self.end]
 
     def own_texts(self) -> list[str]:
         return [c for c in self.children if isinstance(c, str)]
@@ -63,23 +65,31 @@ Test = Callable[[Element], bool]
 
 
 def select(scope: Element, *path: Test) -> list[Element]:
-    """Elements matching the last test that lie below matches of the earlier ones."""
-    found = [e for e in scope.walk() if path[0](e)]
+    """Elements matching the last test that lie below matches of the earlier ones.
+
+    The scope itself can match the first test. The result is in document order.
+    """
+    found = [e for e in (scope, *scope.below()) if path[0](e)]
     for test in path[1:]:
-        below = {id(e): e for outer in found for e in outer.walk() if e is not outer and test(e)}
-        found = [e for e in scope.walk() if id(e) in below] if below else []
+        inner = {e.begin: e for outer in found for e in outer.below() if test(e)}
+        found = [inner[i] for i in sorted(inner)]
     return found
 
 
 class _Builder(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.root = self.open = Element("", {}, None)
+        self.page: list[Element] = []
+        self.open = Element("", {}, None, self.page)
+
+    def updatepos(self, i: int, j: int) -> int:
+        return j  # line numbers are not needed
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         while self.open.tag in _ENDS.get(tag, ()):
             self.open = self.open.parent
-        element = Element(tag, {name: value or "" for name, value in attrs}, self.open)
+        named = {name: value or "" for name, value in attrs}
+        element = Element(tag, named, self.open, self.page)
         self.open.children.append(element)
         if tag not in _VOID:
             self.open = element
@@ -106,4 +116,7 @@ def parse(html: str) -> Element:
     builder = _Builder()
     builder.feed(html)
     builder.close()
-    return builder.root
+    for element in reversed(builder.page):
+        if element.parent is not None:
+            element.parent.end = max(element.parent.end, element.end)
+    return builder.page[0]

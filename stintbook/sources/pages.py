@@ -72,7 +72,7 @@ def _id(value: str) -> Test:
 
 
 def _class(name: str, tag: str | None = None) -> Test:
-    return lambda e: e.has_class(name) and tag in (None, e.tag)
+    return lambda e: name in e.classes and (tag is None or e.tag == tag)
 
 
 def _first_text(elements: list[Element]) -> str | None:
@@ -84,7 +84,7 @@ def _first_attr(elements: list[Element], name: str) -> str | None:
 
 
 def _base_url(page: Element, url: str) -> str:
-    declared = _first_attr([e for e in page.walk() if e.tag == "base"], "href")
+    declared = _first_attr(select(page, _tag("base")), "href")
     return urljoin(url, declared) if declared else url
 
 
@@ -115,16 +115,16 @@ def _link(kind: str, href: str, base: str) -> dict:
 
 def _roster_sections(page: Element) -> list[Element]:
     """Blocks after the player heading, up to the one about the organisation."""
-    following: dict[int, Element] = {}
+    following: set[int] = set()
     for heading in select(page, _id("Player_Roster")):
         holder = heading.parent
         if holder is None or holder.parent is None:
             continue
         siblings = [c for c in holder.parent.children if isinstance(c, Element)]
         place = next(i for i, c in enumerate(siblings) if c is holder)
-        following.update((id(c), c) for c in siblings[place + 1 :] if c.tag in ("div", "h2"))
+        following.update(c.begin for c in siblings[place + 1 :] if c.tag in ("div", "h2"))
     sections = []
-    for element in (e for e in page.walk() if id(e) in following):
+    for element in (page.page[i] for i in sorted(following)):
         if select(element, _id("Organization")):
             break
         if element.tag == "div":
@@ -145,16 +145,14 @@ def _tab_names(sections: list[Element]) -> dict[str, str]:
 
 def _infobox_games(page: Element) -> list[str]:
     """Link texts beside the "Games:" caption."""
-    games = []
-    seen = set()
-    for caption in select(page, _class("infobox-description", "div")):
-        box = caption.parent
-        if "Games:" not in "".join(caption.all_texts()) or box is None or box.tag != "div":
-            continue
-        if id(box) not in seen:
-            seen.add(id(box))
-            games += [text for link in select(box, _tag("a")) for text in link.all_texts()]
-    return games
+    captions = [
+        e
+        for e in select(page, _class("infobox-description", "div"))
+        if "Games:" in "".join(e.all_texts())
+    ]
+    boxes = {e.parent.begin: e.parent for e in captions if e.parent and e.parent.tag == "div"}
+    links = [link for i in sorted(boxes) for link in select(boxes[i], _tag("a"))]
+    return [text for link in links for text in link.all_texts()]
 
 
 def _roster_rows(page: Element, url: str) -> Iterator[dict]:
