@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,13 +13,27 @@ from stintbook.functions.text import strip
 DATE_TYPES = ("join_date", "inactive_date", "leave_date")
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """Evaluate ``value`` once per row, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _shape(text: Column) -> Column:
+    """The text with every digit as 0: a cheap test of its form without a regular expression."""
+    return F.translate(text, "123456789", "000000000")
+
+
 def iso_date(text: Column) -> Column:
     """``2024-01-05`` or ``20240105`` to a date; anything else, or an impossible day, is null."""
-    real_year = ~text.startswith("0000")
-    dashed = text.rlike(r"\A\d{4}-\d{2}-\d{2}\z") & real_year
-    packed = text.rlike(r"\A\d{8}\z") & real_year
-    return F.when(dashed, F.try_to_date(text, "yyyy-MM-dd")).when(
-        packed, F.try_to_date(text, "yyyyMMdd")
+    packed = F.concat_ws(
+        "-", F.substring(text, 1, 4), F.substring(text, 5, 2), F.substring(text, 7, 2)
+    )
+    return _let(
+        F.when(F.length(text) == 8, packed).otherwise(text),
+        lambda dashed: F.when(
+            (_shape(dashed) == "0000-00-00") & ~dashed.startswith("0000"),
+            dashed.try_cast("date"),
+        ),
     )
 
 
@@ -35,7 +51,7 @@ def _head(text: Column) -> Column:
 
 def exact_date(text: Column) -> Column:
     """The first ten characters as a strict date."""
-    return iso_date(_head(text))
+    return _let(_head(text), iso_date)
 
 
 def repaired_date(kind: Column, text: Column) -> Column:
@@ -44,16 +60,20 @@ def repaired_date(kind: Column, text: Column) -> Column:
     Joins are completed with 01-01, other dates with 12-31. The parts are appended and the
     first three kept, so a leave date known to the month ends on day 12 of that month.
     """
-    head = _head(text)
-    month_unknown = (F.length(head) > 4) & ~F.substring(head, 6, 1).rlike(r"\A\d\z")
-    known = F.when(month_unknown, F.substring(head, 1, 4)).otherwise(head)
-    digits = F.regexp_replace(F.regexp_replace(known, r"[^0-9-]", ""), r"-+\z", "")
     # The parts that stand in for unknown ones.
     tail = F.when(kind == "join_date", F.array(F.lit("01"), F.lit("01"))).otherwise(
         F.array(F.lit("12"), F.lit("31"))
     )
-    parts = F.slice(F.concat(F.split(digits, "-"), tail), 1, 3)
-    return F.when(head.rlike(r"\A\d{4}"), iso_date(F.array_join(parts, "-")))
+
+    def complete(head: Column) -> Column:
+        month_unknown = (F.length(head) > 4) & (_shape(F.substring(head, 6, 1)) != "0")
+        known = F.when(month_unknown, F.substring(head, 1, 4)).otherwise(head)
+        digits = F.rtrim(F.regexp_replace(known, "[^0-9-]", ""), F.lit("-"))
+        parts = F.slice(F.concat(F.split(digits, "-"), tail), 1, 3)
+        has_year = _shape(F.substring(head, 1, 4)) == "0000"
+        return F.when(has_year, _let(F.array_join(parts, "-"), iso_date))
+
+    return _let(_head(text), complete)
 
 
 def parsed_date(kind: Column, text: Column) -> Column:
@@ -62,10 +82,13 @@ def parsed_date(kind: Column, text: Column) -> Column:
 
 def raw_date(kind: Column, text: Column) -> Column:
     """Text to keep beside the date: null for an exact date, ``unknown`` for a missing one."""
-    shown = F.coalesce(strip(text), F.lit(""))
-    missing = (shown == "") & kind.isin("join_date", "leave_date")
-    inexact = exact_date(text).isNull()
-    return F.when(missing, F.lit("unknown")).when(inexact, F.nullif(shown, F.lit("")))
+
+    def kept(shown: Column) -> Column:
+        missing = (shown == "") & kind.isin("join_date", "leave_date")
+        inexact = iso_date(_head(shown)).isNull()
+        return F.when(missing, F.lit("unknown")).when(inexact, F.nullif(shown, F.lit("")))
+
+    return _let(F.coalesce(strip(text), F.lit("")), kept)
 
 
 def date_columns(cells: Column) -> dict[str, Column]:

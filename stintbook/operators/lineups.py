@@ -21,6 +21,7 @@ from stintbook.functions.predicates import (
     period_start,
 )
 from stintbook.schema import DEFAULT_FROM, MIN_SHOWN_DAYS, RECORD, day
+from stintbook.sources.shared import keep
 
 
 def team_window(
@@ -113,7 +114,8 @@ def lineup_members(records: DataFrame, segments: DataFrame) -> DataFrame:
 
     The segments of a team, at most one per calendar day, travel as one sorted array. Each
     record takes those inside its own period, so the join is by team only and its output holds
-    nothing that is not in the result.
+    nothing that is not in the result. The arrays are kept: the join then broadcasts them if
+    they are small, and otherwise reads plain shuffles, which can be split where a team is large.
     """
     timelines = segments.groupBy("team_id").agg(
         F.sort_array(
@@ -127,6 +129,7 @@ def lineup_members(records: DataFrame, segments: DataFrame) -> DataFrame:
             )
         ).alias("timeline")
     )
+    timelines = keep(timelines, "timelines")
     mine = F.filter(
         "timeline",
         lambda s: (s["segment_start"] >= F.col("start")) & (s["segment_end"] <= F.col("end")),

@@ -44,19 +44,17 @@ def heavy_teams(
 
     None if there is no such team. Runs at once, so ``spans`` should be a kept table.
     """
-    total = spans.count()
-    if total <= floor:
-        return None
     size = F.col("members")
     sizes = spans.groupBy("team_id").agg(F.count(F.lit(1)).alias("members"))
+    total, largest = sizes.agg(F.sum(size), F.max(size)).first()
+    if not total or largest <= floor or largest * share <= total:
+        return None
     # fewer than `share` rows by definition, so they fit the driver and a broadcast
     found = (
         sizes.filter((size > floor) & (size * share > total))
         .select("team_id", F.ceil(size * share / total).cast("int").alias("pieces"))
         .collect()
     )
-    if not found:
-        return None
     return F.broadcast(spans.sparkSession.createDataFrame(found, "team_id string, pieces int"))
 
 

@@ -146,8 +146,13 @@ def teammate_bounds(periods: DataFrame) -> DataFrame:
 def teammate_counts(
     players: DataFrame, periods: DataFrame, heavy: DataFrame | None = None
 ) -> DataFrame:
-    """Exact number of different teammates of the given players."""
-    chosen = periods.join(players.select("player_uid"), "player_uid", "left_semi")
+    """Exact number of different teammates of the given players.
+
+    The players and their periods are kept, so that the planner knows how small they are: then
+    it sends them to the large table instead of shuffling that.
+    """
+    players = keep(players.select("player_uid"), "players")
+    chosen = keep(periods.join(players, "player_uid", "left_semi"), "chosen-spans")
     met = overlaps_with(chosen, periods, heavy=heavy).select("of_player", "player_uid")
     return met.groupBy(F.col("of_player").alias("player")).agg(
         F.countDistinct("player_uid").alias("teammate_count")
@@ -197,7 +202,14 @@ def pair_days(
 
 
 def _days_of_pairs(pairs: DataFrame, spans: DataFrame, merge: str) -> DataFrame:
-    """Days together of the given pairs, over all their teams."""
+    """Days together of the given pairs, over all their teams.
+
+    The pairs and the spans of their players are kept, so that the planner knows their size and
+    shuffles the whole of ``spans`` only if these are large too.
+    """
+    pairs = keep(pairs, "pairs")
+    ids = pairs.select(F.explode(F.array("player1", "player2")).alias("player_uid")).distinct()
+    spans = keep(spans.join(ids, "player_uid", "left_semi"), "pair-spans")
     first = pairs.join(spans, F.col("player1") == F.col("player_uid")).select(
         "player1",
         "player2",
@@ -291,6 +303,7 @@ def pairs_with_most_time_of_spans(
         .filter(F.col("most_days") >= needed)
         .select("player_uid", "last_end")
     )
+    players = keep(players, "lasting-players")
     early = (
         spans.join(players, "player_uid")
         .filter(F.datediff("last_end", "start") >= needed)

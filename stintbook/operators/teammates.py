@@ -15,8 +15,8 @@ from stintbook.operators.overlap import (
     heavy_teams,
     overlaps_with,
 )
-from stintbook.sources.shared import keep
 from stintbook.schema import MIN_SHOWN_DAYS, RECORD
+from stintbook.sources.shared import keep
 
 # A mate's own period shows in the order of these; they make the order of equal overlaps fixed.
 _TIES = [
@@ -54,13 +54,15 @@ def teammate_periods(
         .withColumn("start", F.col("join_date"))
         .withColumn("end", overlap_end(as_of))
     )
-    dated = keep(dated, "dated-records")
-    chosen = dated.join(players.select("player_uid").distinct(), "player_uid", "left_semi")
-    met = overlaps_with(
-        chosen.select("player_uid", "team_id", "start", "end"),
-        dated,
-        heavy=heavy_teams(dated, share, floor),
-    ).drop("start", "end")
+    # only the teams of the chosen players matter; kept, their size decides how to join them
+    players = keep(players.select("player_uid").distinct(), "players")
+    teams = dated.join(players, "player_uid", "left_semi").select("team_id").distinct()
+    mates = keep(dated.join(keep(teams, "teams"), "team_id", "left_semi"), "mates")
+    chosen = mates.join(players, "player_uid", "left_semi").select(
+        "player_uid", "team_id", "start", "end"
+    )
+    heavy = heavy_teams(mates, share, floor)
+    met = overlaps_with(chosen, mates, heavy=heavy).drop("start", "end")
 
     # equal rows shrink to one with a count before they are put in order
     keys = ["of_player", *RECORD, "overlap_start", "overlap_end"]

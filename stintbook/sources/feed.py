@@ -23,10 +23,13 @@ def write_feed(feed: DataFrame, path: str, mode: str = "error") -> None:
 
 def build_teams(feed: DataFrame) -> DataFrame:
     """One row per team. Where a team has several names or URLs, the smallest pair is kept."""
-    chosen = F.min(F.struct("team_name", "team_url")).alias("chosen")
+    # hashing removes repeats before the shuffle; the minimum of a struct would have to sort them
+    versions = feed.select(
+        F.col("team_unique_name").alias("unique_name"), "team_name", "team_url"
+    ).distinct()
     return (
-        feed.groupBy(F.col("team_unique_name").alias("unique_name"))
-        .agg(chosen)
+        versions.groupBy("unique_name")
+        .agg(F.min(F.struct("team_name", "team_url")).alias("chosen"))
         .select(
             "unique_name",
             F.col("chosen.team_name").alias("name"),
