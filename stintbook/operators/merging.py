@@ -15,7 +15,10 @@ MERGES = ("lag", "exact")
 
 
 def disjoint_periods(intervals: DataFrame, keys: list[str]) -> DataFrame:
-    """Union of ``[start, end]`` per key as disjoint periods; touching periods are joined."""
+    """Union of ``[start, end]`` per key as disjoint periods; touching periods are joined.
+
+    Adds ``period_no``, counted from 1, and ``periods``, the number the key has in all.
+    """
     reduced = intervals.groupBy(*keys, "start").agg(F.max("end").alias("end"))
     ordered = W.partitionBy(*keys).orderBy("start")
     reached = F.max("end").over(ordered.rowsBetween(W.unboundedPreceding, -1))
@@ -23,9 +26,9 @@ def disjoint_periods(intervals: DataFrame, keys: list[str]) -> DataFrame:
     return (
         reduced.withColumn("opens", opens)
         .withColumn("period_no", F.sum("opens").over(ordered))
-        .groupBy(*keys, "period_no")
+        .withColumn("periods", F.sum("opens").over(W.partitionBy(*keys)))
+        .groupBy(*keys, "period_no", "periods")
         .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-        .drop("period_no")
     )
 
 

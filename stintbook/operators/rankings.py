@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -108,38 +109,62 @@ def teammate_bounds(periods: DataFrame) -> DataFrame:
     """Upper bound of each player's number of teammates, without forming pairs.
 
     In one team, the periods that overlap ``[s, e)`` are those that start before ``e`` less
-    those that end by ``s``. Both are running counts over the team's days. Adding them up counts
-    a mate met twice twice, so the sum is an upper bound.
+    those that end by ``s``. A mate with several of them is counted again for each absence that
+    lies inside ``[s, e)``, so these are taken off: at least as many as absences ending before
+    ``e`` exceed absences beginning by ``s``. All of this comes from running counts over the
+    team's days. It is done for each of the player's periods, and for the time from the first to
+    the last of them; the smaller result counts for the team, and the teams are added up.
     """
+    first, last = F.col("period_no") == 1, F.col("period_no") == F.col("periods")
     edges = periods.select(
         "player_uid",
         "team_id",
         F.explode(
             F.array(
-                F.struct(F.col("start").alias("day"), F.lit(1).alias("opens")),
-                F.struct(F.col("end").alias("day"), F.lit(0).alias("opens")),
+                F.struct(
+                    F.col("start").alias("day"), F.lit(True).alias("opens"), (~first).alias("gap")
+                ),
+                F.struct(
+                    F.col("end").alias("day"), F.lit(False).alias("opens"), (~last).alias("gap")
+                ),
             )
         ).alias("edge"),
-    ).select("player_uid", "team_id", "edge.day", "edge.opens")
+    ).select("player_uid", "team_id", "edge.*")
+    opens, gap = F.col("opens"), F.col("gap")
     # one row per team and day, so the window below is bounded by the calendar
     days = edges.groupBy("team_id", "day").agg(
-        F.sum("opens").alias("opened"), F.sum(1 - F.col("opens")).alias("closed")
+        F.count_if(opens).alias("opened"),
+        F.count_if(~opens).alias("closed"),
+        F.count_if(opens & gap).alias("returned"),
+        F.count_if(~opens & gap).alias("paused"),
     )
-    so_far = W.partitionBy("team_id").orderBy("day")
+    until = W.partitionBy("team_id").orderBy("day")
     running = days.select(
         "team_id",
         "day",
-        (F.sum("opened").over(so_far) - F.col("opened")).alias("opened_before"),
-        F.sum("closed").over(so_far).alias("closed_until"),
-    )
-    # the 1 is the player's own period
-    part = F.when(F.col("opens") == 1, -F.col("closed_until") - 1).otherwise(
-        F.col("opened_before")
+        (F.sum("opened").over(until) - F.col("opened")).alias("opened_before"),
+        F.sum("closed").over(until).alias("closed_until"),
+        (F.sum("returned").over(until) - F.col("returned")).alias("returned_before"),
+        F.sum("paused").over(until).alias("paused_until"),
     )
+    ends = {c: F.when(~opens, F.col(c)) for c in ("opened_before", "returned_before")}
+    starts = {c: F.when(opens, F.col(c)) for c in ("closed_until", "paused_until")}
+    # running counts only grow, so the largest belongs to the last end, the least to the first start
+    met = F.sum(ends["opened_before"]) - F.sum(starts["closed_until"]) - F.count_if(opens)
+    again = F.sum(ends["returned_before"]) - F.sum(starts["paused_until"])
+    met_overall = F.max(ends["opened_before"]) - F.min(starts["closed_until"]) - 1
+    again_overall = F.max(ends["returned_before"]) - F.min(starts["paused_until"])
+    zero = F.lit(0)
     return (
         edges.join(running, ["team_id", "day"])
+        .groupBy("player_uid", "team_id")
+        .agg(
+            F.least(
+                met - F.greatest(again, zero), met_overall - F.greatest(again_overall, zero)
+            ).alias("in_team")
+        )
         .groupBy("player_uid")
-        .agg(F.sum(part).alias("bound"))
+        .agg(F.sum("in_team").alias("bound"))
     )
 
 
@@ -236,26 +261,28 @@ def _days_of_pairs(pairs: DataFrame, spans: DataFrame, merge: str) -> DataFrame:
     return covered_days(both, ["player1", "player2"], merge)
 
 
-def _probe_pairs(spans: DataFrame, size: int) -> DataFrame:
-    """Likely long pairs: the two longest spans of each team, longest overlaps first."""
+def _probe_pairs(spans: DataFrame, limit: int) -> DataFrame:
+    """Likely long pairs: among the longest spans of each team and of all, the longest overlaps.
+
+    A few spans of each team serve where teams are alike, the longest of all where one team
+    holds most of these.
+    """
+    per_team = math.ceil((1 + math.sqrt(1 + 8 * limit)) / 2)
+    length = F.datediff("end", "start")
     # a row_number limit is applied before the shuffle too, so a heavy team sends few rows
-    longest = W.partitionBy("team_id").orderBy(
-        F.desc(F.datediff("end", "start")), "player_uid", "start"
+    longest = W.partitionBy("team_id").orderBy(F.desc(length), "player_uid", "start")
+    some = spans.withColumn("place", F.row_number().over(longest)).filter(
+        F.col("place") <= per_team
     )
-    two = spans.withColumn("place", F.row_number().over(longest)).filter("place <= 2")
+    overall = spans.orderBy(F.desc(length), "player_uid", "start").limit(PROBE * limit)
+    some = keep(some.drop("place").unionByName(overall).distinct(), "longest-spans")
     pairs = (
-        two.groupBy("team_id")
-        .agg(
-            F.min("player_uid").alias("player1"),
-            F.max("player_uid").alias("player2"),
-            F.max("start").alias("start"),
-            F.min("end").alias("end"),
-        )
-        .filter("player1 < player2 and start < end")
+        self_overlaps(some, False)
         .groupBy("player1", "player2")
         .agg(F.max(F.datediff("end", "start")).alias("days"))
     )
-    return _top(pairs, "days", ["player1", "player2"], size).select("player1", "player2")
+    top = _top(pairs, "days", ["player1", "player2"], PROBE * limit)
+    return top.select("player1", "player2")
 
 
 def pairs_with_most_time(
@@ -289,7 +316,7 @@ def pairs_with_most_time_of_spans(
     floor: int = HEAVY_FLOOR,
 ) -> DataFrame:
     pair = ["player1", "player2"]
-    probe = _probe_pairs(spans, PROBE * limit)
+    probe = _probe_pairs(spans, limit)
     needed = _kth_best(_days_of_pairs(probe, spans, merge), "total_days", limit)
 
     players = (
