@@ -99,7 +99,7 @@ def team_page(
     known = teams.filter(F.col("unique_name") == team_id).select(
         F.col("unique_name").alias("team_id"),
         F.col("name").alias("team_name"),
-        F.col("liquipedia_url").alias("team_url"),
+        F.col("wiki_url").alias("team_url"),
     )
     lineups = team_lineups(stints, as_of, date_from, date_to, highlight, team_id)
     return lineups.join(known, "team_id").orderBy("lineup_no", "nickname", "player_uid")

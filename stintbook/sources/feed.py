@@ -12,8 +12,11 @@ from stintbook.schema import ROSTER_FEED
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines with a declared schema: absent keys are null, ISO dates are dates."""
-    return spark.read.schema(ROSTER_FEED).json(path)
+    """JSON lines with a declared schema: absent keys are null, ISO dates are dates.
+
+    A line that is no record, or a value of the wrong type, fails the load.
+    """
+    return spark.read.schema(ROSTER_FEED).option("mode", "FAILFAST").json(path)
 
 
 def write_feed(feed: DataFrame, path: str, mode: str = "error") -> None:
@@ -33,7 +36,7 @@ def build_teams(feed: DataFrame) -> DataFrame:
         .select(
             "unique_name",
             F.col("chosen.team_name").alias("name"),
-            F.col("chosen.team_url").alias("liquipedia_url"),
+            F.col("chosen.team_url").alias("wiki_url"),
         )
     )
 
@@ -86,7 +89,7 @@ def constraint_report(teams: DataFrame, stints: DataFrame) -> DataFrame:
     used = stints.select("team_id").filter(F.col("team_id").isNotNull()).distinct()
     unknown = used.join(teams, F.col("team_id") == F.col("unique_name"), "left_anti")
     parts = [
-        nulls(teams, "teams", ["unique_name", "name", "liquipedia_url"]),
+        nulls(teams, "teams", ["unique_name", "name", "wiki_url"]),
         one(twice, "teams.unique_name unique"),
         nulls(stints, "stints", ["nickname", "is_captain", "has_invalid_dates"]),
         one(unknown, "stints.team_id known"),

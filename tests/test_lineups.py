@@ -101,7 +101,7 @@ ROWS = [
 def teams_of(spark):
     return spark.createDataFrame(
         [("Team One", "Team One", "https://w/Team_One"), ("Two", "Two", "https://w/Two")],
-        "unique_name string, name string, liquipedia_url string",
+        "unique_name string, name string, wiki_url string",
     )
 
 

@@ -8,7 +8,7 @@ import pytest
 from stintbook.plans.refresh import refresh
 from stintbook.schema import ROSTER_FEED, STINTS
 from stintbook.sources import feed as feeds
-from stintbook.sources import pages, snapshot
+from stintbook.sources import pages, shared, snapshot
 from stintbook.sources.html import parse, select
 
 D = dt.date
@@ -41,6 +41,21 @@ def test_read_feed_with_missing_keys(spark, tmp_path):
     ]
 
 
+def test_broken_feed_fails(spark, tmp_path):
+    path = tmp_path / "rosters.jsonlines"
+    for line in ('{"team_unique_name": "One"', '{"join_date": "soon"}'):
+        path.write_text(line)
+        with pytest.raises(Exception, match="MALFORMED|malformed"):
+            feeds.read_feed(spark, str(path)).collect()
+
+
+def test_kept_tables_use_the_shared_folder(spark):
+    kept = shared.keep(spark.range(3), "numbers")
+    assert all(f.startswith(f"file://{shared.shared_dir(spark)}") for f in kept.inputFiles())
+    assert shared.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert kept.count() == 3
+
+
 def test_feed_round_trip_keeps_null_keys(spark, tmp_path):
     original = feed_of(spark, [{"join_date": D(2020, 1, 2)}, {"player_id": "ж"}])
     feeds.write_feed(original, str(tmp_path / "out"))
@@ -66,11 +81,11 @@ def test_constraint_violations(spark):
     feed = feed_of(spark, [{"player_id": None}, {"team_unique_name": "Gone"}, {}])
     teams = spark.createDataFrame(
         [("One", "n", "u"), ("One", "n", None), (None, "n", "u")],
-        "unique_name string, name string, liquipedia_url string",
+        "unique_name string, name string, wiki_url string",
     )
     found = feeds.constraint_report(teams, feeds.build_stints(feed)).collect()
     assert {r.rule: r.violations for r in found if r.violations} == {
-        "teams.unique_name not null": 1, "teams.liquipedia_url not null": 1,
+        "teams.unique_name not null": 1, "teams.wiki_url not null": 1,
         "teams.unique_name unique": 1, "stints.nickname not null": 1, "stints.team_id known": 1,
     }
     with pytest.raises(ValueError, match="team_id known"):
