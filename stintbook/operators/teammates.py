@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -65,12 +65,23 @@ def teammate_periods(
     met = overlaps_with(chosen, mates, heavy=heavy).drop("start", "end")
 
     # equal rows shrink to one with a count before they are put in order
-    keys = ["of_player", *RECORD, "overlap_start", "overlap_end"]
-    counted = met.groupBy(*keys).agg(F.count(F.lit(1)).alias("copies"))
-    in_order = W.partitionBy("of_player", "player_uid").orderBy(
-        "overlap_start", "overlap_end", *[F.asc_nulls_last(c) for c in _TIES]
+    pair = ["of_player", "player_uid"]
+    counted = (
+        met.groupBy("of_player", *RECORD, "overlap_start", "overlap_end")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("month", F.trunc("overlap_start", "month"))
     )
-    before = F.lag("overlap_end").over(in_order)
+    # Order is kept within months; only each month's last end is passed on to the pair's next
+    # month. So even a mate with very many stints is not sorted as a whole in one task.
+    last = F.max(F.struct("overlap_start", "overlap_end"))["overlap_end"]
+    months = counted.groupBy(*pair, "month").agg(last.alias("last_end"))
+    earlier = months.select(
+        *pair,
+        "month",
+        F.lag("last_end").over(W.partitionBy(*pair).orderBy("month")).alias("carried"),
+    )
+    in_order = W.partitionBy(*pair, "month").orderBy(*_in_time())
+    before = F.coalesce(F.lag("overlap_end").over(in_order), F.col("carried"))
     apart = F.col("before").isNull() | (F.col("overlap_start") > F.col("before"))
     merged = F.struct(
         F.when(apart, F.col("overlap_start")).otherwise(F.col("before")).alias("start"),
@@ -80,7 +91,8 @@ def teammate_periods(
     again = F.struct(F.col("overlap_end").alias("start"), F.col("overlap_end").alias("end"))
     periods = F.when(F.col("copies") > 1, F.array(merged, again)).otherwise(F.array(merged))
     return (
-        counted.withColumn("before", before)
+        counted.join(earlier, [*pair, "month"])
+        .withColumn("before", before)
         .withColumn("period", F.explode(periods))
         .select(
             "of_player",
@@ -92,26 +104,39 @@ def teammate_periods(
     )
 
 
+def _in_time() -> list[Column]:
+    return [
+        F.col("overlap_start"),
+        F.col("overlap_end"),
+        *[F.asc_nulls_last(c) for c in _TIES],
+    ]
+
+
 def teammate_summary(periods: DataFrame) -> DataFrame:
-    """Shown periods, one row each, numbered per mate, with the mate's totals.
+    """Shown periods, one row each, with the mate's totals.
 
     Periods that are too short are left out. ``mate_nickname`` is the one of the last period.
     """
-    shown = periods.withColumn("days", F.datediff("overlap_end", "overlap_start")).filter(
-        F.col("days") >= MIN_SHOWN_DAYS
+    pair = ["of_player", "player_uid"]
+    shown = keep(
+        periods.withColumn("days", F.datediff("overlap_end", "overlap_start")).filter(
+            F.col("days") >= MIN_SHOWN_DAYS
+        ),
+        "teammate-periods",
     )
-    of_mate = W.partitionBy("of_player", "player_uid")
-    in_order = of_mate.orderBy(
-        "overlap_start", "overlap_end", *[F.asc_nulls_last(c) for c in _TIES]
+    # a struct puts nulls first; a flag before each tie puts them last, as the order above does
+    ties = [c for t in _TIES for c in (F.col(t).isNull().alias(f"no_{t}"), F.col(t))]
+    place = F.struct("overlap_start", "overlap_end", *ties)
+    totals = shown.groupBy(*pair).agg(
+        F.max_by("nickname", place).alias("mate_nickname"),
+        F.sum("days").alias("total_days"),
+        F.min("overlap_start").alias("first_start"),
     )
-    everything = in_order.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    return shown.select(
-        "of_player",
-        "player_uid",
-        F.last("nickname").over(everything).alias("mate_nickname"),
-        F.sum("days").over(everything).alias("total_days"),
-        F.min("overlap_start").over(everything).alias("first_start"),
-        F.row_number().over(in_order).cast("long").alias("period_no"),
+    return shown.join(keep(totals, "teammate-totals"), pair).select(
+        *pair,
+        "mate_nickname",
+        "total_days",
+        "first_start",
         "team_id",
         "overlap_start",
         "overlap_end",

@@ -65,7 +65,7 @@ def player_teammates(stints: DataFrame, players: DataFrame, as_of: dt.date) -> D
         days_text(F.col("total_days")).alias("total_text"),
         days_exact_text(F.col("total_days")).alias("total_tooltip"),
         "first_start",
-        "period_no",
+        "overlap_start",
         "team_id",
         F.concat(
             period_text(F.col("overlap_start"), F.col("overlap_end"), as_of),
@@ -85,5 +85,5 @@ def player_page(
     return (
         player_headers(mine),
         player_teams(mine, as_of).orderBy("period_start", "team_id"),
-        mates.orderBy(F.desc("total_days"), "first_start", "player_uid", "period_no"),
+        mates.orderBy(F.desc("total_days"), "first_start", "player_uid", "overlap_start"),
     )

@@ -15,7 +15,7 @@ from stintbook.functions.labels import (
     period_text,
     position_text,
 )
-from stintbook.functions.text import flag_path
+from stintbook.functions.text import flag_path, team_link
 from stintbook.operators.lineups import (
     dated_records,
     lineup_members,
@@ -24,6 +24,7 @@ from stintbook.operators.lineups import (
     team_window,
     undated_records,
 )
+from stintbook.operators.lookups import team
 
 
 def _member_fields(as_of: dt.date, highlight: str) -> list[Column]:
@@ -95,11 +96,17 @@ def team_page(
     date_to: dt.date | None = None,
     highlight: str = "",
 ) -> DataFrame:
-    """The page of one team in reading order; no rows if the team is unknown."""
-    known = teams.filter(F.col("unique_name") == team_id).select(
+    """The page of one team in reading order; no rows if the team is unknown.
+
+    ``reset_url`` leads to the page without a window; it is null where none was given.
+    """
+    unfiltered = date_from is None and date_to is None
+    reset = F.lit(None).cast("string") if unfiltered else team_link(F.col("unique_name"))
+    known = team(teams, team_id).select(
         F.col("unique_name").alias("team_id"),
         F.col("name").alias("team_name"),
         F.col("wiki_url").alias("team_url"),
+        reset.alias("reset_url"),
     )
     lineups = team_lineups(stints, as_of, date_from, date_to, highlight, team_id)
     return lineups.join(known, "team_id").orderBy("lineup_no", "nickname", "player_uid")

@@ -134,6 +134,17 @@ def test_date_text(spark):
     assert set(found) == set(cases)
 
 
+def test_dates_with_their_text(spark):
+    rows = [(D(2017, 8, 12), "2017-08-??"), (D(2017, 8, 12), ""), (None, "unknown")]
+    shown = labels.date_text(F.col("d"), AS_OF)
+    found = apply(spark, "d date, r string", rows, labels.dated_text(shown, F.col("r")),
+                  labels.version_iso(F.col("d")))
+    assert found == [
+        (("12 Aug 2017", "2017-08-??"), "2017-08-12"), (("12 Aug 2017", None), "2017-08-12"),
+        (("-", "unknown"), None),
+    ]
+
+
 def test_slugs(spark):
     cases = [("Zeus (Ukrainian player)", "Zeus_(Ukrainian_player)"), ("RanDom^", "RanDom%5E"),
              ("a*b~c/d+é", "a%2Ab~c/d%2B%C3%A9"), ("100%", "100%25"), ("a%2Fb", "a%252Fb")]

@@ -114,7 +114,10 @@ def test_team_page(spark):
         ("1 Mar 2020 - 30 May 2020", "a", "Captain", "Land", False),
         ("1 Mar 2020 - 30 May 2020", "b", "Coach", "-", True),
     ]
+    assert {(r.team_name, r.reset_url) for r in page.collect()} == {("Team One", None)}
     assert team_page(teams_of(spark), frame(spark, ROWS), "None", AS_OF).count() == 0
+    page = team_page(teams_of(spark), frame(spark, ROWS), "Team One", AS_OF, D(2020, 1, 1))
+    assert {r.reset_url for r in page.collect()} == {"/teams/Team_One/"}
 
 
 def test_window_moves_the_edges(spark):
