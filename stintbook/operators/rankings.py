@@ -206,10 +206,14 @@ def most_teammates_of_spans(
     periods = keep(team_spans(spans), "team-spans")
     heavy = heavy_teams(periods, share, floor)
     bounds = keep(teammate_bounds(periods), "teammate-bounds")
-    probe = _top(bounds, "bound", ["player_uid"], PROBE * limit)
-    needed = _kth_best(teammate_counts(probe, periods, heavy), "teammate_count", limit)
+    tried = PROBE * limit
+    probe = _top(bounds, "bound", ["player_uid"], tried)
+    counts = keep(teammate_counts(probe, periods, heavy), "teammate-counts")
+    needed = _kth_best(counts, "teammate_count", limit)
     hopeful = bounds.filter(F.col("bound") >= needed)
-    counts = teammate_counts(hopeful, periods, heavy)
+    # up to this number, all of them were among the best bounds and are counted already
+    if hopeful.count() > tried:
+        counts = teammate_counts(hopeful, periods, heavy)
     return _top(counts, "teammate_count", ["player_uid"], limit)
 
 
