@@ -58,6 +58,22 @@ def heavy_teams(
     return F.broadcast(spans.sparkSession.createDataFrame(found, "team_id string, pieces int"))
 
 
+def spread_heavy(
+    large: DataFrame, small: DataFrame, heavy: DataFrame | None, by: list[str]
+) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Prepare a join by team: salt the rows of heavy teams in ``large``, copy those in ``small``.
+
+    Returns both sides and the column to join on besides the others; none without heavy teams.
+    """
+    if heavy is None:
+        return large, small, []
+    salt = F.pmod(F.xxhash64(*by), F.col("pieces")).cast("int")
+    salts = F.sequence(F.lit(0), F.coalesce(F.col("pieces") - 1, F.lit(0)))
+    salted = large.join(heavy, "team_id", "left").withColumn("salt", F.coalesce(salt, F.lit(0)))
+    copied = small.join(heavy, "team_id", "left").withColumn("salt", F.explode(salts))
+    return salted.drop("pieces"), copied.drop("pieces"), ["salt"]
+
+
 def _quarter(date: Column) -> Column:
     return F.year(date) * 4 + F.quarter(date)
 
@@ -120,16 +136,8 @@ def overlaps_with(
     ``overlap_end``. Rows of a heavy team are salted on the ``mates`` side and the far fewer
     chosen rows are copied to every salt.
     """
-    keys = ["team_id"]
-    if heavy is not None:
-        keys = ["team_id", "salt"]
-        salt = F.pmod(F.xxhash64("player_uid", "start", "end"), F.col("pieces")).cast("int")
-        mates = mates.join(heavy, "team_id", "left").withColumn(
-            "salt", F.coalesce(salt, F.lit(0))
-        )
-        salts = F.sequence(F.lit(0), F.coalesce(F.col("pieces") - 1, F.lit(0)))
-        chosen = chosen.join(heavy, "team_id", "left").withColumn("salt", F.explode(salts))
-        mates = mates.drop("pieces")
+    mates, chosen, salt = spread_heavy(mates, chosen, heavy, ["player_uid", "start", "end"])
+    keys = ["team_id", *salt]
     chosen = chosen.select(
         *keys,
         F.col("player_uid").alias("of_player"),

@@ -18,6 +18,7 @@ from stintbook.operators.overlap import (
     heavy_teams,
     overlaps_with,
     self_overlaps,
+    spread_heavy,
 )
 from stintbook.schema import day
 from stintbook.sources.shared import keep
@@ -105,7 +106,7 @@ def team_spans(spans: DataFrame) -> DataFrame:
     return disjoint_periods(lasting, ["player_uid", "team_id"])
 
 
-def teammate_bounds(periods: DataFrame) -> DataFrame:
+def teammate_bounds(periods: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
     """Upper bound of each player's number of teammates, without forming pairs.
 
     In one team, the periods that overlap ``[s, e)`` are those that start before ``e`` less
@@ -155,8 +156,10 @@ def teammate_bounds(periods: DataFrame) -> DataFrame:
     met_overall = F.max(ends["opened_before"]) - F.min(starts["closed_until"]) - 1
     again_overall = F.max(ends["returned_before"]) - F.min(starts["paused_until"])
     zero = F.lit(0)
+    # many periods of a heavy team may end on one day
+    edges, running, salt = spread_heavy(edges, running, heavy, ["player_uid"])
     return (
-        edges.join(running, ["team_id", "day"])
+        edges.join(running, ["team_id", "day", *salt])
         .groupBy("player_uid", "team_id")
         .agg(
             F.least(
@@ -205,7 +208,7 @@ def most_teammates_of_spans(
 ) -> DataFrame:
     periods = keep(team_spans(spans), "team-spans")
     heavy = heavy_teams(periods, share, floor)
-    bounds = keep(teammate_bounds(periods), "teammate-bounds")
+    bounds = keep(teammate_bounds(periods, heavy), "teammate-bounds")
     tried = PROBE * limit
     probe = _top(bounds, "bound", ["player_uid"], tried)
     counts = keep(teammate_counts(probe, periods, heavy), "teammate-counts")

@@ -137,11 +137,13 @@ def test_most_teammates(spark, seed):
         assert [tuple(r) for r in found] == best[:limit]
 
 
-def test_teammate_bounds_hold(spark):
+@pytest.mark.parametrize(("share", "floor"), SPLITS)
+def test_teammate_bounds_hold(spark, share, floor):
     rows = random_stints(5, players=60)
-    spans_ = overlap.clean_spans(frame(spark, rows), AS_OF)
-    bounds = {r.player_uid: r.bound
-              for r in rankings.teammate_bounds(rankings.team_spans(spans_)).collect()}
+    periods = rankings.team_spans(overlap.clean_spans(frame(spark, rows), AS_OF))
+    heavy = overlap.heavy_teams(periods, share, floor)
+    found = rankings.teammate_bounds(periods, heavy)
+    bounds = {r.player_uid: r.bound for r in found.collect()}
     mates = defaultdict(set)
     for a, b in brute_pairs(rows, False):
         mates[a].add(b)
@@ -150,6 +152,21 @@ def test_teammate_bounds_hold(spark):
     assert all(bounds[p] >= 0 for p in bounds)
 
 
+def test_teammate_bounds_are_close(spark):
+    # a mate who left and came back counts once; one who was away all the while counts too
+    days = [ORIGIN + dt.timedelta(days=i) for i in range(50)]
+    rows = [
+        stint("long", "t", days[0], days[40]),
+        stint("back", "t", days[1], days[5]),
+        stint("back", "t", days[10], days[15]),
+        stint("back", "t", days[20], days[25]),
+        stint("short", "t", days[6], days[8]),
+    ]
+    periods = rankings.team_spans(overlap.clean_spans(frame(spark, rows), AS_OF))
+    found = {r.player_uid: r.bound for r in rankings.teammate_bounds(periods).collect()}
+    assert found == {"long": 2, "back": 2, "short": 1}
+
+
 def test_current_tenure(spark):
     rows = random_stints(4) + [
         stint("future", "t", AS_OF + dt.timedelta(days=9)),
