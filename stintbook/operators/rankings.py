@@ -242,26 +242,39 @@ def _days_of_pairs(pairs: DataFrame, spans: DataFrame, merge: str) -> DataFrame:
     pairs = keep(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("player1", "player2")).alias("player_uid")).distinct()
     spans = keep(spans.join(ids, "player_uid", "left_semi"), "pair-spans")
-    first = pairs.join(spans, F.col("player1") == F.col("player_uid")).select(
+    # the spans of the player with fewer are looked up among those of the other, so a pair costs
+    # no more than the smaller number, even if the other player has a large share of all spans
+    sizes = spans.groupBy("player_uid").agg(F.count(F.lit(1)).alias("size"))
+    size1 = sizes.select(F.col("player_uid").alias("player1"), F.col("size").alias("size1"))
+    size2 = sizes.select(F.col("player_uid").alias("player2"), F.col("size").alias("size2"))
+    fewer_first = F.col("size1") <= F.col("size2")
+    driven = pairs.join(size1, "player1").join(size2, "player2").select(
         "player1",
         "player2",
+        F.when(fewer_first, F.col("player1")).otherwise(F.col("player2")).alias("player_uid"),
+        F.when(fewer_first, F.col("player2")).otherwise(F.col("player1")).alias("other_uid"),
+    )
+    first = driven.join(spans, "player_uid").select(
+        "player1",
+        "player2",
+        "other_uid",
         "team_id",
-        F.col("start").alias("start1"),
-        F.col("end").alias("end1"),
+        F.col("start").alias("own_start"),
+        F.col("end").alias("own_end"),
     )
     second = spans.select(
-        F.col("player_uid").alias("player2"),
+        F.col("player_uid").alias("other_uid"),
         "team_id",
-        F.col("start").alias("start2"),
-        F.col("end").alias("end2"),
+        F.col("start").alias("other_start"),
+        F.col("end").alias("other_end"),
     )
     both = (
-        first.join(second, ["player2", "team_id"])
+        first.join(second, ["other_uid", "team_id"])
         .select(
             "player1",
             "player2",
-            F.greatest("start1", "start2").alias("start"),
-            F.least("end1", "end2").alias("end"),
+            F.greatest("own_start", "other_start").alias("start"),
+            F.least("own_end", "other_end").alias("end"),
         )
         .filter(F.col("start") <= F.col("end"))
     )
