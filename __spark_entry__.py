@@ -25,6 +25,14 @@ from stintbook.plans import main_report, player_page, team_page  # noqa: E402
 from stintbook.schema import RECORD  # noqa: E402
 from stintbook.sources import feed, pages  # noqa: E402
 
+# The operators on training text are an optional part: a folder and a file at the top.
+try:
+    from stintbook.llm import queries as llm
+except ImportError as missing:
+    if missing.name not in {"stintbook.llm", "corpus_pipeline"}:
+        raise
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # Before the first order date: the window that leaves nothing out.
@@ -215,6 +223,10 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    return _own_queries() | (llm.queries() if llm else {})
+
+
+def _own_queries() -> dict[str, Query]:
     return {
         "most_teams": _on_stints(rankings.most_teams),
         "team_most_players": _on_stints(rankings.teams_with_most_players),
@@ -268,4 +280,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracles.all_sql()
+    return oracles.all_sql() | (llm.oracle_sql() if llm else {})

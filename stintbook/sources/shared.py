@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import functools
 import tempfile
 import uuid
@@ -19,18 +20,45 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     return _own_dir()
 
 
+@functools.cache
+def _run_dir(shared: str, application: str) -> str:
+    """One folder per application, removed when the driver's Python ends."""
+    path = f"{shared.rstrip('/')}/stintbook-{application}"
+    session = SparkSession.getActiveSession()
+    # Held now, because the session may be stopped by then.
+    jvm, conf = session._jvm, session._jsc.hadoopConfiguration()
+    atexit.register(_remove, jvm, conf, path)
+    return path
+
+
+def _remove(jvm, conf, path: str) -> None:
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # noqa: BLE001 - the JVM may be gone, then the folder's owner has to do it
+        pass
+
+
+def release(spark: SparkSession) -> None:
+    """Remove what ``keep`` has written so far. For long sessions, between two queries."""
+    path = _run_dir(shared_dir(spark), spark.sparkContext.applicationId)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and return the written table.
 
     For results that several later steps read. It cuts the lineage, outlives lost executors,
-    and lets each reader prune columns. The folder's owner decides how long files stay.
+    and lets each reader prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    run = _run_dir(shared_dir(spark), spark.sparkContext.applicationId)
+    path = f"{run}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
