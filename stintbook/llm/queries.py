@@ -95,14 +95,14 @@ WITH RECURSIVE w AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
   FROM w
-), n AS (SELECT doc_id, len(s) AS n FROM s), x AS (
+), n AS MATERIALIZED (SELECT doc_id, len(s) AS n FROM s), x AS MATERIALIZED (
   SELECT doc_id, unnest(s) AS x FROM s
-), linked AS (
-  SELECT a.doc_id AS a, b.doc_id AS b
-  FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id
-  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
-  GROUP BY a.doc_id, b.doc_id, na.n, nb.n
-  HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), common AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both
+  FROM x a JOIN x b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id
+), linked AS MATERIALIZED (
+  SELECT a, b FROM common JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
+  WHERE 100 * n_both >= 80 * (na.n + nb.n - n_both)
 ), reach(a, b) AS (
   SELECT doc_id, doc_id FROM documents
   UNION SELECT r.a, l.b FROM reach r JOIN linked l ON r.b = l.a

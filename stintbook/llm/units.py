@@ -45,13 +45,15 @@ class Units:
         return codes, answers
 
 
-def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def stretches(
+    batches: Iterator[pa.RecordBatch], size: int = STRETCH
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts (null: empty), a few megabytes each; a row is
     never split."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index("text"))
         sizes = np.fromiter((len(x) for x in _views(column)), np.int64, len(column))
-        part = (np.cumsum(sizes) - sizes) // STRETCH
+        part = (np.cumsum(sizes) - sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(column)]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
