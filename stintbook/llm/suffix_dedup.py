@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ from stintbook.sources.shared import keep
 WINDOW, GRAM = 50, 20
 # Bytes in a shard, and windows that are merged at a time.
 SHARD, RANGE = 1 << 20, 200_000
-# Bytes of text that are named at a time.
-STRETCH = 2_000_000
+# Bytes of text that are named at a time; few enough for the processor's cache.
+STRETCH = 100_000
 # Rows without a doc_id count as the largest.
 LAST = np.iinfo(np.int64).max
 
@@ -205,16 +206,21 @@ def _sorted_names(shared: pa.Table) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join(shared.column("names").to_pylist()), np.uint64))
 
 
-def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffixes of bytes in the order of their first 64, by doubling."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(72, np.uint8)]).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = key << np.uint64(8) | padded[k : k + n]
-    order = np.argsort(key, kind="stable")
+def eights(text: np.ndarray) -> np.ndarray:
+    """The next 8 bytes at each place as a number; zeros beyond the end."""
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)[:-1].copy().view(">u8")[:, 0].astype(
+        np.uint64
+    )
+
+
+def suffix_array(key: np.ndarray) -> np.ndarray:
+    """Suffixes in the order of their first 64 bytes, by doubling, from ``eights``."""
+    n = len(key)
+    order = np.argsort(key)
+    key = key[order]
     first = np.ones(n, bool)
-    first[1:] = key[order[1:]] != key[order[:-1]]
+    first[1:] = key[1:] != key[:-1]
     # A suffix's rank is the place of the first of its group; beyond the end it is -1.
     rank = np.full(n + 64, -1, np.int64)
     rank[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
@@ -224,24 +230,23 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         if not len(open_):
             break
         at = order[open_]
-        after = rank[at + step]
-        turn = np.lexsort((after, rank[at]))
-        at, after = at[turn], after[turn]
+        # The group first, so groups keep their places and never mix.
+        both = rank[at] * (n + 1) + rank[at + step] + 1
+        turn = np.argsort(both)
+        at, both = at[turn], both[turn]
         order[open_] = at
-        # The rest of a group keeps its place, so groups never mix.
-        group = rank[at]
         new = np.ones(len(at), bool)
-        new[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+        new[1:] = both[1:] != both[:-1]
         first[open_] = new
         rank[at] = open_[np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))]
     return order
 
 
-def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
+def common_prefixes(text: np.ndarray, key: np.ndarray, order: np.ndarray) -> np.ndarray:
     """For each place in ``order``, the bytes in common with the place before (at most 64 count).
 
     Kasai: one suffix further on in the text, the common prefix is one shorter, as long as both
-    neighbours are preceded by the same byte. So only the others are compared byte for byte.
+    neighbours are preceded by the same byte. So only the others are compared, by 8 bytes each.
     """
     n = len(text)
     before = np.full(n, -1, np.int64)
@@ -255,11 +260,17 @@ def common_prefixes(text: np.ndarray, order: np.ndarray) -> np.ndarray:
     size = np.zeros(n, np.int64)
     x, y = todo, before[todo]
     while len(x):
-        inside = np.maximum(x, y) + size[todo] < n
+        differ = key[x] ^ key[y]
+        more = differ == 0
+        step = np.full(len(x), 8, np.int64)
+        for k in range(8):
+            step -= differ >> np.uint64(8 * k) != 0
+        size[todo] += step
+        todo, x, y = todo[more], x[more] + 8, y[more] + 8
+        inside = np.maximum(x, y) < n
         todo, x, y = todo[inside], x[inside], y[inside]
-        same = text[x + size[todo]] == text[y + size[todo]]
-        todo, x, y = todo[same], x[same], y[same]
-        size[todo] += 1
+    # Zeros beyond the end are no bytes in common.
+    size = np.minimum(size, n - np.maximum(place, before))
     # A run of known ones counts down from the one before it.
     start = np.maximum.accumulate(np.where(known, 0, place))
     size = np.where(known, size[start] - (place - start), size)
@@ -274,10 +285,11 @@ class _Shard:
         self.sizes = np.array([len(p) for p in pieces], np.int64)
         windows = self.sizes - WINDOW + 1
         begin = np.cumsum(self.sizes) - self.sizes
-        order = suffix_array(self.text)
-        common = common_prefixes(self.text, order)
-        # Places that begin a window, by suffix order; others have none.
-        is_window = np.arange(len(self.text)) - np.repeat(begin, self.sizes) < np.repeat(
+        key = eights(self.text)
+        order = suffix_array(key)
+        common = common_prefixes(self.text, key, order)
+        # Places that begin a window.
+        self.is_window = is_window = np.arange(len(self.text)) - np.repeat(begin, self.sizes) < np.repeat(
             windows, self.sizes
         )
         doc = np.where(is_window, np.repeat(np.array(ids, np.int64), self.sizes), LAST)
@@ -310,6 +322,21 @@ class _Shard:
         return lo
 
 
+    def answers(self) -> list[bytes]:
+        """For each piece, runs of windows with one smallest document: place and document."""
+        smallest = self.least[self.class_of]
+        begin = np.cumsum(self.sizes) - self.sizes
+        new = np.ones(len(smallest), bool)
+        new[1:] = smallest[1:] != smallest[:-1]
+        new[begin] = True
+        new &= self.is_window
+        first = np.flatnonzero(new)
+        piece = np.searchsorted(begin, first, side="right") - 1
+        raw = np.stack([first - begin[piece], smallest[first]], axis=1).tobytes()
+        cuts = (16 * np.searchsorted(piece, np.arange(len(begin) + 1))).tolist()
+        return [raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _merge(shards: list[_Shard]) -> None:
     """Give equal classes of several shards their smallest document, range by range."""
     if len(shards) < 2:
@@ -337,7 +364,7 @@ def _merge(shards: list[_Shard]) -> None:
 
 
 def _digest(piece: bytes) -> bytes:
-    return hashlib.blake2b(piece, digest_size=16).digest()
+    return xxhash.xxh3_128_digest(piece)
 
 
 def _classes(shard: int):
@@ -365,12 +392,7 @@ def _classes(shard: int):
         _merge(shards)
         answer: dict[bytes, bytes] = {}
         for group, made in zip(groups.values(), shards, strict=True):
-            smallest = made.least[made.class_of]
-            at = 0
-            for p in group:
-                n = len(p) - WINDOW + 1
-                answer[p] = _packed(smallest[at : at + n])
-                at += len(p)
+            answer.update(zip(group, made.answers(), strict=True))
         out = [
             (b"".join(map(_digest, own)), b"".join(answer[p] for p in own),
              np.array([len(answer[p]) for p in own], np.int32).tobytes())
@@ -388,10 +410,18 @@ def _classes(shard: int):
     return classes
 
 
-def _packed(least: np.ndarray) -> bytes:
-    """Runs of equal numbers: the numbers, and where each begins."""
-    first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return np.stack([first, least[first]]).tobytes()
+def _spans(packed: bytes, size: int) -> list[tuple[int, int, int]]:
+    """Bytes under the windows of each run, and their smallest document."""
+    rows = np.frombuffer(packed, np.int64).reshape(-1, 2).tolist()
+    stops = [a for a, _ in rows[1:]] + [size - WINDOW + 1]
+    return [(a, b + WINDOW - 1, x) for (a, x), b in zip(rows, stops, strict=False)]
+
+
+def _mark(spans: list[int], size: int) -> np.ndarray:
+    edges = np.array(spans).reshape(-1, 2)
+    change = np.bincount(edges[:, 0], minlength=size + 1)
+    change -= np.bincount(edges[:, 1], minlength=size + 1)
+    return np.cumsum(change[:-1]) > 0
 
 
 _CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -407,28 +437,24 @@ def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
         ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
         for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
             answers[digests[16 * k : 16 * k + 16]] = least[a:b]
-    covered: dict[int, np.ndarray] = {}
+    covered: dict[int, list[int]] = {}
     if answers:
-        shared = _names_of(found)
-        for i, at, piece, _ in block.pieces(shared):
-            packed = answers.get(_digest(piece))
-            if packed is None:
-                continue
-            first, least = np.frombuffer(packed, np.int64).reshape(2, -1)
-            stop = np.append(first[1:], len(piece) - WINDOW + 1)
-            for a, b, smallest in zip(first.tolist(), stop.tolist(), least.tolist(), strict=True):
-                if smallest < block.ids[i]:
-                    if i not in covered:
-                        covered[i] = np.zeros(len(block.texts[i]) + 1, np.int32)
-                    covered[i][at + a] += 1
-                    covered[i][at + b + WINDOW - 1] -= 1
+        read: dict[bytes, list[tuple[int, int, int]]] = {}
+        for i, at, piece, _ in block.pieces(_names_of(found)):
+            runs = read.get(piece)
+            if runs is None:
+                runs = read[piece] = _spans(answers.get(_digest(piece), b""), len(piece))
+            own = block.ids[i]
+            for a, b, smallest in runs:
+                if smallest < own:
+                    covered.setdefault(i, []).extend((at + a, at + b))
     out = []
     for i, text in enumerate(block.texts):
         original = block.first[text]
         if block.ids[original] < block.ids[i] and len(text) >= WINDOW:
             gone = np.ones(len(text), bool)
         elif original in covered:
-            gone = np.cumsum(covered[original][:-1]) > 0
+            gone = _mark(covered[original], len(text))
         else:
             gone = np.zeros(0, bool)
         spans = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1))
@@ -462,7 +488,7 @@ def repeated_bytes(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"stintbook_blocks_{uuid.uuid4().hex}"
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(4 * buckets)).cast("int")
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
     (
         docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", block.alias("block"))
         .repartition(buckets, "block")

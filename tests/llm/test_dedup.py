@@ -175,11 +175,13 @@ def test_suffix_array_and_prefixes():
     for _ in range(40):
         raw = bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 300)))
         text = np.frombuffer(raw, np.uint8)
-        order = suffix_dedup.suffix_array(text).tolist()
+        key = suffix_dedup.eights(text)
+        order = suffix_dedup.suffix_array(key).tolist()
         assert sorted(order) == list(range(len(raw)))
         keys = [raw[i : i + 64].ljust(64, b"\0") for i in order]
         assert keys == sorted(keys)
-        for k, size in enumerate(suffix_dedup.common_prefixes(text, np.array(order)).tolist()):
+        common = suffix_dedup.common_prefixes(text, key, np.array(order))
+        for k, size in enumerate(common.tolist()):
             if k:
                 x, y = raw[order[k - 1] :][:64], raw[order[k] :][:64]
                 same = next((j for j in range(min(len(x), len(y))) if x[j] != y[j]), min(len(x), len(y)))
