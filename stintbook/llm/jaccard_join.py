@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintbook.llm.components import connected
@@ -332,11 +332,13 @@ def _candidates(docs: DataFrame, described: DataFrame, group: int) -> DataFrame:
     members = keep(
         met.filter("frequent").select("a", "b", "spare").dropDuplicates(["a", "b"]), "frequent"
     )
-    # A set with more parts than it can lose meets its partners elsewhere. The number tells the
-    # two bands of a set apart; where it does not, more sets than needed are unsure.
-    bears = members.groupBy("b", "spare").agg(F.count(F.lit(1)).alias("n"))
-    unsure = bears.filter("n >= spare").select("b", "spare")
-    rest = members.join(unsure, ["b", "spare"])
+    # A set with more rare parts than it can lose meets its partners in one of them. Others need
+    # so many frequent ones, taken in one order by all sets, that two that link share one. The
+    # number of spare parts tells the two bands of a set apart; where it does not, more are taken.
+    own = Window.partitionBy("b", "spare")
+    rest = members.withColumns(
+        {"n": F.count(F.lit(1)).over(own), "k": F.row_number().over(own.orderBy("a"))}
+    ).filter("n >= spare AND k <= n - spare + 1")
     leader = rest.groupBy("a").agg(F.min("b").alias("leader"))
     hung = rest.join(leader, "a").select(F.col("b").alias("a"), F.col("leader").alias("b"))
     return near.unionByName(hung.distinct())
