@@ -53,8 +53,8 @@ def _busiest(stints: DataFrame) -> DataFrame:
     return rankings.most_teams(stints, 10).select("player_uid")
 
 
-def _on_stints(query: Callable[[DataFrame], DataFrame], flags: bool = False) -> Query:
-    return lambda spark, sf_dir: _iso(query(demo.stints(spark, sf_dir, flags)))
+def _on_stints(query: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: _iso(query(demo.stints(spark, sf_dir)))
 
 
 def _segments(stints: DataFrame) -> DataFrame:
@@ -84,12 +84,8 @@ def _lineup_versions(stints: DataFrame) -> DataFrame:
 
 
 def _lineup_pages(stints: DataFrame) -> DataFrame:
-    """Pages of the teams the main report links to under "most players"."""
-    teams = rankings.teams_with_most_players(stints, 10).select("team_id")
-    own = stints.join(teams, "team_id", "left_semi")
-    return team_page.team_lineups(own, AS_OF, SOME_FROM, SOME_TO, "nick1").drop(
-        "player_url", "full_name"
-    )
+    """Pages of all teams in one window."""
+    return team_page.team_lineups(stints, AS_OF, SOME_FROM, SOME_TO, "nick1")
 
 
 def _label_days(stints: DataFrame) -> DataFrame:
@@ -230,7 +226,7 @@ def _own_queries() -> dict[str, Query]:
     return {
         "most_teams": _on_stints(rankings.most_teams),
         "team_most_players": _on_stints(rankings.teams_with_most_players),
-        "active_by_country": _on_stints(rankings.active_by_country, flags=True),
+        "active_by_country": _on_stints(rankings.active_by_country),
         "top_tenure": _on_stints(lambda s: rankings.longest_current_tenure(s, AS_OF)),
         "current_tenure_lag": _on_stints(lambda s: rankings.current_tenure(s, AS_OF, "lag")),
         "current_tenure_exact": _on_stints(lambda s: rankings.current_tenure(s, AS_OF, "exact")),
@@ -239,13 +235,13 @@ def _own_queries() -> dict[str, Query]:
         "most_teammates": _on_stints(lambda s: rankings.most_teammates(s, AS_OF)),
         "pair_time_lag": _on_stints(lambda s: rankings.pairs_with_most_time(s, AS_OF, "lag")),
         "pair_time_exact": _on_stints(lambda s: rankings.pairs_with_most_time(s, AS_OF, "exact")),
-        "main_report": _on_stints(lambda s: main_report.main_report(s, AS_OF), flags=True),
+        "main_report": _on_stints(lambda s: main_report.main_report(s, AS_OF)),
         "team_window": _on_stints(
             lambda s: lineups.team_window(s, SOME_FROM, SOME_TO, AS_OF).select(*RECORD)
         ),
-        "player_stints": _on_stints(lambda s: lookups.stints_of(s, _busiest(s)), flags=True),
-        "latest_stint": _on_stints(lookups.latest_stint, flags=True),
-        "player_headers": _on_stints(player_page.player_headers, flags=True),
+        "player_stints": _on_stints(lambda s: lookups.stints_of(s, _busiest(s))),
+        "latest_stint": _on_stints(lookups.latest_stint),
+        "player_headers": _on_stints(player_page.player_headers),
         "player_teams": _on_stints(lambda s: player_page.player_teams(s, AS_OF)),
         "teammates_merged_lag": _on_stints(
             lambda s: teammates.teammate_periods(s, _busiest(s), AS_OF)
@@ -258,12 +254,12 @@ def _own_queries() -> dict[str, Query]:
         "lineup_members": _on_stints(_members),
         "lineup_invalid": _on_stints(lineups.undated_records),
         "lineup_game_version": _on_stints(_lineup_versions),
-        "lineup_pages": _on_stints(_lineup_pages, flags=True),
+        "lineup_pages": _on_stints(_lineup_pages),
         "label_days": _on_stints(_label_days),
         "label_dates": _on_stints(_label_dates),
         "label_position": _on_stints(_label_position),
         "label_version": _on_stints(_label_version),
-        "label_country": _on_stints(_label_country, flags=True),
+        "label_country": _on_stints(_label_country),
         "validity_rules": _on_stints(_validity),
         "links": _on_stints(_links),
         "slugs": _slugs,

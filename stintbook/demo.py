@@ -21,18 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stints(spark: SparkSession, sf_dir: str, flags: bool = False) -> DataFrame:
-    """The fact table. Without ``flags`` the country is null, which spares two joins."""
-    orders = table(spark, sf_dir, "orders")
-    if flags:
-        customer = table(spark, sf_dir, "customer")
-        nation = table(spark, sf_dir, "nation")
-        homes = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select(
-            F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("flag_name")
-        )
-        orders = orders.join(homes, "o_custkey")
-    else:
-        orders = orders.withColumn("flag_name", F.lit(None).cast("string"))
+def stints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table."""
+    homes = (
+        table(spark, sf_dir, "customer")
+        .join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(F.col("c_custkey").alias("o_custkey"), F.col("n_name").alias("flag_name"))
+    )
+    orders = table(spark, sf_dir, "orders").join(homes, "o_custkey")
     lines = table(spark, sf_dir, "lineitem").join(
         orders, F.col("l_orderkey") == F.col("o_orderkey")
     )

@@ -21,7 +21,6 @@ from stintbook.functions.predicates import (
     period_start,
 )
 from stintbook.schema import DEFAULT_FROM, MIN_SHOWN_DAYS, RECORD, day
-from stintbook.sources.shared import keep
 
 
 def team_window(
@@ -112,32 +111,26 @@ def shown_segments(
 def lineup_members(records: DataFrame, segments: DataFrame) -> DataFrame:
     """One row per record and segment it was part of.
 
-    The segments of a team, at most one per calendar day, travel as one sorted array. Each
-    record takes those inside its own period, so the join is by team only and its output holds
-    nothing that is not in the result. The arrays are kept: the join then broadcasts them if
-    they are small, and otherwise reads plain shuffles, which can be split where a team is large.
+    A record begins and ends on days on which its team changed, so an equality join on the day
+    gives its first and last segment; the numbers between are its segments. Work and output grow
+    alike, and a large team is split by day and by segment.
     """
-    timelines = segments.groupBy("team_id").agg(
-        F.sort_array(
-            F.collect_list(
-                F.struct(
-                    F.col("segment_no"),
-                    F.col("start").alias("segment_start"),
-                    F.col("end").alias("segment_end"),
-                    F.col("game_version").alias("segment_version"),
-                )
-            )
-        ).alias("timeline")
-    )
-    timelines = keep(timelines, "timelines")
-    mine = F.filter(
-        "timeline",
-        lambda s: (s["segment_start"] >= F.col("start")) & (s["segment_end"] <= F.col("end")),
+    numbered = lineup_segments(records)
+    first = numbered.select("team_id", "start", F.col("segment_no").alias("first_no"))
+    last = numbered.select("team_id", "end", F.col("segment_no").alias("last_no"))
+    shown = segments.select(
+        "team_id",
+        "segment_no",
+        F.col("start").alias("segment_start"),
+        F.col("end").alias("segment_end"),
+        F.col("game_version").alias("segment_version"),
     )
+    fields = [c for c in records.columns if c not in {"start", "end"}]
     return (
-        records.join(timelines, "team_id")
-        .withColumn("segment", F.explode(mine))
-        .drop("timeline", "start", "end")
-        .select("*", "segment.*")
-        .drop("segment")
+        records.join(first, ["team_id", "start"])
+        .join(last, ["team_id", "end"])
+        .withColumn("segment_no", F.explode(F.sequence("first_no", "last_no")))
+        .select(*fields, "segment_no")
+        .join(shown, ["team_id", "segment_no"])
+        .select(*fields, "segment_no", "segment_start", "segment_end", "segment_version")
     )

@@ -209,14 +209,13 @@ def most_teammates_of_spans(
     periods = keep(team_spans(spans), "team-spans")
     heavy = heavy_teams(periods, share, floor)
     bounds = keep(teammate_bounds(periods, heavy), "teammate-bounds")
-    tried = PROBE * limit
-    probe = _top(bounds, "bound", ["player_uid"], tried)
+    probe = _top(bounds, "bound", ["player_uid"], PROBE * limit)
     counts = keep(teammate_counts(probe, periods, heavy), "teammate-counts")
     needed = _kth_best(counts, "teammate_count", limit)
+    # whoever was tried is counted already
     hopeful = bounds.filter(F.col("bound") >= needed)
-    # up to this number, all of them were among the best bounds and are counted already
-    if hopeful.count() > tried:
-        counts = teammate_counts(hopeful, periods, heavy)
+    rest = hopeful.join(probe.select("player_uid"), "player_uid", "left_anti")
+    counts = counts.unionByName(teammate_counts(rest, periods, heavy))
     return _top(counts, "teammate_count", ["player_uid"], limit)
 
 

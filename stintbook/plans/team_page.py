@@ -98,6 +98,8 @@ def team_page(
 ) -> DataFrame:
     """The page of one team in reading order; no rows if the team is unknown.
 
+    A team without a line-up to show has one row, with its name and links only.
+
     ``reset_url`` leads to the page without a window; it is null where none was given.
     """
     unfiltered = date_from is None and date_to is None
@@ -109,4 +111,4 @@ def team_page(
         reset.alias("reset_url"),
     )
     lineups = team_lineups(stints, as_of, date_from, date_to, highlight, team_id)
-    return lineups.join(known, "team_id").orderBy("lineup_no", "nickname", "player_uid")
+    return known.join(lineups, "team_id", "left").orderBy("lineup_no", "nickname", "player_uid")

@@ -212,6 +212,11 @@ def _page_job(
     return run
 
 
+def _read(pages: DataFrame) -> DataFrame:
+    """Pages with a text. All of them are parsed: marks in raw text can be written in many ways."""
+    return pages.select("page_id", "url", "html").filter(F.col("html").isNotNull())
+
+
 def page_links(pages: DataFrame, category: bool = True) -> DataFrame:
     """Absolute links of pages ``(page_id, url, html)``, without links to user pages.
 
@@ -219,18 +224,14 @@ def page_links(pages: DataFrame, category: bool = True) -> DataFrame:
     page; otherwise every link of the page.
     """
 
-    # pages that cannot hold a link never reach Python
-    marker = "mw-pages" if category else "href"
     rows_of = _category_links if category else _any_links
-    likely = pages.select("page_id", "url", "html").filter(F.col("html").contains(marker))
-    found = likely.mapInArrow(_page_job(rows_of, _LINKS_ARROW), _LINKS)
+    found = _read(pages).mapInArrow(_page_job(rows_of, _LINKS_ARROW), _LINKS)
     return found.filter((F.col("kind") == "next") | ~F.col("href").contains("User:")).drop("href")
 
 
 def roster_rows(pages: DataFrame) -> DataFrame:
     """Player rows of team pages as plain text, one row per table row."""
-    likely = pages.select("page_id", "url", "html").filter(F.col("html").contains("Player_Roster"))
-    return likely.mapInArrow(_page_job(_roster_rows, _ROWS_ARROW), _ROWS)
+    return _read(pages).mapInArrow(_page_job(_roster_rows, _ROWS_ARROW), _ROWS)
 
 
 def extract_feed(pages: DataFrame) -> DataFrame:

@@ -174,3 +174,28 @@ def test_every_listed_entity_has_a_page(spark):
         assert all((e - s).days < 3 for s, e in periods)
     headed = {r.player_uid for r in player_teams(stints, AS_OF).collect()}
     assert headed == {r["player_uid"] for r in rows}
+
+
+def test_members_of_a_hot_team_of_many_records(spark):
+    """One team with 40,000 short records: work must follow the output."""
+    from pyspark.sql import functions as F
+
+    day_no = (F.col("id") % 20_000).cast("int")
+    start = F.date_add(F.lit(D(1960, 1, 1)), day_no)
+    rows = spark.range(40_000).select(
+        F.lit("hot").alias("team_id"),
+        F.format_string("P%d", "id").alias("player_uid"),
+        F.lit("-").alias("game_version"),
+        start.alias("start"),
+        F.date_add(start, 5).alias("end"),
+    )
+    segments = lineups.lineup_segments(rows)
+    members = lineups.lineup_members(rows, segments)
+    assert members.count() == segments.agg(F.sum("members")).first()[0] == 200_000
+
+
+def test_team_page_without_lineups(spark):
+    rows = [stint("A", "Team One", D(2020, 1, 1), leave=D(2020, 1, 2))]
+    (row,) = team_page(teams_of(spark), frame(spark, rows), "Team One", AS_OF).collect()
+    assert row.team_url is not None and row.lineup_no is None
+    assert row.player_uid is None

@@ -253,3 +253,10 @@ def test_element_tree():
     items = select(page, lambda e: e.tag == "ul", lambda e: e.tag == "li")
     assert [("".join(e.all_texts()), list(e.classes)) for e in items] == [("x", ["a", "b"]), ("yz", [])]
     assert [e.own_texts() for e in select(page, lambda e: e.tag == "b")] == [["t&u"]]
+
+
+def test_links_in_upper_case(spark):
+    table = page_table(spark, ("https://w.example/a", "<A HREF='/x'>x</A>"))
+    assert [r.link for r in pages.page_links(table, category=False).collect()] == [
+        "https://w.example/x"
+    ]
