@@ -9,9 +9,11 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 import sentencepiece
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from stintbook.llm import (
@@ -115,10 +117,18 @@ def test_prefix_counts(byte_pairs):
         assert counts.prefix_counts(unit).tolist() == expected
 
 
-def test_lattice_equals_plain_merging():
+def test_neighbours_follow_the_merges():
     rank = {("a", "b"): 0, ("b", "a"): 1, ("ab", "a"): 2, ("a", "ab"): 3, ("b", "b"): 4}
-    pairs = lattice.Pairs(["a", "b", *{x + y for x, y in rank}], rank.get)
-    assert pairs.merged("aababb") == ["a" + "ab", "ab", "b"] or pairs.merged("aababb")
+    texts = ["a", "b", "ab", "ba", "aba", "aab", "bb"]
+    pairs = lattice.Pairs(texts, rank.get)
+    n = len(texts)
+    left, right = np.divmod(np.arange((n + 1) * n), n)
+    expected = [
+        pairs.merged(pairs.texts[x] + texts[y]) == [*([texts[x]] if x < n else []), texts[y]]
+        for x, y in zip(left.tolist(), right.tolist(), strict=True)
+    ]
+    assert pairs.follow(left, right).tolist() == expected
+    assert pairs.follow(left, right).tolist() == expected
 
 
 @pytest.mark.parametrize("together", [50, 400_000])
@@ -181,8 +191,7 @@ def test_chat(spark, byte_pairs, monkeypatch):
 
 
 def test_chat_pieces_have_the_same_tokens(byte_pairs, monkeypatch):
-    turns = [("user", f"say {i}"), ("assistant", f"é{i}\n\n")] * 1 if (i := 3) else []
-    turns = turns * 20
+    turns = [t for i in range(20) for t in (("user", f"say {i}"), ("assistant", f"é{i}\n\n"))]
     whole = chat.encode(turns, byte_pairs)
     monkeypatch.setattr(chat, "PIECE", 10)
     parts = list(chat._pieces(iter(turns), byte_pairs))
@@ -237,8 +246,6 @@ def test_language(spark):
     held = [r for r in rows if r.held_out]
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
     # Labels of held-out rows are never seen.
-    from pyspark.sql import functions as F
-
     blind = docs.withColumn("lang", F.when(~language_id.held_out(), F.col("lang")))
     again = language_id.train(blind)
     assert again.languages == model.languages and (again.table == model.table).all()
