@@ -14,7 +14,13 @@ from pyspark.sql import functions as F
 
 from stintbook.functions.dates import iso_date
 from stintbook.functions.text import strip
-from stintbook.sources.feed import build_stints, build_teams, read_feed, write_feed
+from stintbook.sources.feed import (
+    build_stints,
+    build_teams,
+    check_constraints,
+    read_feed,
+    write_feed,
+)
 
 # Fixed value: a new snapshot may be at most 10 % smaller than the one it replaces.
 MIN_SIZE_RATIO = 0.9
@@ -56,13 +62,15 @@ class _Folder:
 
 
 def read_version(spark: SparkSession, root: str) -> dt.date | None:
-    """The published version; None if nothing was published yet."""
+    """The published version; None if nothing was published yet. A damaged file raises."""
     folder = _Folder(spark, root)
     if not folder.exists("updated.txt"):
         return None
     line = spark.read.text(folder.at("updated.txt"), wholetext=True)
     row = line.select(iso_date(strip(F.col("value"))).alias("version")).first()
-    return row["version"] if row else None
+    if row is None or row["version"] is None:
+        raise ValueError(f"no date in {folder.at('updated.txt')}")
+    return row["version"]
 
 
 def version_table(spark: SparkSession, root: str) -> DataFrame:
@@ -75,7 +83,8 @@ def version_table(spark: SparkSession, root: str) -> DataFrame:
 def publish(feed: DataFrame, root: str, version: dt.date) -> None:
     """Write the feed beside the current snapshot, check it, then put it in its place.
 
-    A failed job, an empty result, or one that shrank too much leaves the current snapshot.
+    A failed job, an empty result, one that breaks a constraint, or one that shrank too much
+    leaves the current snapshot.
     """
     folder = _Folder(feed.sparkSession, root)
     staging = f"rosters.inprogress-{uuid.uuid4().hex}"
@@ -84,6 +93,11 @@ def publish(feed: DataFrame, root: str, version: dt.date) -> None:
         size = folder.size(staging)
         if size == 0:
             raise PublishRejected("the new snapshot is empty")
+        written = read_feed(feed.sparkSession, folder.at(staging))
+        try:
+            check_constraints(build_teams(written), build_stints(written))
+        except ValueError as broken:
+            raise PublishRejected(str(broken)) from broken
         if folder.exists("rosters") and size < folder.size("rosters") * MIN_SIZE_RATIO:
             raise PublishRejected("the new snapshot is significantly smaller than the old one")
     except BaseException:

@@ -260,3 +260,16 @@ def test_links_in_upper_case(spark):
     assert [r.link for r in pages.page_links(table, category=False).collect()] == [
         "https://w.example/x"
     ]
+
+
+def test_publish_rejects_broken_constraints(spark, tmp_path):
+    root = str(tmp_path)
+    with pytest.raises(snapshot.PublishRejected, match="nickname"):
+        snapshot.publish(feed_of(spark, [{"player_id": None}] * 3), root, D(2024, 1, 1))
+    assert snapshot.read_version(spark, root) is None
+
+
+def test_damaged_version_raises(spark, tmp_path):
+    (tmp_path / "updated.txt").write_text("soon")
+    with pytest.raises(ValueError, match="no date"):
+        snapshot.read_version(spark, str(tmp_path))
