@@ -54,11 +54,12 @@ def exact_date(text: Column) -> Column:
     return _let(_head(text), iso_date)
 
 
-def repaired_date(kind: Column, text: Column) -> Column:
+def repaired_date(kind: Column, text: Column, month_end: bool = False) -> Column:
     """Complete a date whose tail is unknown.
 
     Joins are completed with 01-01, other dates with 12-31. The parts are appended and the
-    first three kept, so a leave date known to the month ends on day 12 of that month.
+    first three kept, so a leave date known to the month ends on day 12 of that month; with
+    ``month_end`` it ends on the last day of that month.
     """
     # The parts that stand in for unknown ones.
     tail = F.when(kind == "join_date", F.array(F.lit("01"), F.lit("01"))).otherwise(
@@ -71,13 +72,17 @@ def repaired_date(kind: Column, text: Column) -> Column:
         digits = F.rtrim(F.regexp_replace(known, "[^0-9-]", ""), F.lit("-"))
         parts = F.slice(F.concat(F.split(digits, "-"), tail), 1, 3)
         has_year = _shape(F.substring(head, 1, 4)) == "0000"
-        return F.when(has_year, _let(F.array_join(parts, "-"), iso_date))
+        date = _let(F.array_join(parts, "-"), iso_date)
+        if month_end:
+            to_the_month = (kind != "join_date") & (F.size(F.split(digits, "-")) == 2)
+            date = F.when(to_the_month, F.last_day(date)).otherwise(date)
+        return F.when(has_year, date)
 
     return _let(_head(text), complete)
 
 
-def parsed_date(kind: Column, text: Column) -> Column:
-    return F.coalesce(exact_date(text), repaired_date(kind, text))
+def parsed_date(kind: Column, text: Column, month_end: bool = False) -> Column:
+    return F.coalesce(exact_date(text), repaired_date(kind, text, month_end))
 
 
 def raw_date(kind: Column, text: Column) -> Column:

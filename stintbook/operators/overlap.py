@@ -1,8 +1,8 @@
 """Interval-overlap joins between members of the same team.
 
-A team that holds a large share of all rows is split: its rows are spread over quarters (self
-join) or salts (join against chosen players), so that no task gets the whole team. All other
-teams keep a plain join on the team id without any copies.
+All teams are cut into quarters: spans meet only within one quarter of one team, so a team with
+a large share of all rows is many keys, and spans far apart in time are never compared. A pair
+that shares several quarters is found in the one where its overlap begins.
 """
 
 from __future__ import annotations
@@ -14,11 +14,6 @@ from pyspark.sql import functions as F
 
 from stintbook.functions.predicates import is_clean, overlap_end
 
-# A team is heavy above this many rows and above 1/HEAVY_SHARE of all rows. By the second
-# condition there are fewer than HEAVY_SHARE heavy teams, however large the data.
-HEAVY_SHARE = 1024
-HEAVY_FLOOR = 100_000
-
 
 def clean_spans(stints: DataFrame, as_of: dt.date) -> DataFrame:
     """Clean stints as ``(player_uid, team_id, start, end)``.
@@ -37,71 +32,30 @@ def clean_spans(stints: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def heavy_teams(
-    spans: DataFrame, share: int = HEAVY_SHARE, floor: int = HEAVY_FLOOR
-) -> DataFrame | None:
-    """Teams to split, with ``pieces``: how many even parts hold about 1/share of all rows.
-
-    None if there is no such team. Runs at once, so ``spans`` should be a kept table.
-    """
-    size = F.col("members")
-    sizes = spans.groupBy("team_id").agg(F.count(F.lit(1)).alias("members"))
-    total, largest = sizes.agg(F.sum(size), F.max(size)).first()
-    if not total or largest <= floor or largest * share <= total:
-        return None
-    # fewer than `share` rows by definition, so they fit the driver and a broadcast
-    found = (
-        sizes.filter((size > floor) & (size * share > total))
-        .select("team_id", F.ceil(size * share / total).cast("int").alias("pieces"))
-        .collect()
-    )
-    return F.broadcast(spans.sparkSession.createDataFrame(found, "team_id string, pieces int"))
-
-
-def spread_heavy(
-    large: DataFrame, small: DataFrame, heavy: DataFrame | None, by: list[str]
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Prepare a join by team: salt the rows of heavy teams in ``large``, copy those in ``small``.
-
-    Returns both sides and the column to join on besides the others; none without heavy teams.
-    """
-    if heavy is None:
-        return large, small, []
-    salt = F.pmod(F.xxhash64(*by), F.col("pieces")).cast("int")
-    salts = F.sequence(F.lit(0), F.coalesce(F.col("pieces") - 1, F.lit(0)))
-    salted = large.join(heavy, "team_id", "left").withColumn("salt", F.coalesce(salt, F.lit(0)))
-    copied = small.join(heavy, "team_id", "left").withColumn("salt", F.explode(salts))
-    return salted.drop("pieces"), copied.drop("pieces"), ["salt"]
-
-
 def _quarter(date: Column) -> Column:
     return F.year(date) * 4 + F.quarter(date)
 
 
-def self_overlaps(spans: DataFrame, closed: bool, heavy: DataFrame | None = None) -> DataFrame:
+def _each_quarter() -> Column:
+    """The quarters a span with ``start <= end`` touches; at most four a year."""
+    return F.explode(F.sequence(_quarter(F.col("start")), _quarter(F.col("end"))))
+
+
+def self_overlaps(spans: DataFrame, closed: bool) -> DataFrame:
     """Every unordered pair of overlapping spans of two players in one team, once.
 
     Returns ``player1 < player2``, the team and the overlap's ``start`` and ``end``. An overlap
     begins where the later span begins, so each span is looked up, at its start, among the
     spans that cover that day. With ``closed`` an overlap of zero days counts.
     """
-    keys = ["team_id"]
-    later = earlier = spans
-    if heavy is not None:
-        keys = ["team_id", "slice"]
-        marked = spans.join(heavy, "team_id", "left")
-        is_heavy = F.col("pieces").isNotNull()
-        first, last = _quarter(F.col("start")), _quarter(F.col("end"))
-        later = marked.withColumn("slice", F.when(is_heavy, first).otherwise(0))
-        slices = F.when(is_heavy, F.sequence(first, last)).otherwise(F.array(F.lit(0)))
-        earlier = marked.withColumn("slice", F.explode(slices))
-    later = later.select(
+    keys = ["team_id", "quarter"]
+    later = spans.withColumn("quarter", _quarter(F.col("start"))).select(
         *keys,
         F.col("player_uid").alias("later_uid"),
         F.col("start").alias("later_start"),
         F.col("end").alias("later_end"),
     )
-    earlier = earlier.select(
+    earlier = spans.withColumn("quarter", _each_quarter()).select(
         *keys,
         F.col("player_uid").alias("earlier_uid"),
         F.col("start").alias("earlier_start"),
@@ -126,19 +80,18 @@ def self_overlaps(spans: DataFrame, closed: bool, heavy: DataFrame | None = None
     )
 
 
-def overlaps_with(
-    chosen: DataFrame, mates: DataFrame, closed: bool = False, heavy: DataFrame | None = None
-) -> DataFrame:
+def overlaps_with(chosen: DataFrame, mates: DataFrame, closed: bool = False) -> DataFrame:
     """Spans of ``mates`` that overlap a span of ``chosen`` in the same team.
 
     ``chosen`` has ``player_uid, team_id, start, end``; ``mates`` has those and any further
     columns, which are kept. Adds ``of_player`` and the overlap as ``overlap_start`` and
-    ``overlap_end``. Rows of a heavy team are salted on the ``mates`` side and the far fewer
-    chosen rows are copied to every salt.
+    ``overlap_end``. Both sides are copied to each quarter they touch, so ``mates`` should be
+    narrow; spans that end before they start meet nothing.
     """
-    mates, chosen, salt = spread_heavy(mates, chosen, heavy, ["player_uid", "start", "end"])
-    keys = ["team_id", *salt]
-    chosen = chosen.select(
+    keys = ["team_id", "quarter"]
+    ordered = F.col("start") <= F.col("end")
+    mates = mates.filter(ordered).withColumn("quarter", _each_quarter())
+    chosen = chosen.filter(ordered).withColumn("quarter", _each_quarter()).select(
         *keys,
         F.col("player_uid").alias("of_player"),
         F.col("start").alias("of_start"),
@@ -147,10 +100,11 @@ def overlaps_with(
     begins = F.greatest("start", "of_start")
     until = F.least("end", "of_end")
     meets = begins <= until if closed else begins < until
+    here = F.col("quarter") == _quarter(begins)
     return (
         mates.join(chosen, keys)
-        .filter((F.col("player_uid") != F.col("of_player")) & meets)
+        .filter((F.col("player_uid") != F.col("of_player")) & meets & here)
         .withColumn("overlap_start", begins)
         .withColumn("overlap_end", until)
-        .drop("salt", "of_start", "of_end")
+        .drop("quarter", "of_start", "of_end")
     )

@@ -11,15 +11,7 @@ from pyspark.sql import Window as W
 
 from stintbook.functions.predicates import has_join, is_ongoing, not_left
 from stintbook.operators.merging import covered_days, disjoint_periods
-from stintbook.operators.overlap import (
-    HEAVY_FLOOR,
-    HEAVY_SHARE,
-    clean_spans,
-    heavy_teams,
-    overlaps_with,
-    self_overlaps,
-    spread_heavy,
-)
+from stintbook.operators.overlap import clean_spans, overlaps_with, self_overlaps
 from stintbook.schema import day
 from stintbook.sources.shared import keep
 
@@ -106,7 +98,7 @@ def team_spans(spans: DataFrame) -> DataFrame:
     return disjoint_periods(lasting, ["player_uid", "team_id"])
 
 
-def teammate_bounds(periods: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+def teammate_bounds(periods: DataFrame) -> DataFrame:
     """Upper bound of each player's number of teammates, without forming pairs.
 
     In one team, the periods that overlap ``[s, e)`` are those that start before ``e`` less
@@ -156,10 +148,10 @@ def teammate_bounds(periods: DataFrame, heavy: DataFrame | None = None) -> DataF
     met_overall = F.max(ends["opened_before"]) - F.min(starts["closed_until"]) - 1
     again_overall = F.max(ends["returned_before"]) - F.min(starts["paused_until"])
     zero = F.lit(0)
-    # many periods of a heavy team may end on one day
-    edges, running, salt = spread_heavy(edges, running, heavy, ["player_uid"])
+    # many periods of a team may end on one day; its one row of ``running`` meets them in as many
+    # tasks as adaptive execution splits that day into
     return (
-        edges.join(running, ["team_id", "day", *salt])
+        edges.join(running, ["team_id", "day"])
         .groupBy("player_uid", "team_id")
         .agg(
             F.least(
@@ -171,76 +163,53 @@ def teammate_bounds(periods: DataFrame, heavy: DataFrame | None = None) -> DataF
     )
 
 
-def teammate_counts(
-    players: DataFrame, periods: DataFrame, heavy: DataFrame | None = None
-) -> DataFrame:
-    """Exact number of different teammates of the given players.
-
-    The players and their periods are kept, so that the planner knows how small they are: then
-    it sends them to the large table instead of shuffling that.
-    """
-    players = keep(players.select("player_uid"), "players")
-    chosen = keep(periods.join(players, "player_uid", "left_semi"), "chosen-spans")
-    met = overlaps_with(chosen, periods, heavy=heavy).select("of_player", "player_uid")
+def teammate_counts(players: DataFrame, periods: DataFrame) -> DataFrame:
+    """Exact number of different teammates of the given players."""
+    chosen = periods.join(players.select("player_uid"), "player_uid", "left_semi")
+    met = overlaps_with(
+        chosen, periods.select("player_uid", "team_id", "start", "end")
+    ).select("of_player", "player_uid")
     return met.groupBy(F.col("of_player").alias("player")).agg(
         F.countDistinct("player_uid").alias("teammate_count")
     ).withColumnRenamed("player", "player_uid")
 
 
-def most_teammates(
-    stints: DataFrame,
-    as_of: dt.date,
-    limit: int = 10,
-    share: int = HEAVY_SHARE,
-    floor: int = HEAVY_FLOOR,
-) -> DataFrame:
+def most_teammates(stints: DataFrame, as_of: dt.date, limit: int = 10) -> DataFrame:
     """Players with the most different teammates.
 
     The players with the best bounds are counted first. Nobody whose bound is below the
     ``limit``-th best of those counts can be in the result, so only the rest is counted. The
     result is exact; where bounds are close to the counts, few players are left to join.
     """
-    return most_teammates_of_spans(clean_spans(stints, as_of), limit, share, floor)
+    return most_teammates_of_spans(clean_spans(stints, as_of), limit)
 
 
-def most_teammates_of_spans(
-    spans: DataFrame, limit: int, share: int = HEAVY_SHARE, floor: int = HEAVY_FLOOR
-) -> DataFrame:
+def most_teammates_of_spans(spans: DataFrame, limit: int) -> DataFrame:
     periods = keep(team_spans(spans), "team-spans")
-    heavy = heavy_teams(periods, share, floor)
-    bounds = keep(teammate_bounds(periods, heavy), "teammate-bounds")
+    bounds = keep(teammate_bounds(periods), "teammate-bounds")
     probe = _top(bounds, "bound", ["player_uid"], PROBE * limit)
-    counts = keep(teammate_counts(probe, periods, heavy), "teammate-counts")
+    counts = keep(teammate_counts(probe, periods), "teammate-counts")
     needed = _kth_best(counts, "teammate_count", limit)
     # whoever was tried is counted already
     hopeful = bounds.filter(F.col("bound") >= needed)
     rest = hopeful.join(probe.select("player_uid"), "player_uid", "left_anti")
-    counts = counts.unionByName(teammate_counts(rest, periods, heavy))
+    counts = counts.unionByName(teammate_counts(rest, periods))
     return _top(counts, "teammate_count", ["player_uid"], limit)
 
 
-def pair_days(
-    stints: DataFrame,
-    as_of: dt.date,
-    merge: str = "lag",
-    share: int = HEAVY_SHARE,
-    floor: int = HEAVY_FLOOR,
-) -> DataFrame:
+def pair_days(stints: DataFrame, as_of: dt.date, merge: str = "lag") -> DataFrame:
     """Days together of every pair that ever shared a team. The output is as large as that."""
-    spans = keep(clean_spans(stints, as_of).distinct(), "spans")
-    together = self_overlaps(spans, True, heavy_teams(spans, share, floor))
+    together = self_overlaps(clean_spans(stints, as_of).distinct(), True)
     return covered_days(together, ["player1", "player2"], merge)
 
 
 def _days_of_pairs(pairs: DataFrame, spans: DataFrame, merge: str) -> DataFrame:
     """Days together of the given pairs, over all their teams.
 
-    The pairs and the spans of their players are kept, so that the planner knows their size and
-    shuffles the whole of ``spans`` only if these are large too.
+    ``pairs`` is read three times, so it should be a kept or a small table.
     """
-    pairs = keep(pairs, "pairs")
     ids = pairs.select(F.explode(F.array("player1", "player2")).alias("player_uid")).distinct()
-    spans = keep(spans.join(ids, "player_uid", "left_semi"), "pair-spans")
+    spans = spans.join(ids, "player_uid", "left_semi")
     # the spans of the player with fewer are looked up among those of the other, so a pair costs
     # no more than the smaller number, even if the other player has a large share of all spans
     sizes = spans.groupBy("player_uid").agg(F.count(F.lit(1)).alias("size"))
@@ -294,7 +263,7 @@ def _probe_pairs(spans: DataFrame, limit: int) -> DataFrame:
         F.col("place") <= per_team
     )
     overall = spans.orderBy(F.desc(length), "player_uid", "start").limit(PROBE * limit)
-    some = keep(some.drop("place").unionByName(overall).distinct(), "longest-spans")
+    some = some.drop("place").unionByName(overall).distinct()
     pairs = (
         self_overlaps(some, False)
         .groupBy("player1", "player2")
@@ -309,8 +278,6 @@ def pairs_with_most_time(
     as_of: dt.date,
     merge: str = "lag",
     limit: int = 10,
-    share: int = HEAVY_SHARE,
-    floor: int = HEAVY_FLOOR,
 ) -> DataFrame:
     """Pairs with the most days together, exact, without forming all pairs.
 
@@ -324,18 +291,12 @@ def pairs_with_most_time(
     the needed days, are joined. The pairs found are then added up over all their teams.
     """
     spans = keep(clean_spans(stints, as_of).distinct(), "spans")
-    return pairs_with_most_time_of_spans(spans, merge, limit, share, floor)
+    return pairs_with_most_time_of_spans(spans, merge, limit)
 
 
-def pairs_with_most_time_of_spans(
-    spans: DataFrame,
-    merge: str,
-    limit: int,
-    share: int = HEAVY_SHARE,
-    floor: int = HEAVY_FLOOR,
-) -> DataFrame:
+def pairs_with_most_time_of_spans(spans: DataFrame, merge: str, limit: int) -> DataFrame:
     pair = ["player1", "player2"]
-    probe = _probe_pairs(spans, limit)
+    probe = keep(_probe_pairs(spans, limit), "probe-pairs")
     needed = _kth_best(_days_of_pairs(probe, spans, merge), "total_days", limit)
 
     players = (
@@ -349,12 +310,10 @@ def pairs_with_most_time_of_spans(
         .filter(F.col("most_days") >= needed)
         .select("player_uid", "last_end")
     )
-    players = keep(players, "lasting-players")
     early = (
         spans.join(players, "player_uid")
         .filter(F.datediff("last_end", "start") >= needed)
         .select("player_uid", "team_id", "start", "end")
     )
-    early = keep(early, "early-spans")
-    seeds = self_overlaps(early, True, heavy_teams(early, share, floor)).select(*pair).distinct()
+    seeds = keep(self_overlaps(early, True).select(*pair).distinct(), "pairs")
     return _top(_days_of_pairs(seeds, spans, merge), "total_days", pair, limit)

@@ -54,9 +54,11 @@ def player_teams(stints: DataFrame, as_of: dt.date) -> DataFrame:
     ).distinct()
 
 
-def player_teammates(stints: DataFrame, players: DataFrame, as_of: dt.date) -> DataFrame:
+def player_teammates(
+    stints: DataFrame, players: DataFrame, as_of: dt.date, merge: str = "lag"
+) -> DataFrame:
     """Teammates with their periods, one row per period, with texts to show."""
-    summary = teammate_summary(teammate_periods(stints, players, as_of))
+    summary = teammate_summary(teammate_periods(stints, players, as_of, merge))
     return summary.select(
         "of_player",
         "player_uid",

@@ -84,29 +84,31 @@ def test_contained_interval(spark):
         covered_days(df, ["k"], "other")
 
 
-# small floors send the hot team through the split joins
-SPLITS = [(1024, 100_000), (8, 5)]
-
-
 @pytest.mark.parametrize("closed", [True, False])
-@pytest.mark.parametrize(("share", "floor"), SPLITS)
-def test_self_overlaps(spark, closed, share, floor):
+def test_self_overlaps(spark, closed):
     rows = random_stints(1)
     cleaned = overlap.clean_spans(frame(spark, rows), AS_OF)
-    heavy = overlap.heavy_teams(cleaned, share, floor)
-    assert (heavy is None) == (floor > len(rows))
     found = defaultdict(list)
-    for r in overlap.self_overlaps(cleaned, closed, heavy).collect():
+    for r in overlap.self_overlaps(cleaned, closed).collect():
         found[r.player1, r.player2].append((r.start, r.end))
     expected = brute_pairs(rows, closed)
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
-def test_heavy_teams_are_few(spark):
-    rows = [stint(f"p{i}", "hot" if i % 3 else f"t{i}", ORIGIN) for i in range(90)]
-    cleaned = overlap.clean_spans(frame(spark, rows), AS_OF)
-    found = overlap.heavy_teams(cleaned, 10, 5).collect()
-    assert [(r.team_id, r.pieces) for r in found] == [("hot", 7)]
+def test_overlaps_across_quarters(spark):
+    # one overlap over many quarters is found once; a reversed span meets nothing
+    rows = [
+        ("A", "t", D(2020, 1, 1), D(2022, 12, 31)),
+        ("B", "t", D(2019, 5, 1), D(2021, 6, 30)),
+        ("C", "t", D(2021, 2, 1), D(2021, 1, 1)),
+        ("D", "t", D(2022, 12, 31), D(2023, 1, 5)),
+    ]
+    spans_ = spark.createDataFrame(rows, "player_uid string, team_id string, start date, end date")
+    chosen = spans_.filter("player_uid = 'A'")
+    for closed, mates in ((False, {"B"}), (True, {"B", "D"})):
+        found = overlap.overlaps_with(chosen, spans_, closed).collect()
+        assert sorted(r.player_uid for r in found) == sorted(mates)
+        assert {r.of_player for r in found} == {"A"}
 
 
 @pytest.mark.parametrize("merge", ["lag", "exact"])
@@ -116,11 +118,11 @@ def test_pairs_with_most_time(spark, merge, seed):
     rule = {"lag": lag_days, "exact": exact_days}[merge]
     totals = {pair: rule(v) for pair, v in brute_pairs(rows, True).items()}
     df = frame(spark, rows)
-    whole = rankings.pair_days(df, AS_OF, merge, *SPLITS[1]).collect()
+    whole = rankings.pair_days(df, AS_OF, merge).collect()
     assert {(r.player1, r.player2): r.total_days for r in whole} == totals
     best = sorted(totals.items(), key=lambda t: (-t[1], t[0]))
-    for limit, (share, floor) in ((4, SPLITS[0]), (25, SPLITS[1]), (10_000, SPLITS[1])):
-        found = rankings.pairs_with_most_time(df, AS_OF, merge, limit, share, floor).collect()
+    for limit in (4, 25, 10_000):
+        found = rankings.pairs_with_most_time(df, AS_OF, merge, limit).collect()
         assert [((r.player1, r.player2), r.total_days) for r in found] == best[:limit]
 
 
@@ -132,17 +134,15 @@ def test_most_teammates(spark, seed):
         mates[a].add(b)
         mates[b].add(a)
     best = sorted(((p, len(m)) for p, m in mates.items()), key=lambda t: (-t[1], t[0]))
-    for limit, (share, floor) in ((2, SPLITS[0]), (7, SPLITS[1]), (1000, SPLITS[1])):
-        found = rankings.most_teammates(frame(spark, rows), AS_OF, limit, share, floor).collect()
+    for limit in (2, 7, 1000):
+        found = rankings.most_teammates(frame(spark, rows), AS_OF, limit).collect()
         assert [tuple(r) for r in found] == best[:limit]
 
 
-@pytest.mark.parametrize(("share", "floor"), SPLITS)
-def test_teammate_bounds_hold(spark, share, floor):
+def test_teammate_bounds_hold(spark):
     rows = random_stints(5, players=60)
     periods = rankings.team_spans(overlap.clean_spans(frame(spark, rows), AS_OF))
-    heavy = overlap.heavy_teams(periods, share, floor)
-    found = rankings.teammate_bounds(periods, heavy)
+    found = rankings.teammate_bounds(periods)
     bounds = {r.player_uid: r.bound for r in found.collect()}
     mates = defaultdict(set)
     for a, b in brute_pairs(rows, False):
@@ -203,8 +203,8 @@ def test_counting_rankings(spark):
     assert [tuple(r) for r in rankings.active_by_country(df).collect()] == [("U", 1), (None, 1)]
 
 
-@pytest.mark.parametrize(("share", "floor"), SPLITS)
-def test_teammate_periods(spark, share, floor):
+@pytest.mark.parametrize("merge", ["lag", "exact"])
+def test_teammate_periods(spark, merge):
     rows = random_stints(6)
     chosen = {"P1", "P2", "P3"}
     ties = ["team_id", "join_date", "inactive_date", "leave_date", "game_version", "nickname",
@@ -232,9 +232,9 @@ def test_teammate_periods(spark, share, floor):
             period = (start, end) if apart else (before, max(end, before))
             expected.add((player, row["player_uid"], row["team_id"], row["join_date"],
                           row["position"], row["game_version"], row["is_captain"], *period))
-            before = end
+            before = end if merge == "lag" else max(end, before or end)
     players = spark.createDataFrame([(p,) for p in chosen], "player_uid string")
-    periods = teammate_periods(frame(spark, rows), players, AS_OF, share, floor)
+    periods = teammate_periods(frame(spark, rows), players, AS_OF, merge)
     found = {
         (r.of_player, r.player_uid, r.team_id, r.join_date, r.position, r.game_version,
          r.is_captain, r.overlap_start, r.overlap_end)
