@@ -54,6 +54,8 @@ ROSTER_FEED = _fields(
     ]
 )
 
+TEAMS = _fields([("unique_name", _S), ("name", _S), ("wiki_url", _S)])
+
 # The fact table. The feed calls the nickname "player_id"; here every id says what it is.
 STINTS = _fields(
     [

@@ -1,7 +1,10 @@
 """Versioned snapshots of the feed: guarded publishing and reload on a newer version.
 
-A snapshot folder holds ``rosters`` (the feed as JSON lines), ``rosters.bak`` (the one before)
-and ``updated.txt`` (the version, one ISO date).
+Each published snapshot has a folder of its own with ``feed`` (JSON lines) and the tables
+``teams`` and ``stints`` (Parquet), which never changes. ``updated.txt`` names the version, one ISO
+date, and under it the folders in use: the current one, then those kept as backup. Writing it
+is the last step, so readers see the old snapshot or the new one, and frames taken from the old
+one go on working until its folder is removed.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from pyspark.sql import functions as F
 
 from stintbook.functions.dates import iso_date
 from stintbook.functions.text import strip
+from stintbook.schema import STINTS, TEAMS
 from stintbook.sources.feed import (
     build_stints,
     build_teams,
@@ -22,6 +26,9 @@ from stintbook.sources.feed import (
     write_feed,
 )
 
+# The current snapshot and this many before it stay.
+BACKUPS = 1
+
 # Fixed value: a new snapshot may be at most 10 % smaller than the one it replaces.
 MIN_SIZE_RATIO = 0.9
 
@@ -51,26 +58,32 @@ class _Folder:
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.at(name)), True)
 
-    def move(self, name: str, target: str) -> None:
-        if not self._fs.rename(self._path(self.at(name)), self._path(self.at(target))):
-            raise OSError(f"cannot move {self.at(name)} to {self.at(target)}")
-
     def write_text(self, name: str, text: str) -> None:
         out = self._fs.create(self._path(self.at(name)), True)
         out.write(bytearray(text.encode()))
         out.close()
 
 
-def read_version(spark: SparkSession, root: str) -> dt.date | None:
-    """The published version; None if nothing was published yet. A damaged file raises."""
+def _published(spark: SparkSession, root: str) -> tuple[dt.date | None, list[str]]:
+    """The published version and the folders in use, the current one first."""
     folder = _Folder(spark, root)
     if not folder.exists("updated.txt"):
-        return None
-    line = spark.read.text(folder.at("updated.txt"), wholetext=True)
-    row = line.select(iso_date(strip(F.col("value"))).alias("version")).first()
+        return None, []
+    lines = F.transform(F.split("value", "\n"), strip)
+    row = (
+        spark.read.text(folder.at("updated.txt"), wholetext=True)
+        .select(lines.alias("lines"))
+        .select(iso_date(F.get("lines", F.lit(0))).alias("version"), "lines")
+        .first()
+    )
     if row is None or row["version"] is None:
         raise ValueError(f"no date in {folder.at('updated.txt')}")
-    return row["version"]
+    return row["version"], [line for line in row["lines"][1:] if line]
+
+
+def read_version(spark: SparkSession, root: str) -> dt.date | None:
+    """The published version; None if nothing was published yet. A damaged file raises."""
+    return _published(spark, root)[0]
 
 
 def version_table(spark: SparkSession, root: str) -> DataFrame:
@@ -81,33 +94,43 @@ def version_table(spark: SparkSession, root: str) -> DataFrame:
 
 
 def publish(feed: DataFrame, root: str, version: dt.date) -> None:
-    """Write the feed beside the current snapshot, check it, then put it in its place.
+    """Write the feed and its tables to a new folder, check them, then name it as the current one.
 
     A failed job, an empty result, one that breaks a constraint, or one that shrank too much
-    leaves the current snapshot.
+    leaves the current snapshot. Folders older than the backups are removed.
     """
-    folder = _Folder(feed.sparkSession, root)
-    staging = f"rosters.inprogress-{uuid.uuid4().hex}"
+    spark = feed.sparkSession
+    folder = _Folder(spark, root)
+    _, in_use = _published(spark, root)
+    name = f"snapshot-{version.isoformat()}-{uuid.uuid4().hex}"
     try:
-        write_feed(feed, folder.at(staging))
-        size = folder.size(staging)
+        write_feed(feed, folder.at(f"{name}/feed"))
+        size = folder.size(f"{name}/feed")
         if size == 0:
             raise PublishRejected("the new snapshot is empty")
-        written = read_feed(feed.sparkSession, folder.at(staging))
+        if in_use and size < folder.size(f"{in_use[0]}/feed") * MIN_SIZE_RATIO:
+            raise PublishRejected("the new snapshot is significantly smaller than the old one")
+        written = read_feed(spark, folder.at(f"{name}/feed"))
+        build_teams(written).write.parquet(folder.at(f"{name}/teams"))
+        build_stints(written).write.parquet(folder.at(f"{name}/stints"))
         try:
-            check_constraints(build_teams(written), build_stints(written))
+            check_constraints(*_tables(spark, folder.at(name)))
         except ValueError as broken:
             raise PublishRejected(str(broken)) from broken
-        if folder.exists("rosters") and size < folder.size("rosters") * MIN_SIZE_RATIO:
-            raise PublishRejected("the new snapshot is significantly smaller than the old one")
     except BaseException:
-        folder.delete(staging)
+        folder.delete(name)
         raise
-    if folder.exists("rosters"):
-        folder.delete("rosters.bak")
-        folder.move("rosters", "rosters.bak")
-    folder.move(staging, "rosters")
-    folder.write_text("updated.txt", version.isoformat())
+    kept, old = in_use[:BACKUPS], in_use[BACKUPS:]
+    folder.write_text("updated.txt", "\n".join([version.isoformat(), name, *kept]) + "\n")
+    for unused in old:
+        folder.delete(unused)
+
+
+def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return (
+        spark.read.schema(TEAMS).parquet(f"{path}/teams"),
+        spark.read.schema(STINTS).parquet(f"{path}/stints"),
+    )
 
 
 class RosterTables:
@@ -120,10 +143,14 @@ class RosterTables:
         self.version: dt.date | None = None
 
     def current(self) -> tuple[DataFrame, DataFrame]:
-        found = read_version(self._spark, self._root)
+        """Raises a LookupError as long as nothing is published."""
+        found, in_use = _published(self._spark, self._root)
         newer = found is not None and (self.version is None or found > self.version)
-        if self._loaded is None or newer:
-            feed = read_feed(self._spark, f"{self._root.rstrip('/')}/rosters")
-            self._loaded = (build_teams(feed), build_stints(feed))
+        if newer:
+            if not in_use:
+                raise ValueError(f"no folder is named for version {found} under {self._root}")
+            self._loaded = _tables(self._spark, f"{self._root.rstrip('/')}/{in_use[0]}")
             self.version = found
+        if self._loaded is None:
+            raise LookupError(f"nothing is published under {self._root}")
         return self._loaded

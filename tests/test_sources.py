@@ -109,7 +109,18 @@ def test_publish_and_reload(spark, tmp_path):
     snapshot.publish(feed_of(spark, [{}] * 12), root, D(2024, 1, 2))
     assert tables.current() is not loaded
     assert tables.current()[1].count() == 12
-    assert feeds.read_feed(spark, f"{root}/rosters.bak").count() == 10
+    # frames taken before go on reading the snapshot they were taken from
+    assert loaded[1].count() == 10 and loaded[0].count() == 1
+    # the one before stays as a backup, older ones go
+    snapshot.publish(feed_of(spark, [{}] * 13), root, D(2024, 1, 3))
+    assert sorted(p.name[:19] for p in (tmp_path / "snap").glob("snapshot-*")) == [
+        "snapshot-2024-01-02", "snapshot-2024-01-03",
+    ]
+
+
+def test_nothing_published(spark, tmp_path):
+    with pytest.raises(LookupError):
+        snapshot.RosterTables(spark, str(tmp_path)).current()
 
 
 @pytest.mark.parametrize("rows", [0, 3])
@@ -119,15 +130,15 @@ def test_publish_rejects_empty_and_shrunk(spark, tmp_path, rows):
     with pytest.raises(snapshot.PublishRejected):
         snapshot.publish(feed_of(spark, [{}] * 10).limit(rows), root, D(2024, 1, 2))
     assert snapshot.read_version(spark, root) == D(2024, 1, 1)
-    assert feeds.read_feed(spark, f"{root}/rosters").count() == 10
-    assert not list((tmp_path / "snap").glob("rosters.inprogress*"))
+    assert snapshot.RosterTables(spark, root).current()[1].count() == 10
+    assert len(list((tmp_path / "snap").glob("snapshot-*"))) == 1
 
 
 def test_publish_accepts_ten_percent_less(spark, tmp_path):
     root = str(tmp_path / "snap")
     snapshot.publish(feed_of(spark, [{}] * 10), root, D(2024, 1, 1))
     snapshot.publish(feed_of(spark, [{}] * 9), root, D(2024, 1, 2))
-    assert feeds.read_feed(spark, f"{root}/rosters").count() == 9
+    assert snapshot.RosterTables(spark, root).current()[1].count() == 9
 
 
 CATEGORY = """
