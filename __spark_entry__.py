@@ -12,9 +12,10 @@ from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
+from pyspark.sql import Window as W  # noqa: E402
 
 import oracles  # noqa: E402
 from stintbook import demo  # noqa: E402
@@ -23,7 +24,7 @@ from stintbook.functions import dates, labels, predicates, text  # noqa: E402
 from stintbook.operators import lineups, lookups, merging, overlap, rankings, teammates  # noqa: E402
 from stintbook.plans import main_report, player_page, team_page  # noqa: E402
 from stintbook.schema import RECORD  # noqa: E402
-from stintbook.sources import feed, pages  # noqa: E402
+from stintbook.sources import feed, pages, shared, snapshot  # noqa: E402
 
 # The operators on training text are an optional part: a folder and a file at the top.
 try:
@@ -153,12 +154,9 @@ def _links(stints: DataFrame) -> DataFrame:
     )
 
 
-def _date_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _iso(
-        demo.date_cells(spark, sf_dir).withColumn(
-            "date", dates.parsed_date(F.col("kind"), F.col("text"))
-        )
-    )
+def _date_repair(spark: SparkSession, sf_dir: str, month_end: bool = False) -> DataFrame:
+    date = dates.parsed_date(F.col("kind"), F.col("text"), month_end)
+    return _iso(demo.date_cells(spark, sf_dir).withColumn("date", date))
 
 
 def _raw_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -208,6 +206,78 @@ def _extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _iso(pages.extract_feed(demo.roster_pages(spark, sf_dir)))
 
 
+def _team_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _iso(pages.extract_feed(demo.team_pages(spark, sf_dir)))
+
+
+def _category_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.page_links(demo.category_pages(spark, sf_dir))
+
+
+def _violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.constraint_report(
+        demo.broken_teams(spark, sf_dir), demo.broken_stints(spark, sf_dir)
+    )
+
+
+def _feed_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared.fresh_path(spark, "feed")
+    feed.write_feed(demo.feed(spark, sf_dir), path)
+    return _iso(feed.read_feed(spark, path))
+
+
+def _published(spark: SparkSession, sf_dir: str) -> str:
+    """Two versions of the stays; the first one lacks some teams."""
+    root = shared.fresh_path(spark, "snapshots")
+    records = demo.feed(spark, sf_dir)
+    fewer = records.filter(~F.col("team_unique_name").endswith("00"))
+    snapshot.publish(fewer, root, SOME_FROM)
+    snapshot.publish(records, root, SOME_TO)
+    return root
+
+
+def _snapshot_reload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tables = snapshot.RosterTables(spark, _published(spark, sf_dir))
+    teams, stints = tables.current()
+    named = teams.select(F.col("unique_name").alias("team_id"), "name", "wiki_url")
+    return _iso(stints.join(named, "team_id"))
+
+
+def _snapshot_version(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _iso(snapshot.version_table(spark, _published(spark, sf_dir)))
+
+
+def _listed_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The teams the main report links to under "most players"."""
+    records = demo.feed(spark, sf_dir)
+    listed = rankings.teams_with_most_players(feed.build_stints(records), 10)
+    return lookups.teams_of(feed.build_teams(records), listed)
+
+
+def _numbered(rows: DataFrame, page: str, *order: Column) -> DataFrame:
+    """Rows of a few players' pages with their place on the page."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(page).orderBy(*order)))
+
+
+def _player_page_order(stints: DataFrame) -> DataFrame:
+    listed = player_page.player_teams(lookups.stints_of(stints, _busiest(stints)), AS_OF)
+    ties = [F.asc_nulls_last(c) for c in ("team_id", "url_with_filters", "position", "join_date",
+                                          "inactive_date", "leave_date", "join_date_raw",
+                                          "inactive_date_raw", "leave_date_raw")]
+    return _numbered(listed, "player_uid", F.asc("period_start"), *ties).select(
+        "player_uid", "place", "period_start", "team_id"
+    )
+
+
+def _teammate_page_order(stints: DataFrame) -> DataFrame:
+    mates = player_page.player_teammates(stints, _busiest(stints), AS_OF)
+    order = [F.desc("total_days"), F.asc("first_start"), F.asc("player_uid"),
+             F.asc("overlap_start"), F.asc("team_id"), F.asc("period")]
+    return _numbered(mates, "of_player", *order).select(
+        "of_player", "place", "player_uid", "total_days", "overlap_start", "team_id"
+    )
+
+
 def _player_days(stints: DataFrame, merge: str) -> DataFrame:
     spans = overlap.clean_spans(stints, AS_OF)
     return merging.covered_days(spans, ["player_uid"], merge)
@@ -246,6 +316,9 @@ def _own_queries() -> dict[str, Query]:
         "teammates_merged_lag": _on_stints(
             lambda s: teammates.teammate_periods(s, _busiest(s), AS_OF)
         ),
+        "teammates_merged_exact": _on_stints(
+            lambda s: teammates.teammate_periods(s, _busiest(s), AS_OF, "exact")
+        ),
         "teammates_rollup": _on_stints(
             lambda s: player_page.player_teammates(s, _busiest(s), AS_OF)
         ),
@@ -264,12 +337,22 @@ def _own_queries() -> dict[str, Query]:
         "links": _on_stints(_links),
         "slugs": _slugs,
         "date_repair": _date_repair,
+        "date_repair_month_end": lambda spark, sf_dir: _date_repair(spark, sf_dir, True),
         "raw_rule": _raw_rule,
         "roster_extraction": _extraction,
+        "roster_extraction_by_team": _team_extraction,
         "page_links": _page_links,
+        "category_links": _category_links,
+        "feed_round_trip": _feed_round_trip,
+        "snapshot_reload": _snapshot_reload,
+        "snapshot_version": _snapshot_version,
+        "team_by_id": _listed_teams,
+        "player_page_order": _on_stints(_player_page_order),
+        "teammate_page_order": _on_stints(_teammate_page_order),
         "teams_dim": _teams,
         "stints_load": lambda spark, sf_dir: _iso(feed.build_stints(demo.feed(spark, sf_dir))),
         "constraint_report": _constraints,
+        "constraint_violations": _violations,
         "entity_index": _entities,
         "query_routing": _routing,
     }

@@ -186,3 +186,119 @@ def roster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://wiki.example/game/Team_"), part).alias("url"),
         html.alias("html"),
     )
+
+
+def team_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wiki page for each order with a roster row for each of its lines.
+
+    Lines 1 to 3 stand on a card in a tab, the others on a card outside. Every third line has no
+    link. Even lines have a second date cell with the exact day, line 5 one without text.
+    """
+    kind, line = _cell_kind(), F.col("l_linenumber")
+    supplier = F.col("l_suppkey").cast("string")
+    caption = (
+        F.when(kind == "join_date", "Join Date:")
+        .when(kind == "inactive_date", "Inactive Date:")
+        .otherwise("Leave Date:")
+    )
+    day = F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM-dd")
+    again = F.when(line % 2 == 0, day).when(line == 5, "")
+
+    def cell(label: Column, text: Column) -> Column:
+        return F.concat(
+            F.lit('<td class="Date"><div class="MobileStuffDate">'),
+            label,
+            F.lit("</div><i>"),
+            text,
+            F.lit("</i></td>"),
+        )
+
+    row = F.concat_ws(
+        "",
+        F.lit('<tr class="Player"><td class="ID"><span class="flag"><img title="Land '),
+        supplier,
+        F.lit('"></span><a href="'),
+        F.when(line % 3 != 0, F.concat(F.lit("/wiki/S%C3%A9_"), supplier)),
+        F.lit('">s'),
+        supplier,
+        F.lit('</a></td><td class="Name"><div class="LargeStuff"> Full '),
+        supplier,
+        F.lit("</div></td>"),
+        cell(F.lit("Note:"), F.lit("2001-01-01")),
+        cell(caption, _cell_text()),
+        cell(caption, again),
+        F.lit("</tr>"),
+    )
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", line, row.alias("row"))
+    cards = rows.groupBy("l_orderkey").agg(
+        F.array_join(F.collect_list(F.when(line <= 3, F.col("row"))), "").alias("inside"),
+        F.array_join(F.collect_list(F.when(line > 3, F.col("row"))), "").alias("outside"),
+    )
+    order = F.col("l_orderkey").cast("string")
+    html = F.concat(
+        F.lit('<h1 id="firstHeading"><span>Team '),
+        order,
+        F.lit('</span></h1><div><div class="infobox-description">Games:</div><div><a>CS</a>'),
+        F.lit("</div></div>"),
+        F.lit('<h3><span id="Player_Roster">Player Roster</span></h3><div><ul class="nav-tabs">'),
+        F.lit('<li class="tab1">CS2</li></ul><div class="content1"><table class="roster-card">'),
+        F.col("inside"),
+        F.lit('</table></div><table class="roster-card">'),
+        F.col("outside"),
+        F.lit('</table></div><h2><span id="Organization">Staff</span></h2>'),
+    )
+    return cards.select(
+        F.col("l_orderkey").alias("page_id"),
+        F.concat(F.lit("https://wiki.example/game/Order_"), order).alias("url"),
+        html.alias("html"),
+    )
+
+
+def category_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A category page for each part: a team, a user page, and on even parts a next page."""
+    part = F.col("p_partkey").cast("string")
+    html = F.concat_ws(
+        "",
+        F.lit('<a href="/outside">x</a><div id="mw-pages">'),
+        F.when(
+            F.col("p_partkey") % 2 == 0,
+            F.concat(F.lit('<a href="/index.php?from='), part, F.lit('">next page</a>')),
+        ),
+        F.lit('<div class="mw-content-ltr"><A HREF="/game/'),
+        part,
+        F.lit('">'),
+        F.col("p_name"),
+        F.lit('</A><a href="/game/User:'),
+        part,
+        F.lit('">x</a></div></div>'),
+    )
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("page_id"),
+        F.concat(F.lit("https://wiki.example/game/Category:"), part).alias("url"),
+        html.alias("html"),
+    )
+
+
+def broken_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Teams from parts, some of them missing, listed twice, or without an id, name or URL."""
+    size = F.col("p_size")
+    parts = table(spark, sf_dir, "part").filter(size != 1)
+    team_id = F.concat(F.lit("T"), F.col("p_partkey").cast("string"))
+    return parts.unionAll(parts.filter(size == 2)).select(
+        F.when(size != 3, team_id).alias("unique_name"),
+        F.when(size != 4, F.col("p_name")).alias("name"),
+        F.when(size != 5, F.col("p_brand")).alias("wiki_url"),
+    )
+
+
+def broken_stints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact table without some nicknames and flags."""
+    return stints(spark, sf_dir).withColumns(
+        {
+            "nickname": F.when(F.col("position").isNull(), F.col("nickname")),
+            "is_captain": F.when(F.col("game_version") != "CS2", F.col("is_captain")),
+            "has_invalid_dates": F.when(
+                F.col("join_date").isNotNull(), F.col("has_invalid_dates")
+            ),
+        }
+    )

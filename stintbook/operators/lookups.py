@@ -14,6 +14,12 @@ def team(teams: DataFrame, unique_name: str) -> DataFrame:
     return teams.filter(F.col("unique_name") == unique_name).limit(1)
 
 
+def teams_of(teams: DataFrame, ids: DataFrame) -> DataFrame:
+    """The teams listed in a column ``team_id``."""
+    listed = ids.select(F.col("team_id").alias("unique_name"))
+    return teams.join(listed, "unique_name", "left_semi")
+
+
 def player_stints(stints: DataFrame, player_uid: str) -> DataFrame:
     return stints.filter(F.col("player_uid") == player_uid).select(*RECORD)
 

@@ -51,6 +51,12 @@ def release(spark: SparkSession) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path nothing was written to yet, in the folder that ``release`` removes."""
+    run = _run_dir(shared_dir(spark), spark.sparkContext.applicationId)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and return the written table.
 
@@ -58,7 +64,6 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     and lets each reader prune columns.
     """
     spark = df.sparkSession
-    run = _run_dir(shared_dir(spark), spark.sparkContext.applicationId)
-    path = f"{run}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
