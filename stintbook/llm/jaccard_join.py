@@ -13,7 +13,9 @@ lower bound of the symmetric difference, drops false candidates; the rest is ver
   in large numbers) are linked as candidates to one of their kind per frequent part; no pair is
   lost, and none is written out.
 - Candidates form clusters; each cluster is verified by comparing sketches, then sets, of those
-  not yet connected. Large clusters are split into blocks, and all pairs of blocks are compared.
+  not yet connected. Large clusters are split into blocks, which share a few leaders. What a block
+  or a leader connects needs no further comparison; the sets outside a cluster's largest component
+  are then compared with all its blocks, so no link between blocks is lost.
 
 Sets are named by 64-bit hashes, and shingles too; equal hashes are taken as equal.
 """
@@ -24,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stintbook.llm.components import connected
@@ -34,8 +36,10 @@ from stintbook.sources.shared import keep
 
 # Sets that share a part and are paired directly; more make the part frequent.
 GROUP = 24
-# Sets of a cluster that are compared in one task.
-BLOCK = 2_000
+# Sets of a cluster that are compared in one task, and their shingles.
+BLOCK, BLOCK_SHINGLES = 2_000, 4_000_000
+# Sets of a split cluster that all its blocks hold.
+LEADERS = 16
 # Characters of text that are worked on at a time.
 STRETCH = 2_000_000
 # Copies of a set are sent on once by a task, as far as it remembers.
@@ -275,25 +279,34 @@ def _apart(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def _verified(rows: pa.Table) -> pa.Table:
-    """Sets of one cluster (or of two blocks of it), each with the root of its component."""
+    """Sets of one block, or of two: links (a, b) that connect sets of different ``part``.
+
+    Sets that ``ask`` are compared with all sets of other parts.
+    """
+    rows = rows.sort_by([("asks", "descending")])
     wanted = rows.column("set_id").to_numpy()
     hashes, bounds = shingle_sets([t or "" for t in rows.column("text").to_pylist()])
     # Where a doc_id repeats with other texts, only the text of the set counts, once.
-    ids, at = np.unique(set_ids(hashes, bounds), return_index=True)
-    at = at[ids == wanted[at]]
-    ids = wanted[at]
+    right = np.flatnonzero(set_ids(hashes, bounds) == wanted)
+    ids, at = np.unique(wanted[right], return_index=True)
+    at = right[at]
+    asks = rows.column("asks").to_numpy(zero_copy_only=False)[at]
     sets = [hashes[bounds[i] : bounds[i + 1]] for i in at]
     n = np.array([len(s) for s in sets])
     if not len(ids):
         return pa.table({"a": ids, "b": ids})
     bits = 1024
     sketches = np.stack([_parities(s, bits) for s in sets]).view(np.uint64)
-    root = np.arange(len(ids))
-    for i in range(len(ids)):
-        others = np.flatnonzero((root[i + 1 :] != root[i])) + i + 1
-        others = others[
-            (5 * np.minimum(n[others], n[i]) >= 4 * np.maximum(n[others], n[i]))
-        ]
+    # A part is named by the place of its first set.
+    _, first, part = np.unique(
+        rows.column("part").to_numpy()[at], return_index=True, return_inverse=True
+    )
+    root = first[part]
+    before = root.copy()
+    for i in np.flatnonzero(asks).tolist():
+        open_ = (root != root[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i]))
+        open_[:i] &= ~asks[:i]
+        others = np.flatnonzero(open_)
         if not len(others):
             continue
         apart = np.bitwise_count(sketches[others] ^ sketches[i]).sum(axis=1)
@@ -304,7 +317,101 @@ def _verified(rows: pa.Table) -> pa.Table:
             if 100 * both >= 80 * (n[i] + n[j] - both):
                 a, b = sorted((root[i], root[j]))
                 root[root == b] = a
-    return pa.table({"a": ids, "b": ids[root]})
+    moved = np.flatnonzero(root != before)
+    return pa.table({"a": ids[moved], "b": ids[root[moved]]})
+
+
+def _verify(compared: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among ``compared`` (cluster, x, y, set_id, doc_id, part, asks), by (cluster, x, y)."""
+    return (
+        compared.join(texts, "doc_id")
+        .select("cluster", "x", "y", "set_id", "text", "part", "asks")
+        .groupBy("cluster", "x", "y")
+        .applyInArrow(_verified, "a bigint, b bigint")
+    )
+
+
+def _upto(blocks: str) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(blocks) - 1))
+
+
+def _links(
+    clusters: DataFrame, described: DataFrame, texts: DataFrame, block: int, shingles: int
+) -> DataFrame:
+    """Verified links (a, b) that connect the sets of ``clusters`` (node, root) as all links do."""
+    one_text = described.groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n")
+    )
+    members = clusters.select(F.col("node").alias("set_id"), F.col("root").alias("cluster")).join(
+        one_text, "set_id"
+    )
+    sizes = members.groupBy("cluster").agg(
+        F.greatest(
+            F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n") / shingles)
+        ).alias("blocks")
+    )
+    members = keep(
+        members.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("set_id"), "blocks")),
+        "members",
+    )
+    split = members.filter("blocks > 1")
+    by_id = Window.partitionBy("cluster").orderBy("set_id")
+    leaders = split.withColumn("k", F.row_number().over(by_id)).filter(F.col("k") <= LEADERS)
+    # A leader is in its own block already.
+    leaders = leaders.withColumn("x", _upto("blocks")).filter("x <> own")
+    shown = ["cluster", "x", "y", "set_id", "doc_id", "part", "asks"]
+    inside = (
+        members.withColumn("x", F.col("own"))
+        .select("cluster", "x", "set_id", "doc_id")
+        .unionByName(leaders.select("cluster", "x", "set_id", "doc_id"))
+        .withColumns({"y": F.col("x"), "part": F.col("set_id"), "asks": F.lit(True)})
+    )
+    links = keep(_verify(inside.select(*shown), texts), "links")
+
+    # Between blocks: of two sets that are not connected yet, one is outside the largest part.
+    within = links.join(split.select(F.col("set_id").alias("a")), "a", "left_semi")
+    parts = connected(within).select(F.col("node").alias("set_id"), F.col("root").alias("part"))
+    parted = keep(
+        split.join(parts, "set_id", "left").withColumn("part", F.coalesce("part", "set_id")),
+        "parts",
+    )
+    counted = parted.groupBy("cluster", "part").agg(
+        F.count(F.lit(1)).alias("sets"), F.sum("n").alias("n")
+    )
+    largest = counted.groupBy("cluster").agg(
+        F.max(F.struct("sets", "part"))["part"].alias("largest"),
+        F.sum("sets").alias("sets"),
+        F.sum("n").alias("n"),
+        F.max(F.struct("sets", "part", "n")).alias("most"),
+    )
+    outside = largest.filter(F.col("sets") > F.col("most.sets")).select(
+        "cluster",
+        "largest",
+        F.greatest(
+            F.ceil((F.col("sets") - F.col("most.sets")) / block),
+            F.ceil((F.col("n") - F.col("most.n")) / shingles),
+        ).alias("asking"),
+    )
+    open_ = parted.join(outside, "cluster")
+    asking = open_.filter("part <> largest").select(
+        "cluster",
+        F.pmod(F.xxhash64("part", "set_id"), "asking").alias("x"),
+        _upto("blocks").alias("y"),
+        "set_id",
+        "doc_id",
+        "part",
+        F.lit(True).alias("asks"),
+    )
+    asked = open_.select(
+        "cluster",
+        _upto("asking").alias("x"),
+        F.col("own").alias("y"),
+        "set_id",
+        "doc_id",
+        "part",
+        F.lit(False).alias("asks"),
+    )
+    return links.unionByName(_verify(asking.unionByName(asked), texts))
 
 
 def _candidates(docs: DataFrame, described: DataFrame, group: int) -> DataFrame:
@@ -344,13 +451,15 @@ def _candidates(docs: DataFrame, described: DataFrame, group: int) -> DataFrame:
     return near.unionByName(hung.distinct())
 
 
-def components(docs: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def components(
+    docs: DataFrame, group: int = GROUP, block: int = BLOCK, shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their sets of five-word shingles is at least
-    0.8; ``group`` and ``block`` only steer the work. ``component_id`` is the smallest doc_id reachable by links. A text with fewer than five
-    words has its whole sequence as one shingle; texts that are null or without words link with
-    nothing. Rows that repeat a doc_id have the component of their text. Sets that only stand in
+    0.8; ``group``, ``block`` and ``shingles`` only steer the work. ``component_id`` is the smallest
+    doc_id reachable by links. A text with fewer than five words has its whole sequence as one
+    shingle; texts that are null or without words link with nothing. Rows that repeat a doc_id have the component of their text. Sets that only stand in
     rows without a doc_id link with nothing but themselves. Other columns are left out; an empty
     table gives an empty result.
     """
@@ -363,27 +472,7 @@ def components(docs: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataF
         "described",
     )
     clusters = keep(connected(_candidates(texts, described, group)), "clusters")
-    # One text for each set of a cluster.
-    first = described.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    mine = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
-    blocks = (
-        clusters.withColumnRenamed("node", "set_id")
-        .join(sizes, "root")
-        .withColumn("own", mine)
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-        .select(
-            "set_id", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
-        )
-        .join(first, "set_id")
-    )
-    links = (
-        blocks.join(texts, "doc_id")
-        .select("root", "x", "y", "set_id", "text")
-        .groupBy("root", "x", "y")
-        .applyInArrow(_verified, "a bigint, b bigint")
-    )
-    roots = connected(links)
+    roots = connected(_links(clusters, described, texts, block, shingles))
     found = described.join(roots.withColumnRenamed("node", "set_id"), "set_id", "left")
     lone = F.when(F.col("n_shingles") == 0, F.struct(F.lit(1), F.col("doc_id").cast("string")))
     group = F.coalesce(
