@@ -279,9 +279,9 @@ def _verified(rows: pa.Table) -> pa.Table:
     wanted = rows.column("set_id").to_numpy()
     hashes, bounds = shingle_sets([t or "" for t in rows.column("text").to_pylist()])
     # Where a doc_id repeats with other texts, only the text of the set counts, once.
-    ids, at = np.unique(set_ids(hashes, bounds), return_index=True)
-    at = at[ids == wanted[at]]
-    ids = wanted[at]
+    right = np.flatnonzero(set_ids(hashes, bounds) == wanted)
+    ids, at = np.unique(wanted[right], return_index=True)
+    at = right[at]
     sets = [hashes[bounds[i] : bounds[i + 1]] for i in at]
     n = np.array([len(s) for s in sets])
     if not len(ids):
@@ -348,9 +348,9 @@ def components(docs: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataF
     """Per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their sets of five-word shingles is at least
-    0.8; ``group`` and ``block`` only steer the work. ``component_id`` is the smallest doc_id reachable by links. A text with fewer than five
-    words has its whole sequence as one shingle; texts that are null or without words link with
-    nothing. Rows that repeat a doc_id have the component of their text. Sets that only stand in
+    0.8; ``group`` and ``block`` only steer the work. ``component_id`` is the smallest doc_id
+    reachable by links. A text with fewer than five words has its whole sequence as one shingle;
+    texts that are null or without words link with nothing. Rows that repeat a doc_id have the component of their text. Sets that only stand in
     rows without a doc_id link with nothing but themselves. Other columns are left out; an empty
     table gives an empty result.
     """

@@ -93,6 +93,31 @@ def test_jaccard_join(make, seed, group, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
 
 
+def test_jaccard_join_of_one_split_cluster(make, monkeypatch):
+    # all sets are candidates of each other, so only the comparison of blocks decides
+    def star(docs, described, group):
+        sets = described.filter("n_shingles > 0").select("set_id").distinct()
+        least = sets.agg({"set_id": "min"}).first()[0]
+        return sets.selectExpr("set_id AS a", f"{least} AS b")
+
+    monkeypatch.setattr(jaccard_join, "_candidates", star)
+    docs = make(near_copies(6))
+    found = jaccard_join.components(docs, block=20).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(
+        rows_of(docs)
+    )
+
+
+def test_jaccard_join_of_one_id_with_several_texts(make):
+    rng = random.Random(7)
+    a, b = prose(rng, 100), prose(rng, 100)
+    docs = make([a, a + " end", b, b + " end"], odd=False).selectExpr(
+        "CASE WHEN doc_id IN (0, 2) THEN 5 ELSE doc_id END AS doc_id", "text"
+    )
+    found = jaccard_join.components(docs).collect()
+    assert sorted((r.doc_id, r.component_id) for r in found) == [(1, 1), (3, 3), (5, 1), (5, 3)]
+
+
 def test_jaccard_stage(make):
     docs = make(near_copies(4))
     left = jaccard_join.keep_first(docs)
