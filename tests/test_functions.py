@@ -18,6 +18,27 @@ def apply(spark, schema, rows, *columns):
     return [tuple(r) for r in df.select(*columns).collect()]
 
 
+MONTH_ENDS = [
+    ("leave_date", "2017-02-??", D(2017, 2, 28)),
+    ("leave_date", "2016-02", D(2016, 2, 29)),
+    ("inactive_date", "2013-??-??", D(2013, 12, 31)),
+    ("leave_date", "2017-02-03", D(2017, 2, 3)),
+    ("leave_date", "2017-13", None),
+    ("join_date", "2017-02-??", D(2017, 2, 1)),
+    ("leave_date", None, None),
+]
+
+
+def test_month_end(spark):
+    rows = [(kind, value) for kind, value, _ in MONTH_ENDS]
+    kind, value = F.col("kind"), F.col("value")
+    found = apply(
+        spark, "kind string, value string", rows, kind, value,
+        dates.parsed_date(kind, value, month_end=True),
+    )
+    assert set(found) == set(MONTH_ENDS)
+
+
 DATE_CASES = [
     ("join_date", "2024-01-06", D(2024, 1, 6), None),
     ("join_date", "2024-01-06 [1]", D(2024, 1, 6), None),
