@@ -53,7 +53,9 @@ def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         [(-1, 0, "user", said), (-1, 1, "assistant", said)],
         "conv_id bigint, turn bigint, role string, text string",
     )
-    return chat.chat_digests(rows.unionByName(more), public_tokenizers.path(BYTE_PAIRS))
+    digests = chat.chat_digests(rows.unionByName(more), public_tokenizers.path(BYTE_PAIRS))
+    # The counts of tokens are tested against the library; the rest has SQL.
+    return digests.drop("n_tokens", "loss_tokens")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -112,5 +114,120 @@ FROM n JOIN reach r ON r.a = n.doc_id GROUP BY n.doc_id, n.n
 """
 
 
+# Every window of 50 bytes by itself; for small tables only.
+_REPEATED = """
+WITH d AS MATERIALIZED (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n_bytes
+  FROM documents
+), w AS MATERIALIZED (
+  SELECT doc_id, i, b[i:i + 49] AS x
+  FROM (SELECT doc_id, b, unnest(range(1, n_bytes - 48)) AS i FROM d)
+), least AS (
+  SELECT x, min(doc_id) AS m FROM w GROUP BY x HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT w.doc_id, w.i FROM w JOIN least ON w.x = least.x WHERE w.doc_id > least.m
+), marked AS (
+  SELECT doc_id, i, coalesce(i - lag(i) OVER o > 50, true) AS new FROM hit
+  WINDOW o AS (PARTITION BY doc_id ORDER BY i)
+), numbered AS (
+  SELECT doc_id, i, count_if(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked
+), runs AS (
+  SELECT doc_id, min(i) AS first, max(i) + 49 AS last FROM numbered GROUP BY doc_id, run
+), gaps AS (
+  SELECT doc_id, first, last, 1 + coalesce(lag(last) OVER (PARTITION BY doc_id ORDER BY first), 0)
+    AS from_ FROM runs
+), cut AS (
+  SELECT g.doc_id, sum(last - first + 1) AS n_removed, count(*) AS n_spans, max(last) AS last,
+         string_agg(hex(d.b[from_:first - 1]), '' ORDER BY first) AS kept
+  FROM gaps g JOIN d USING (doc_id) GROUP BY g.doc_id
+)
+SELECT d.doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0) AS n_spans,
+       CASE WHEN last IS NULL THEN sha256(b)
+            ELSE sha256(unhex(kept || hex(b[last + 1:n_bytes]))) END AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""
+
+# The marks of a turn have 12 and 10 characters; a line feed follows the role and the end.
+_CHATS = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
+  UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'
+), t AS (
+  SELECT *, role = 'assistant' AS loss,
+    length(regexp_replace(text, '<(\\*)\|', '<\1\\|', 'g')) AS n_text,
+    length(regexp_replace(replace(replace(role, '\', '\\'), chr(10), '\n'),
+                          '<(\\*)\|', '<\1\\|', 'g')) AS n_role
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text))
+    AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (loss), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (loss), ''))
+    AS loss_sha256,
+  sum(12 + n_role + 1 + n_text + 10 + 1)::BIGINT AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+_LICENSES = r"""
+WITH d AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                           'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), p AS MATERIALIZED (
+  SELECT string_split(phrase, ' ') AS phrase, label FROM (VALUES {phrases}) v(phrase, label)
+), words AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(t, '{word}') AS w FROM d
+), places AS (
+  SELECT doc_id, label, i - 1 AS i
+  FROM (SELECT doc_id, w, label, phrase, unnest(range(1, len(w) + 1)) AS i FROM words, p
+        WHERE list_has_all(w, phrase))
+  WHERE w[i:i + len(phrase) - 1] = phrase
+), base AS (
+  SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
+         list(DISTINCT label) AS base FROM places GROUP BY doc_id
+), template AS MATERIALIZED (
+  SELECT name, own, len(own) AS n, ceil({threshold} * len(own) - 1e-9) AS need
+  FROM (SELECT name, list_distinct(regexp_extract_all(lower(said), '{word}')) AS own
+        FROM (VALUES {templates}) v(name, said))
+), lines AS (
+  SELECT doc_id, k, regexp_extract_all(line, '{word}') AS w
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line,
+               generate_subscripts(string_split(t, chr(10)), 1) AS k FROM d)
+), matched AS (
+  SELECT doc_id, k, name, len(list_intersect(own, w)) AS found, n, need FROM lines, template
+  WHERE len(list_intersect(own, w)) >= need
+), more AS (
+  SELECT doc_id, list(DISTINCT name) AS names, max(found / n) AS score,
+         count(DISTINCT k) AS n_blocks FROM matched GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(names, [])))),
+                  ',') AS labels,
+  coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks
+FROM words LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
+"""
+
+
+def _license_sql() -> str:
+    rows = lambda table: ", ".join(f"('{k}', '{v}')" for k, v in table.items())
+    return _LICENSES.format(
+        phrases=rows(licenses.PHRASES),
+        templates=rows(licenses.TEMPLATES),
+        threshold=licenses.THRESHOLD,
+        word=r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+",
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": _DEDUP, "op8_jaccard_join": _JACCARD}
+    return {
+        "op3_suffix_dedup": _REPEATED,
+        "op4_chat_format": _CHATS,
+        "op6_license_scan": _license_sql(),
+        "op8_jaccard_join": _JACCARD,
+        "op10_exact_dedup": _DEDUP,
+    }

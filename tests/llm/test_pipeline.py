@@ -37,7 +37,8 @@ def test_queries_answer_each_row(spark, name):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_equal_sql(spark, name):
     database = duckdb.connect()
-    database.execute(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     result = database.execute(queries.oracle_sql()[name])
     names = [d[0] for d in result.description]
     expected = sorted(map(repr, result.fetchall()))
