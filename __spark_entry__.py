@@ -289,7 +289,18 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return _own_queries() | (llm.queries() if llm else {})
+    found = _own_queries() | (llm.queries() if llm else {})
+    return {name: _shipped(query) for name, query in found.items()}
+
+
+def _shipped(query: Query) -> Query:
+    """Workers may run where this repository is not on their path."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shared.ship(spark)
+        return query(spark, sf_dir)
+
+    return run
 
 
 def _own_queries() -> dict[str, Query]:

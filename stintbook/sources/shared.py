@@ -6,6 +6,8 @@ import atexit
 import functools
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +59,25 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{run}/{name}-{uuid.uuid4().hex}"
 
 
+@functools.cache
+def _packed() -> str:
+    """This package as a zip file."""
+    root = Path(__file__).resolve().parents[1]
+    path = f"{tempfile.mkdtemp(prefix='stintbook-')}/{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as packed:
+        for source in sorted(root.rglob("*.py")):
+            packed.write(source, source.relative_to(root.parent))
+    return path
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application. Without it, they need the
+    package on their own path."""
+    sent = any(f.endswith(f"/{Path(_packed()).name}") for f in spark.sparkContext.listFiles)
+    if not sent:
+        spark.sparkContext.addPyFile(_packed())
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet and return the written table.
 

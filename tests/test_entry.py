@@ -43,5 +43,11 @@ def test_query_equals_sql(spark, database, name):
     assert found == expected
 
 
+def test_workers_get_the_package_once(spark):
+    for _ in range(2):
+        entry.queries()["teams_dim"](spark, SF_DIR)
+    assert sum(f.endswith("/stintbook.zip") for f in spark.sparkContext.listFiles) == 1
+
+
 def test_flagship(spark):
     assert entry.entry(spark).count() == 50
