@@ -1,12 +1,18 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. A template matches a block when at least ``THRESHOLD`` of the template's
-distinct words stand in the block. Template words are ordered by their frequency over all blocks
+A block is a line, or a notice that crosses line ends. A template matches a line when at least
+``THRESHOLD`` of the template's distinct words stand in the line, in any order. Template words are ordered by their frequency over all blocks
 of the corpus, rarest first. A block that meets the threshold holds one of the first few words of
 that order (prefix filter), is at least as large as the needed overlap (length filter), and after
 each word the words left must still suffice (positional filter). So only blocks with a rare
 template word are looked at, and none that meets the threshold is missed.
 
+A notice wrapped over lines keeps its word order. Over line ends a template matches a span of at
+most ``SPAN`` words in which its words follow each other in order, other words between them or
+not, and no more of them are missing than a line may lack. Every such span is found: a text
+whose words as a whole pass the same three filters is walked once, with the latest start of each
+partial match.
+
 Besides, fixed phrases are found wherever their words stand side by side.
 """
 
@@ -24,6 +30,8 @@ from pyspark.sql import functions as F
 from stintbook.llm.units import stretches
 
 THRESHOLD = 0.9
+# Words from the first to the last one of a notice that crosses line ends.
+SPAN = 32
 # Phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -58,7 +66,8 @@ class Templates:
     """Templates with their words in the given order of frequency."""
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int]) -> None:
-        self.words = {k: set(words_of(t)) for k, t in templates.items()}
+        self._said = {k: words_of(t) for k, t in templates.items()}
+        self.words = {k: set(w) for k, w in self._said.items()}
         self.order = sorted(
             {w for s in self.words.values() for w in s}, key=lambda w: (frequency.get(w, 0), w)
         )
@@ -91,6 +100,29 @@ class Templates:
                 out[name] = found / len(own)
         return out
 
+    def spans(self, name: str, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
+        """First and last place and containment of the shortest spans that end at each place and
+        hold the template's words in order."""
+        said, own = self._said[name], self.words[name]
+        spare = len(own) - self._need[name]
+        # The latest start of a match that is through with so many words, by words missing.
+        start = [[-1] * (spare + 1) for _ in range(len(said) + 1)]
+        for at, word in enumerate(words):
+            if word not in own:
+                continue
+            for i in range(len(said) - 1, -1, -1):
+                if said[i] != word:
+                    continue
+                for missing in range(spare + 1):
+                    # All words before are missing, or a match goes on.
+                    begin = at if i == missing else start[i][missing]
+                    begin = max(begin, start[i][missing])
+                    for k in range(min(len(said) - i, spare - missing + 1)):
+                        place = start[i + 1 + k]
+                        place[missing + k] = max(place[missing + k], begin)
+                    if begin >= 0 and at - begin < SPAN and missing + len(said) - i - 1 <= spare:
+                        yield begin, at, len(own.intersection(words[begin : at + 1])) / len(own)
+
 
 def _frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
     """In how many blocks of the whole corpus each template word stands. As many numbers as
@@ -138,7 +170,8 @@ def _places(raw: bytes, words: list[bytes]) -> list[tuple[int, str]]:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score (the largest containment of a matching template, else 0), n_blocks (matching lines).
+    score (the largest containment of a matching template, else 0), n_blocks (matching lines, and
+    groups of overlapping matches over line ends that touch no matching line).
 
     Null text counts as empty; texts without a phrase have null places and empty labels; repeated
     rows are scanned each; other columns are left out; an empty table gives an empty result.
@@ -180,11 +213,28 @@ def _scan(text: str, templates: Templates) -> tuple:
     found: dict[str, float] = {}
     blocks = 0
     if not templates.prefix.isdisjoint(words):
-        for line in raw.split(b"\n"):
-            matches = templates.matches(set(_WORD.findall(line)))
-            blocks += bool(matches)
+        lines = [_WORD.findall(line) for line in raw.split(b"\n")]
+        hit = []
+        for line in lines:
+            matches = templates.matches(set(line))
+            hit.append(bool(matches))
             for name, share in matches.items():
                 found[name] = max(found.get(name, 0.0), share)
+        blocks = sum(hit)
+        near = templates.matches(set(words)) if len(lines) > 1 else {}
+        if near:
+            line_of = [k for k, line in enumerate(lines) for _ in line]
+            crossing = []
+            for name in near:
+                for a, b, share in templates.spans(name, words):
+                    if line_of[a] < line_of[b]:
+                        found[name] = max(found.get(name, 0.0), share)
+                        if not any(hit[line_of[a] : line_of[b] + 1]):
+                            crossing.append((a, b))
+            upto = -1
+            for a, b in sorted(crossing):
+                blocks += a > upto
+                upto = max(upto, b)
     starts = [at for at, _ in places]
     return (
         len(words),

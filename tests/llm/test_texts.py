@@ -237,6 +237,56 @@ def test_licenses(make):
     assert licenses.scan(make([], odd=False)).count() == 0
 
 
+def test_licenses_over_line_ends(make):
+    gap = "word " * licenses.SPAN
+    texts = {
+        "# GNU Lesser General Public\n# License as published": ("lgpl-3.0", 1.0, 1),
+        "subject to the terms of the Mozilla Public\n * License, v. 2.0.": ("mpl-2.0", 1.0, 1),
+        "x\nsubject to the terms of Mozilla Public\nLicense v. 2.0": ("mpl-2.0", 1.0, 1),
+        "subject to the\nof the Mozilla Public\nLicense, v. 2.0": ("mpl-2.0", 10 / 11, 1),
+        "subject\nto the terms of the Mozilla Public License, v. 2.0": ("mpl-2.0", 1.0, 1),
+        "GNU Lesser\nGeneral Public\nLicense\n\nx GNU Lesser General\nPublic License": (
+            "lgpl-3.0", 1.0, 2,
+        ),
+        "Public\nLicense GNU\nLesser General": ("", 0.0, 0),
+        f"GNU Lesser General\n{gap}Public License": ("", 0.0, 0),
+    }
+    for r in licenses.scan(make(list(texts), odd=False)).collect():
+        labels, score, blocks = list(texts.values())[r.doc_id]
+        assert (r.labels, r.n_blocks) == (labels, blocks)
+        assert r.score == pytest.approx(score)
+
+
+def test_spans_of_templates():
+    """Against all spans, by the longest common subsequence."""
+    known = licenses.Templates({"t": "a b c b d e f g h i j"}, {})
+    rng = random.Random(8)
+    said = licenses.words_of("a b c b d e f g h i j")
+
+    def common(x: list, y: list) -> int:
+        row = [0] * (len(y) + 1)
+        for a in x:
+            last = row
+            row = [0]
+            for j, b in enumerate(y):
+                row.append(last[j] + 1 if a == b else max(last[j + 1], row[j]))
+        return row[-1]
+
+    for _ in range(150):
+        words = [w for _ in range(3) for w in said if rng.random() < 0.95]
+        for _ in range(rng.randrange(6)):
+            words.insert(rng.randrange(len(words)), rng.choice([b"x", *said]))
+        found = {(a, b): share for a, b, share in known.spans("t", words)}
+        for b in range(len(words)):
+            for a in range(max(0, b - licenses.SPAN + 1), b + 1):
+                if common(said, words[a : b + 1]) >= len(said) - 1:
+                    assert any(a <= x and y <= b for x, y in found)
+        for (a, b), share in found.items():
+            assert b - a < licenses.SPAN
+            assert common(said, words[a : b + 1]) >= len(said) - 1
+            assert share == len(set(said) & set(words[a : b + 1])) / 10
+
+
 def test_language(spark):
     docs = spark.read.parquet(f"{SF_DIR}/../sf0.01/documents.parquet")
     model = language_id.train(docs)
