@@ -2,8 +2,9 @@
 
 A text is cut into words by the vocabulary's own pattern; tokens never reach over words, so a
 text's count is the sum over its words. For each distinct word a dynamic program over its
-prefixes keeps the exact count at every prefix. Where a text must be cut
-for a budget, the cut is read from these counts; nothing is encoded again.
+prefixes keeps the exact count at every prefix. Where a text must be cut for a budget, the cut is
+read from the counts of the word that crosses it. Only where a shorter text falls into other words
+(inside a special string or a contraction, after white space) are a few characters taken anew.
 
 Counts are those of the tokenizer library for the whole text, without added special tokens. The
 vocabulary's special strings inside a text count one token each, as the library has it.
@@ -33,6 +34,8 @@ WORD = (
     rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{WHITE}\p{{L}}\p{{N}}]+"
     rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
 )
+# Those of its contractions that fall apart when the last letter is missing.
+CONTRACTIONS = frozenset(["'re", "'ve", "'ll"])
 # Characters of new words that are solved together.
 TOGETHER = 400_000
 
@@ -166,36 +169,59 @@ class PrefixCounts:
     def _last(answers: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join([x[-4:] for x in answers]), np.int32).astype(np.int64)
 
-    def prefix_counts(self, unit: str) -> np.ndarray:
-        """The count at each character prefix of a unit, from 0 characters to all.
+    def _total(self, words: list[str]) -> int:
+        codes, answers = self._words(words)
+        return int(self._last(answers)[codes].sum())
+
+    def _within(self, words: list[str], j: int, upto: np.ndarray) -> np.ndarray:
+        """The count of the whole text up to each character of its word ``j``, from the first to
+        the last. ``upto``: tokens before each word.
 
-        A unit is a run of white space with the run of other characters after it: words never
-        join across units. A shorter text may fall into other words, so its words are taken anew;
-        their counts are read from the words' prefix tables.
+        A shorter text has the same words before ``j`` and a shorter word ``j``, whose count is in
+        the prefix table, but in three places.
         """
-        out = np.zeros(len(unit) + 1, np.int64)
-        for k in range(1, len(unit) + 1):
-            codes, answers = self._words(self.words(unit[:k]))
-            out[k] = self._last(answers)[codes].sum()
+        word, white = words[j], self._white.match
+        if word in self._specials:
+            # A part of it is no special string, and the last words before may go on into it.
+            i = j
+            while i and j - i < 3 and words[i - 1] not in self._specials:
+                i -= 1
+            before = "".join(words[i:j])
+            parts = [self._total(self.words(before + word[:k])) for k in range(1, len(word))]
+            return np.array([*(upto[i] + p for p in parts), upto[j + 1]], np.int64)
+        table = np.frombuffer(self._words([word])[1][0], np.int32)
+        ends = np.cumsum([len(c.encode()) for c in word])
+        out = upto[j] + table[ends - 1].astype(np.int64)
+        if len(word) == 3 and word in CONTRACTIONS:
+            out[1] = upto[j] + self._total(self.words(word[:2]))
+        if j and white(word) and white(words[j - 1]) and white(words[j - 1][-1]):
+            # White space at the end of a text is one word.
+            out[0] = upto[j - 1] + self._total([words[j - 1] + word[0]])
         return out
 
+    def prefix_counts(self, unit: str) -> np.ndarray:
+        """The count at each character prefix of a text, from 0 characters to all, read from the
+        prefix tables of its words."""
+        words = self.words(unit)
+        codes, answers = self._words(words)
+        upto = np.concatenate([[0], np.cumsum(self._last(answers)[codes])]).astype(np.int64)
+        return np.concatenate([[0], *(self._within(words, j, upto) for j in range(len(words)))])
+
     def cut(self, words: list[str], each: np.ndarray, limit: int) -> int:
         """Characters of the longest prefix with at most ``limit`` tokens."""
-        upto = np.cumsum(each)
-        over = int(np.searchsorted(upto, limit, side="right"))
+        upto = np.concatenate([[0], np.cumsum(each)])
+        over = int(np.searchsorted(upto, limit, side="right")) - 1
         if over == len(words):
             return sum(map(len, words))
-        white = self._white.match
-        # From the unit that holds the first word over the limit, to its end.
-        a = over
-        while a and (not white(words[a]) or white(words[a - 1][-1])):
-            a -= 1
-        b = over + 1
-        while b < len(words) and (not white(words[b]) or white(words[b - 1][-1])):
-            b += 1
-        before = int(upto[a - 1]) if a else 0
-        fits = np.flatnonzero(self.prefix_counts("".join(words[a:b])) + before <= limit)
-        return sum(map(len, words[:a])) + int(fits[-1])
+        # A text that ends after white space or inside a special string may have other words, and
+        # fewer tokens, a little before its end.
+        later = range(min(over + 3, len(words) - 1), over, -1)
+        tried = [j for j in later if j == over + 1 or words[j] in self._specials]
+        for j in (*tried, *range(over, -1, -1)):
+            fits = np.flatnonzero(self._within(words, j, upto) <= limit)
+            if len(fits):
+                return sum(map(len, words[:j])) + int(fits[-1]) + 1
+        return 0
 
 
 @functools.cache

@@ -9,18 +9,26 @@ import pyarrow as pa
 
 # Characters of text that are held as Python objects at one time.
 STRETCH = 4_000_000
+# Characters of units and bytes of answers that each of the two stores holds.
+STORED = 64_000_000
 
 
 class Units:
     """Answers for distinct units. What comes back in a later stretch is kept; both stores are
-    bounded and only save time: an answer that was let go is worked out again."""
+    bounded, in number and bytes, and only save time: an answer that was let go is worked out
+    again."""
 
     def __init__(
-        self, solve: Callable[[list[str]], list[bytes]], young: int = 150_000, old: int = 300_000
+        self,
+        solve: Callable[[list[str]], list[bytes]],
+        young: int = 150_000,
+        old: int = 300_000,
+        stored: int = STORED,
     ) -> None:
-        self._solve, self._most = solve, (young, old)
+        self._solve, self._most, self._stored = solve, (young, old), stored
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._young_bytes = self._old_bytes = 0
 
     def __call__(self, units: list[str]) -> tuple[np.ndarray, list[bytes]]:
         """The number of each unit's answer, and the answers."""
@@ -36,12 +44,17 @@ class Units:
                 new.append(i)
             else:
                 answers[i] = self._old[distinct[i]] = known
+                self._young_bytes -= len(distinct[i]) + len(known)
+                self._old_bytes += len(distinct[i]) + len(known)
         for i, x in zip(new, self._solve([distinct[i] for i in new]), strict=True):
             answers[i] = self._young[distinct[i]] = x
-        if len(self._young) > self._most[0]:
+            self._young_bytes += len(distinct[i]) + len(x)
+        if len(self._young) > self._most[0] or self._young_bytes > self._stored:
             self._young.clear()
-        if len(self._old) > self._most[1]:
+            self._young_bytes = 0
+        if len(self._old) > self._most[1] or self._old_bytes > self._stored:
             self._old.clear()
+            self._old_bytes = 0
         return codes, answers
 
 

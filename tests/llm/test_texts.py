@@ -26,6 +26,7 @@ from stintbook.llm import (
     sentence_pieces,
     token_counts,
 )
+from stintbook.llm.units import Units
 
 from .conftest import prose
 
@@ -117,6 +118,57 @@ def test_prefix_counts(byte_pairs):
         assert counts.prefix_counts(unit).tolist() == expected
 
 
+def test_cuts_of_all_limits(byte_pairs):
+    library = Tokenizer.from_file(byte_pairs)
+    counter = token_counts.prefix_counts(byte_pairs)
+    rng = random.Random(12)
+    bits = ["<|endoftext|>", "'re", "'ll've", "!!", "'", "é", "日本", " ", "    ", "\n\n\t", "word",
+            "hello", "12", "<|", "\xa0", "r"]
+    for _ in range(60):
+        text = "".join(rng.choice(bits) for _ in range(rng.randint(1, 12)))
+        expected = [
+            len(library.encode(text[:k], add_special_tokens=False).ids)
+            for k in range(len(text) + 1)
+        ]
+        assert counter.prefix_counts(text).tolist() == expected
+        _, (words,), each = counter.counts([text])
+        for limit in range(expected[-1] + 1):
+            longest = max(k for k, n in enumerate(expected) if n <= limit)
+            assert counter.cut(words, each, limit) == longest
+
+
+def test_a_cut_of_one_long_word_encodes_nothing_again(byte_pairs):
+    library = Tokenizer.from_file(byte_pairs)
+    counter = token_counts.PrefixCounts(byte_pairs)
+    rng = random.Random(13)
+    text = "".join(rng.choice("abcdefghij") for _ in range(100_000))
+    solved = []
+
+    def solve(words):
+        solved.extend(map(len, words))
+        assert sum(solved) < 2 * len(text)
+        return counter._solve_words(words)
+
+    counter._words = Units(solve)
+    total, (words,), each = counter.counts([text])
+    assert words == [text] and total[0] > token_counts.LIMIT
+    cut = counter.cut(words, each, token_counts.LIMIT)
+    count = lambda k: len(library.encode(text[:k], add_special_tokens=False).ids)
+    assert count(cut) <= token_counts.LIMIT
+    assert all(count(k) > token_counts.LIMIT for k in range(cut + 1, cut + 40))
+
+
+def test_units_are_bounded_by_size():
+    solve = lambda units: [bytes(4 * len(u)) for u in units]
+    units = Units(solve, stored=10_000)
+    for i in range(40):
+        for _ in range(2):
+            codes, answers = units([f"{i:03}" * 300, "a"])
+            assert sorted(map(len, answers)) == [4, 3600] and len(codes) == 2
+            assert sum(map(len, units._young.values())) <= 10_000
+            assert sum(map(len, units._old.values())) <= 10_000
+
+
 def test_neighbours_follow_the_merges():
     rank = {("a", "b"): 0, ("b", "a"): 1, ("ab", "a"): 2, ("a", "ab"): 3, ("b", "b"): 4}
     texts = ["a", "b", "ab", "ba", "aba", "aab", "bb"]
