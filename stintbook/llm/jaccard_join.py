@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stintbook.llm.components import connected
 from stintbook.llm.shingles import mix, set_ids, shingle_sets
@@ -354,6 +355,11 @@ def components(docs: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataF
     rows without a doc_id link with nothing but themselves. Other columns are left out; an empty
     table gives an empty result.
     """
+    return _found(docs, group, block).select("doc_id", "n_shingles", "component_id")
+
+
+def _found(docs: DataFrame, group: int, block: int) -> DataFrame:
+    """``components`` with the set_id of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
     described = keep(
@@ -389,15 +395,40 @@ def components(docs: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataF
     group = F.coalesce(
         lone, F.struct(F.lit(0), F.coalesce("root", "set_id").cast("string"))
     )
-    found = keep(found.select("doc_id", "n_shingles", group.alias("g")), "found")
+    found = keep(found.select("doc_id", "n_shingles", "set_id", group.alias("g")), "found")
     least = found.groupBy("g").agg(F.min("doc_id").alias("component_id"))
-    return found.join(least, "g").select("doc_id", "n_shingles", "component_id")
+    return found.join(least, "g").select("doc_id", "n_shingles", "set_id", "component_id")
+
+
+def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for rows, texts in stretches(batches, STRETCH):
+        ids = set_ids(*shingle_sets(texts))
+        yield rows.append_column("_set_id", pa.array(ids, pa.int64()))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, of each component only the smallest doc_id.
 
-    A doc_id names one document: rows that repeat it stay or go together.
+    A doc_id names one document: rows that repeat it stay or go together. Rows without a doc_id
+    are decided by their text: they go where their set stands in a row with a doc_id, else one row
+    of each set stays, the one with the smallest text. Their texts without words all stay, as they
+    link with nothing. As in ``components``, sets that only stand in such rows have no near copies.
     """
-    stays = components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stays, "doc_id", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = _found(docs, GROUP, BLOCK)
+    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    named = docs.join(stays, "doc_id", "left_semi").select(*columns)
+    schema = T.StructType([*docs.schema.fields, T.StructField("_set_id", T.LongType())])
+    nameless = docs.filter("doc_id IS NULL").mapInArrow(_with_sets, schema)
+    real = found.filter("doc_id IS NOT NULL")
+    elsewhere = real.select(F.col("set_id").alias("_set_id")).distinct()
+    # Texts without words have the number 0.
+    single = (
+        nameless.filter("_set_id <> 0")
+        .join(elsewhere, "_set_id", "left_anti")
+        .groupBy("_set_id")
+        .agg(F.min_by(F.struct(*columns), "text").alias("_row"))
+        .select("_row.*")
+    )
+    empty = nameless.filter("_set_id = 0").select(*columns)
+    return named.unionByName(single).unionByName(empty)

@@ -126,6 +126,23 @@ def test_jaccard_stage(make):
     assert {r.doc_id for r in left.collect()} == expected
 
 
+def test_jaccard_stage_keeps_rows_without_an_id(make, spark):
+    rng = random.Random(9)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    more = [b, c, c.upper(), c + " ", None, "", "\n", "one"]
+    docs = make([a, a + " end", b])
+    rows = [(None, t, "en", "s9", i, None) for i, t in enumerate(more)]
+    left = jaccard_join.keep_first(docs.unionByName(spark.createDataFrame(rows, docs.schema)))
+    assert left.columns == docs.columns
+    found = left.collect()
+    assert {r.doc_id for r in found} - {None} == {0, 2, 3, 4}
+    nameless = [r for r in found if r.doc_id is None]
+    texts = sorted((r.text for r in nameless if r.text), key=str)
+    assert texts == sorted([min(c, c.upper(), c + " "), "\n", "one"])
+    assert sum(not r.text for r in nameless) == 2
+    assert all(rows[r.n_chars] == tuple(r) for r in nameless)
+
+
 def test_set_ids_follow_sets():
     hashes, bounds = shingles.shingle_sets(["a b c d e f", "A  b\nc d e F", "", "a b", "b a", "a"])
     ids = shingles.set_ids(hashes, bounds)
