@@ -7,10 +7,12 @@ from collections.abc import Callable
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from stintbook.llm import (
     chat,
     exact_dedup,
+    hard_negatives,
     jaccard_join,
     language_id,
     licenses,
@@ -58,6 +60,12 @@ def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests.drop("n_tokens", "loss_tokens")
 
 
+def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _on_documents(quality.quality),
@@ -70,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": _on_documents(jaccard_join.components),
         "op9_source_mixing": _on_documents(mixing.schedule),
         "op10_exact_dedup": _on_documents(exact_dedup.duplicates),
+        "op11_hard_negatives": _negatives,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -213,6 +222,33 @@ FROM words LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
 
+# All rows against each anchor.
+_NEGATIVES = """
+WITH r AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS MATERIALIZED (
+  SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+         list_sum(list_transform(list_zip(a.v, r.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM r a JOIN r ON a.vec_id % 100 = 0
+), p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+  FROM s WHERE same AND vec_id <> anchor_id
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+       row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+         ::INTEGER AS rank,
+       s.vec_id AS negative_id, positive_score, s.score AS negative_score
+FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same
+  AND 80 * positive_score <= 100 * s.score AND s.score <= positive_score
+QUALIFY rank <= 5
+"""
+
+
 def _license_sql() -> str:
     rows = lambda table: ", ".join(f"('{k}', '{v}')" for k, v in table.items())
     return _LICENSES.format(
@@ -230,4 +266,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_license_scan": _license_sql(),
         "op8_jaccard_join": _JACCARD,
         "op10_exact_dedup": _DEDUP,
+        "op11_hard_negatives": _NEGATIVES,
     }
