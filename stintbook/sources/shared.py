@@ -88,3 +88,25 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def keep_bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """Like ``keep``, in buckets by ``key``, so that later joins on it don't move these rows.
+
+    The files lie in the same folder. The catalog is needed only to note the buckets, so its entry
+    is dropped at once; the files of such a table stay.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, name)
+    table = path.rpartition("/")[2].replace("-", "_")
+    (
+        df.repartition(buckets, key)
+        .write.bucketBy(buckets, key)
+        .format("parquet")
+        .option("path", path)
+        .option("compression", "zstd")
+        .saveAsTable(table)
+    )
+    written = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return written
