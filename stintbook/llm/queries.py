@@ -18,6 +18,7 @@ from stintbook.llm import (
     licenses,
     mixing,
     quality,
+    repeated_passages,
     sentence_pieces,
     suffix_dedup,
     token_counts,
@@ -66,6 +67,11 @@ def _negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
 
 
+def _passages(docs: DataFrame) -> DataFrame:
+    cut = repeated_passages.without_repeats(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _on_documents(quality.quality),
@@ -79,6 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_source_mixing": _on_documents(mixing.schedule),
         "op10_exact_dedup": _on_documents(exact_dedup.duplicates),
         "op11_hard_negatives": _negatives,
+        "op12_passage_dedup": _on_documents(_passages),
         "pipeline": corpus_pipeline.run,
     }
 
@@ -249,6 +256,32 @@ QUALIFY rank <= 5
 """
 
 
+# Every window of 50 words by itself; for small tables only.
+_PASSAGES = r"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), x AS MATERIALIZED (
+  SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS x
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d)
+), least AS (
+  SELECT x, min(doc_id) AS m FROM x GROUP BY x HAVING min(doc_id) < max(doc_id)
+), hit AS (
+  SELECT doc_id, list(i) AS hits FROM x JOIN least USING (x) WHERE doc_id > m GROUP BY doc_id
+), marked AS (
+  SELECT doc_id, list_distinct(flatten(list_transform(hits, lambda i: range(i, i + 50)))) AS gone
+  FROM hit
+), kept AS (
+  SELECT doc_id, list(w[i] ORDER BY i) AS kept
+  FROM (SELECT doc_id, w, gone, unnest(range(1, len(w) + 1)) AS i FROM d JOIN marked USING (doc_id))
+  WHERE NOT list_contains(gone, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(len(gone), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE coalesce(kept, []) END, ' '))
+         AS kept_sha256
+FROM d LEFT JOIN marked USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def _license_sql() -> str:
     rows = lambda table: ", ".join(f"('{k}', '{v}')" for k, v in table.items())
     return _LICENSES.format(
@@ -267,4 +300,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": _JACCARD,
         "op10_exact_dedup": _DEDUP,
         "op11_hard_negatives": _NEGATIVES,
+        "op12_passage_dedup": _PASSAGES,
     }

@@ -31,12 +31,12 @@ def _powers(base: int, size: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (A-Z as a-z, cut at white space of ASCII) and the text of each."""
-    raw = [t.encode().lower() for t in texts]
+def word_places(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all words (cut at white space of ASCII), the text of each, and its first byte,
+    counted over all texts with one byte between them."""
     data = np.frombuffer(b" ".join([*raw, b""]), np.uint8)
     if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     change = np.diff(_SPACE[data].view(np.int8), prepend=np.int8(1))
     starts, ends = np.flatnonzero(change == -1), np.flatnonzero(change == 1)
     room = 1 << int(len(data)).bit_length()
@@ -44,7 +44,12 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     np.cumsum(_VALUES[data] * _powers(_STEP, room)[: len(data)], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * _powers(_BACK, room)[starts])
     begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    return hashes, np.searchsorted(begins, starts, side="right") - 1
+    return hashes, np.searchsorted(begins, starts, side="right") - 1, starts
+
+
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z as a-z, cut at white space of ASCII) and the text of each."""
+    return word_places([t.encode().lower() for t in texts])[:2]
 
 
 def shingle_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
