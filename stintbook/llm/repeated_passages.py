@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -197,7 +198,7 @@ def _batch(rows) -> pa.RecordBatch:
 
 def _listed(owner: np.ndarray, name: np.ndarray, lists: pa.Array) -> np.ndarray:
     """Whether each name stands in the list of its owner."""
-    sizes = pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
     wanted = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
     of = np.repeat(np.arange(len(sizes)), sizes)
     # Owner and name as one sortable pair.
