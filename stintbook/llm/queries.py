@@ -21,6 +21,7 @@ from stintbook.llm import (
     repeated_passages,
     sentence_pieces,
     suffix_dedup,
+    token_alignment,
     token_counts,
 )
 
@@ -72,6 +73,11 @@ def _passages(docs: DataFrame) -> DataFrame:
     return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def _alignment(docs: DataFrame) -> DataFrame:
+    paths = public_tokenizers.path(BYTE_PAIRS), public_tokenizers.path(PIECES)
+    return token_alignment.link_counts(docs, *paths)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _on_documents(quality.quality),
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_exact_dedup": _on_documents(exact_dedup.duplicates),
         "op11_hard_negatives": _negatives,
         "op12_passage_dedup": _on_documents(_passages),
+        "op13_token_alignment": _on_documents(_alignment),
         "pipeline": corpus_pipeline.run,
     }
 

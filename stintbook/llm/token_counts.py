@@ -40,7 +40,7 @@ CONTRACTIONS = frozenset(["'re", "'ve", "'ll"])
 TOGETHER = 400_000
 
 
-def _byte_of() -> dict[str, int]:
+def byte_of() -> dict[str, int]:
     """The vocabulary file writes bytes as visible characters: itself where a byte is one in
     Latin-1, else the next free character from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -54,8 +54,8 @@ class PrefixCounts:
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
-        byte_of = _byte_of()
-        plain = lambda s: "".join(chr(byte_of[c]) for c in s)
+        known = byte_of()
+        plain = lambda s: "".join(chr(known[c]) for c in s)
         # Special strings are no merge results; only merges and single bytes make words.
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         rank = {(plain(a), plain(b)): i for i, (a, b) in enumerate(merges)}
