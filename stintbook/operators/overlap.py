@@ -1,8 +1,11 @@
-"""Interval-overlap joins between members of the same team.
-
-All teams are cut into quarters: spans meet only within one quarter of one team, so a team with
-a large share of all rows is many keys, and spans far apart in time are never compared. A pair
-that shares several quarters is found in the one where its overlap begins.
+"""Interval-overlap joins between members of the same team, by nested ranges of days.
+
+Days are grouped by fours, sixteens and so on; each group is a node. A span is the union of a few
+nodes, at most six of each size, and a day lies in one node of each size. Of two overlapping spans
+the later one starts on a day of the earlier one, so the spans' nodes are joined with the nodes
+around all starts, by equality. A pair meets in exactly one node. So rows that meet are the result,
+but for a player's own spans and equal starts, however many spans a team has on how few days; and
+a large team is as many keys as it has nodes.
 """
 
 from __future__ import annotations
@@ -32,50 +35,100 @@ def clean_spans(stints: DataFrame, as_of: dt.date) -> DataFrame:
     )
 
 
-def _quarter(date: Column) -> Column:
-    return F.year(date) * 4 + F.quarter(date)
+# Sizes of a node: 1, 4, 16, ... days. Longer spans take several of the largest.
+SIZES = 8
+_FAN_BITS = 2
+
+
+def _nodes(first: Column, after: Column) -> Column:
+    """The fewest nodes that make up the days from ``first`` to the one before ``after``."""
+    empty = F.array().cast("array<int>")
+    begin, end = F.unix_date(first), F.unix_date(after)
+
+    def whole(size: int) -> tuple[Column, Column]:
+        """Nodes of a size that lie inside: the first one, and the one behind the last."""
+        bits = _FAN_BITS * size
+        return F.shiftright(begin + ((1 << bits) - 1), bits), F.shiftright(end, bits)
+
+    def between(low: Column, high: Column) -> Column:
+        return F.when(low < high, F.sequence(low, high - 1)).otherwise(empty)
+
+    parts = []
+    for size in range(SIZES):
+        low, high = whole(size)
+        numbers = between(low, high)
+        if size + 1 < SIZES:
+            # What larger nodes cover lies between those that are left over on both sides.
+            inner, outer = (F.shiftleft(x, _FAN_BITS) for x in whole(size + 1))
+            sides = F.concat(between(low, inner), between(outer, high))
+            numbers = F.when(inner < outer, sides).otherwise(numbers)
+        parts.append(_of_size(size, numbers))
+    return F.concat(*parts)
+
+
+def _of_size(size: int, numbers: Column) -> Column:
+    return F.transform(numbers, lambda n: F.struct(F.lit(size).alias("size"), n.alias("node")))
+
+
+def _around(date: Column) -> Column:
+    """The nodes a day lies in, one of each size."""
+    number = F.unix_date(date)
+    return F.array(
+        *[
+            F.struct(
+                F.lit(k).alias("size"), F.shiftright(number, _FAN_BITS * k).alias("node")
+            )
+            for k in range(SIZES)
+        ]
+    )
+
+
+_KEYS = ["team_id", "size", "node"]
+
+
+def _meeting(earlier: DataFrame, later: DataFrame, closed: bool) -> DataFrame:
+    """Each row of ``later`` with each of ``earlier`` in whose days it starts.
+
+    ``earlier`` has ``team_id, earlier_start, earlier_end``, ``later`` has ``team_id`` and
+    ``later_start``. With ``closed`` the end is one of the days.
+    """
+    after = F.date_add("earlier_end", 1) if closed else F.col("earlier_end")
+    spread = earlier.withColumn("at", F.explode(_nodes(F.col("earlier_start"), after)))
+    starts = later.withColumn("at", F.explode(_around(F.col("later_start"))))
+    flat = lambda df: df.select("*", "at.size", "at.node").drop("at")
+    return flat(spread).join(flat(starts), _KEYS).drop("size", "node")
 
 
-def _each_quarter() -> Column:
-    """The quarters a span with ``start <= end`` touches; at most four a year."""
-    return F.explode(F.sequence(_quarter(F.col("start")), _quarter(F.col("end"))))
+def _lasting(spans: DataFrame, closed: bool) -> DataFrame:
+    """Spans that can overlap anything."""
+    return spans.filter(F.col("start") <= F.col("end") if closed else F.col("start") < F.col("end"))
 
 
 def self_overlaps(spans: DataFrame, closed: bool) -> DataFrame:
     """Every unordered pair of overlapping spans of two players in one team, once.
 
-    Returns ``player1 < player2``, the team and the overlap's ``start`` and ``end``. An overlap
-    begins where the later span begins, so each span is looked up, at its start, among the
-    spans that cover that day. With ``closed`` an overlap of zero days counts.
+    Returns ``player1 < player2``, the team and the overlap's ``start`` and ``end``. With
+    ``closed`` an overlap of zero days counts.
     """
-    keys = ["team_id", "quarter"]
-    later = spans.withColumn("quarter", _quarter(F.col("start"))).select(
-        *keys,
-        F.col("player_uid").alias("later_uid"),
-        F.col("start").alias("later_start"),
-        F.col("end").alias("later_end"),
-    )
-    earlier = spans.withColumn("quarter", _each_quarter()).select(
-        *keys,
-        F.col("player_uid").alias("earlier_uid"),
-        F.col("start").alias("earlier_start"),
-        F.col("end").alias("earlier_end"),
-    )
+    lasting = _lasting(spans, closed)
+
+    def side(name: str) -> DataFrame:
+        renamed = {"player_uid": f"{name}_uid", "start": f"{name}_start", "end": f"{name}_end"}
+        return lasting.select("team_id", *[F.col(c).alias(n) for c, n in renamed.items()])
+
+    # Of two spans that start on one day, the smaller player's counts as the earlier one.
     before = (F.col("earlier_start") < F.col("later_start")) | (
-        (F.col("earlier_start") == F.col("later_start"))
-        & (F.col("earlier_uid") < F.col("later_uid"))
+        F.col("earlier_uid") < F.col("later_uid")
     )
-    until = F.least("earlier_end", "later_end")
-    meets = F.col("later_start") <= until if closed else F.col("later_start") < until
     return (
-        earlier.join(later, keys)
-        .filter((F.col("earlier_uid") != F.col("later_uid")) & before & meets)
+        _meeting(side("earlier"), side("later"), closed)
+        .filter((F.col("earlier_uid") != F.col("later_uid")) & before)
         .select(
             F.least("earlier_uid", "later_uid").alias("player1"),
             F.greatest("earlier_uid", "later_uid").alias("player2"),
             "team_id",
             F.col("later_start").alias("start"),
-            until.alias("end"),
+            F.least("earlier_end", "later_end").alias("end"),
         )
     )
 
@@ -85,26 +138,33 @@ def overlaps_with(chosen: DataFrame, mates: DataFrame, closed: bool = False) ->
 
     ``chosen`` has ``player_uid, team_id, start, end``; ``mates`` has those and any further
     columns, which are kept. Adds ``of_player`` and the overlap as ``overlap_start`` and
-    ``overlap_end``. Both sides are copied to each quarter they touch, so ``mates`` should be
-    narrow; spans that end before they start meet nothing.
+    ``overlap_end``. Both sides are copied to their nodes, so ``mates`` should be narrow; spans
+    that end before they start meet nothing. ``chosen`` is read several times, so it should be a
+    kept or a small table.
     """
-    keys = ["team_id", "quarter"]
-    ordered = F.col("start") <= F.col("end")
-    mates = mates.filter(ordered).withColumn("quarter", _each_quarter())
-    chosen = chosen.filter(ordered).withColumn("quarter", _each_quarter()).select(
-        *keys,
-        F.col("player_uid").alias("of_player"),
-        F.col("start").alias("of_start"),
-        F.col("end").alias("of_end"),
+    renamed = {"player_uid": "of_player", "start": "of_start", "end": "of_end"}
+    own = _lasting(chosen, closed).select(
+        "team_id", *[F.col(c).alias(n) for c, n in renamed.items()]
+    )
+    mates = _lasting(mates, closed).join(own.select("team_id").distinct(), "team_id", "left_semi")
+
+    def as_side(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+        return df.withColumns({f"{name}_start": F.col(start), f"{name}_end": F.col(end)})
+
+    joining = _meeting(
+        as_side(own, "of_start", "of_end", "earlier"),
+        as_side(mates, "start", "end", "later"),
+        closed,
     )
-    begins = F.greatest("start", "of_start")
-    until = F.least("end", "of_end")
-    meets = begins <= until if closed else begins < until
-    here = F.col("quarter") == _quarter(begins)
+    there = _meeting(
+        as_side(mates, "start", "end", "earlier"),
+        as_side(own, "of_start", "of_end", "later"),
+        closed,
+    ).filter(F.col("start") < F.col("of_start"))
     return (
-        mates.join(chosen, keys)
-        .filter((F.col("player_uid") != F.col("of_player")) & meets & here)
-        .withColumn("overlap_start", begins)
-        .withColumn("overlap_end", until)
-        .drop("quarter", "of_start", "of_end")
+        joining.unionByName(there)
+        .filter(F.col("player_uid") != F.col("of_player"))
+        .withColumn("overlap_start", F.greatest("start", "of_start"))
+        .withColumn("overlap_end", F.least("end", "of_end"))
+        .select("of_player", *mates.columns, "overlap_start", "overlap_end")
     )

@@ -6,6 +6,7 @@ from collections import defaultdict
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from stintbook.operators import overlap, rankings
 from stintbook.operators.merging import covered_days, disjoint_periods
@@ -95,8 +96,8 @@ def test_self_overlaps(spark, closed):
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
-def test_overlaps_across_quarters(spark):
-    # one overlap over many quarters is found once; a reversed span meets nothing
+def test_long_and_reversed_spans(spark):
+    # a long overlap is found once; a reversed span meets nothing
     rows = [
         ("A", "t", D(2020, 1, 1), D(2022, 12, 31)),
         ("B", "t", D(2019, 5, 1), D(2021, 6, 30)),
@@ -111,6 +112,55 @@ def test_overlaps_across_quarters(spark):
         assert {r.of_player for r in found} == {"A"}
 
 
+@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.tuples(st.integers(-900, 9000), st.integers(0, 30_000)), min_size=1, max_size=20))
+def test_nodes_make_up_the_days(spark, rows):
+    epoch = D(1970, 1, 1)
+    dated = [(k, epoch + dt.timedelta(a), epoch + dt.timedelta(a + n)) for k, (a, n) in enumerate(rows)]
+    df = spark.createDataFrame(dated, "k int, start date, after date")
+    nodes = overlap._nodes(F.col("start"), F.col("after")).alias("nodes")
+    for r in df.select("k", nodes, overlap._around(F.col("start")).alias("around")).collect():
+        a, n = rows[r.k]
+        days = sorted(d for size, i in r.nodes for d in range(i * 4**size, (i + 1) * 4**size))
+        assert days == list(range(a, a + n))
+        assert len(r.nodes) <= 6 * overlap.SIZES
+        assert sum(tuple(x) in set(map(tuple, r.nodes)) for x in r.around) == (n > 0)
+
+
+@pytest.mark.parametrize("closed", [True, False])
+def test_rows_that_meet_are_the_result(spark, closed):
+    cleaned = overlap.clean_spans(frame(spark, random_stints(3)), AS_OF)
+    side = lambda name: overlap._lasting(cleaned, closed).select(
+        "team_id", *[F.col(c).alias(f"{name}_{c}") for c in ("player_uid", "start", "end")]
+    )
+    met = overlap._meeting(side("earlier"), side("later"), closed)
+    other = met.filter("earlier_player_uid <> later_player_uid")
+    equal = other.filter("earlier_start = later_start").count()
+    assert other.count() - equal // 2 == overlap.self_overlaps(cleaned, closed).count()
+
+
+def test_many_records_on_few_days(spark):
+    """All pairs of a team's records in one quarter would be 20 billion."""
+    first = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 90).cast("int"))
+    short = spark.range(200_000).select(
+        F.concat(F.lit("p"), F.col("id")).alias("player_uid"),
+        F.lit("t").alias("team_id"),
+        first.alias("start"),
+        # one in two hundred lasts longer than a day's change
+        F.when(F.col("id") % 200 == 0, F.date_add(first, 3)).otherwise(first).alias("end"),
+    )
+    brute = short.filter("start < end").collect()
+    pairs = sum(
+        a.player_uid < b.player_uid and max(a.start, b.start) < min(a.end, b.end)
+        for a in brute for b in brute
+    )
+    found = overlap.self_overlaps(short, False)
+    assert found.count() == pairs > 1_000
+    # from day 0 to day 3
+    mates = overlap.overlaps_with(short.filter("player_uid = 'p0'"), short, True)
+    assert mates.count() == sum(i % 90 < 4 for i in range(1, 200_000))
+
+
 @pytest.mark.parametrize("merge", ["lag", "exact"])
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_pairs_with_most_time(spark, merge, seed):
