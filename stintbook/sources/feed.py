@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stintbook.functions.predicates import stored_end
@@ -41,7 +41,8 @@ def build_teams(feed: DataFrame) -> DataFrame:
     )
 
 
-def build_stints(feed: DataFrame) -> DataFrame:
+def build_stints(feed: DataFrame, *more: str) -> DataFrame:
+    """The fact table; ``more`` names columns of the feed that are kept besides."""
     return feed.select(
         F.col("player_unique_id").alias("player_uid"),
         F.col("team_unique_name").alias("team_id"),
@@ -60,15 +61,39 @@ def build_stints(feed: DataFrame) -> DataFrame:
         "join_date_raw",
         "inactive_date_raw",
         "leave_date_raw",
+        *more,
     )
 
 
+# Columns that must not be null.
+TEAM_RULES = ["unique_name", "name", "wiki_url"]
+STINT_RULES = ["nickname", "is_captain", "has_invalid_dates"]
+
+
+def null_counts(columns: list[str]) -> list[Column]:
+    """Aggregates for an observation, one per column."""
+    return [F.count_if(F.col(c).isNull()).alias(c) for c in columns]
+
+
+def rows_of_rules(table: str, counted: dict[str, int]) -> list[tuple[str, int]]:
+    return [(f"{table}.{c} not null", n) for c, n in counted.items()]
+
+
+def unknown_teams(teams: DataFrame, stints: DataFrame) -> DataFrame:
+    """Team ids of stints that no team has, each once.
+
+    They are made distinct first, so a team with many stints is looked up once.
+    """
+    used = stints.select("team_id").filter(F.col("team_id").isNotNull()).distinct()
+    return used.join(teams, F.col("team_id") == F.col("unique_name"), "left_anti")
+
+
 def constraint_report(teams: DataFrame, stints: DataFrame) -> DataFrame:
     """Number of violations per rule; all zero for a sound load."""
 
     def nulls(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
         # one pass over the table, then one row per rule
-        counted = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
+        counted = df.agg(*null_counts(columns))
         pairs = [
             F.struct(F.lit(f"{table}.{c} not null").alias("rule"), F.col(c).alias("violations"))
             for c in columns
@@ -85,14 +110,11 @@ def constraint_report(teams: DataFrame, stints: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("copies"))
         .filter((F.col("copies") > 1) & F.col("unique_name").isNotNull())
     )
-    # team ids are made distinct first, so a team with many stints is looked up once
-    used = stints.select("team_id").filter(F.col("team_id").isNotNull()).distinct()
-    unknown = used.join(teams, F.col("team_id") == F.col("unique_name"), "left_anti")
     parts = [
-        nulls(teams, "teams", ["unique_name", "name", "wiki_url"]),
+        nulls(teams, "teams", TEAM_RULES),
         one(twice, "teams.unique_name unique"),
-        nulls(stints, "stints", ["nickname", "is_captain", "has_invalid_dates"]),
-        one(unknown, "stints.team_id known"),
+        nulls(stints, "stints", STINT_RULES),
+        one(unknown_teams(teams, stints), "stints.team_id known"),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from stintbook.functions.dates import date_columns
 from stintbook.functions.text import clean_id, name_from_url, strip, strip_or_null
@@ -230,12 +231,25 @@ def page_links(pages: DataFrame, category: bool = True) -> DataFrame:
 
 
 def roster_rows(pages: DataFrame) -> DataFrame:
-    """Player rows of team pages as plain text, one row per table row."""
-    return _read(pages).mapInArrow(_page_job(_roster_rows, _ROWS_ARROW), _ROWS)
+    """Player rows of team pages as plain text, one row per table row.
+
+    ``page_id`` is a number or a string.
+    """
+    if pages.schema["page_id"].dataType == StringType():
+        arrow = _ROWS_ARROW.set(0, pa.field("page_id", pa.string()))
+        schema = _ROWS.replace("page_id bigint", "page_id string", 1)
+    else:
+        arrow, schema = _ROWS_ARROW, _ROWS
+    return _read(pages).mapInArrow(_page_job(_roster_rows, arrow), schema)
 
 
 def extract_feed(pages: DataFrame) -> DataFrame:
     """Roster feed records from team pages."""
+    return extract_records(pages).select(*ROSTER_FEED.names)
+
+
+def extract_records(pages: DataFrame) -> DataFrame:
+    """Roster feed records with the ``page_id`` they come from."""
     rows = roster_rows(pages)
     tab = F.try_element_at("tabs", F.col("content_no"))
     only_game = F.when(F.size("games") == 1, F.get("games", F.lit(0)))
@@ -243,6 +257,7 @@ def extract_feed(pages: DataFrame) -> DataFrame:
     name = F.coalesce(name_from_url(F.col("href")), F.lit(""))
     dates = date_columns(F.col("cells"))
     return rows.select(
+        "page_id",
         clean_id(F.coalesce(name_from_url(F.col("url")), F.lit(""))).alias("team_unique_name"),
         F.col("heading").alias("team_name"),
         F.col("url").alias("team_url"),
@@ -255,4 +270,4 @@ def extract_feed(pages: DataFrame) -> DataFrame:
         strip_or_null(F.col("position")).alias("position"),
         strip_or_null(F.col("flag_name")).alias("flag_name"),
         *[column.alias(name) for name, column in dates.items()],
-    ).select(*ROSTER_FEED.names)
+    )

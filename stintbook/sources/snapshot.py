@@ -1,28 +1,39 @@
 """Versioned snapshots of the feed: guarded publishing and reload on a newer version.
 
-Each published snapshot has a folder of its own with ``feed`` (JSON lines) and the tables
-``teams`` and ``stints`` (Parquet), which never changes. ``updated.txt`` names the version, one ISO
-date, and under it the folders in use: the current one, then those kept as backup. Writing it
-is the last step, so readers see the old snapshot or the new one, and frames taken from the old
-one go on working until its folder is removed.
+Each snapshot has a folder of its own with ``feed`` (JSON lines) and the tables ``teams`` and
+``stints`` (Parquet), which never changes. ``commits`` has a small file per published snapshot,
+numbered: the version as an ISO date, then the folder. The one with the highest number is current.
+
+A commit is written beside and renamed to the number after the one its publisher started from,
+without overwriting. So readers see the old snapshot or the new one and never half of one, and of
+two publishers that started from the same snapshot one is rejected. This is as safe as the file
+system's rename: HDFS refuses a name that is taken; a local disk looks before it renames.
+``updated.txt`` repeats the current version for other tools, and is replaced in one step too.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+import re
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintbook.functions.dates import iso_date
 from stintbook.functions.text import strip
 from stintbook.schema import STINTS, TEAMS
 from stintbook.sources.feed import (
+    STINT_RULES,
+    TEAM_RULES,
     build_stints,
     build_teams,
-    check_constraints,
-    read_feed,
+    null_counts,
+    rows_of_rules,
+    unknown_teams,
     write_feed,
 )
 
@@ -37,53 +48,98 @@ class PublishRejected(RuntimeError):
     """The new snapshot looks wrong; the current one was left as it is."""
 
 
+class PublishConflict(PublishRejected):
+    """Another snapshot was published meanwhile."""
+
+
+class Commit(NamedTuple):
+    number: int
+    version: dt.date
+    folder: str
+
+
 class _Folder:
     """The few file operations publishing needs, on any file system Hadoop knows."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._jvm = spark._jvm
+        self._gateway = spark.sparkContext._gateway
+        self._path = self._jvm.org.apache.hadoop.fs.Path
         self._root = root.rstrip("/")
-        conf = spark._jsc.hadoopConfiguration()
-        self._fs = self._path(self._root).getFileSystem(conf)
+        self._conf = spark._jsc.hadoopConfiguration()
+        self._fs = self._path(self._root).getFileSystem(self._conf)
 
     def at(self, name: str) -> str:
         return f"{self._root}/{name}"
 
-    def exists(self, name: str) -> bool:
-        return self._fs.exists(self._path(self.at(name)))
+    def names(self, name: str) -> list[str]:
+        path = self._path(self.at(name))
+        if not self._fs.exists(path):
+            return []
+        return [status.getPath().getName() for status in self._fs.listStatus(path)]
 
     def size(self, name: str) -> int:
         return self._fs.getContentSummary(self._path(self.at(name))).getLength()
 
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(self.at(name)))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(self.at(name)), True)
 
-    def write_text(self, name: str, text: str) -> None:
-        out = self._fs.create(self._path(self.at(name)), True)
+    def put(self, name: str, text: str, replace: bool) -> bool:
+        """Write a file beside, then give it its name. False if that is taken and must stay."""
+        beside = self._path(self.at(f"{name}.{uuid.uuid4().hex}.tmp"))
+        out = self._fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
+        files = self._jvm.org.apache.hadoop.fs
+        kind = getattr(files, "Options$Rename")
+        options = self._gateway.new_array(kind, 1)
+        options[0] = kind.OVERWRITE if replace else kind.NONE
+        target = self._fs.makeQualified(self._path(self.at(name)))
+        context = files.FileContext.getFileContext(target.toUri(), self._conf)
+        try:
+            context.rename(self._fs.makeQualified(beside), target, options)
+        except Py4JJavaError as error:
+            self._fs.delete(beside, True)
+            if "FileAlreadyExistsException" in str(error.java_exception):
+                return False
+            raise
+        return True
+
 
+_NUMBER = re.compile(r"\d+")
 
-def _published(spark: SparkSession, root: str) -> tuple[dt.date | None, list[str]]:
-    """The published version and the folders in use, the current one first."""
+
+def latest(spark: SparkSession, root: str) -> Commit | None:
+    """The current commit; None if nothing was published yet. A damaged one raises."""
     folder = _Folder(spark, root)
-    if not folder.exists("updated.txt"):
-        return None, []
+    numbers = [n for n in folder.names("commits") if _NUMBER.fullmatch(n)]
+    return _read(spark, folder, max(numbers, key=int)) if numbers else None
+
+
+def _read(spark: SparkSession, folder: _Folder, name: str) -> Commit:
+    path = folder.at(f"commits/{name}")
     lines = F.transform(F.split("value", "\n"), strip)
     row = (
-        spark.read.text(folder.at("updated.txt"), wholetext=True)
+        spark.read.text(path, wholetext=True)
         .select(lines.alias("lines"))
-        .select(iso_date(F.get("lines", F.lit(0))).alias("version"), "lines")
+        .select(
+            iso_date(F.get("lines", F.lit(0))).alias("version"),
+            F.get("lines", F.lit(1)).alias("folder"),
+        )
         .first()
     )
-    if row is None or row["version"] is None:
-        raise ValueError(f"no date in {folder.at('updated.txt')}")
-    return row["version"], [line for line in row["lines"][1:] if line]
+    if row is None or row.version is None or not row.folder:
+        raise ValueError(f"no date and folder in {path}")
+    return Commit(int(name), row.version, row.folder)
 
 
 def read_version(spark: SparkSession, root: str) -> dt.date | None:
     """The published version; None if nothing was published yet. A damaged file raises."""
-    return _published(spark, root)[0]
+    commit = latest(spark, root)
+    return commit.version if commit else None
 
 
 def version_table(spark: SparkSession, root: str) -> DataFrame:
@@ -93,37 +149,83 @@ def version_table(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "rosters_updated_date date")
 
 
-def publish(feed: DataFrame, root: str, version: dt.date) -> None:
-    """Write the feed and its tables to a new folder, check them, then name it as the current one.
+def publish(feed: DataFrame, root: str, version: dt.date) -> Commit:
+    """Write the feed and its tables to a new folder, check them, then commit it.
 
-    A failed job, an empty result, one that breaks a constraint, or one that shrank too much
-    leaves the current snapshot. Folders older than the backups are removed.
+    ``feed`` is computed once. A failed job, an empty result, one that breaks a constraint, one
+    that shrank too much, or another snapshot published meanwhile leaves the current one. Folders
+    older than the backups are removed, and with them frames that were taken from them.
     """
-    spark = feed.sparkSession
+    return publish_from(feed.sparkSession, lambda path, commit: feed, root, version)
+
+
+def publish_from(
+    spark: SparkSession,
+    make: Callable[[str, Commit | None], DataFrame],
+    root: str,
+    version: dt.date,
+) -> Commit:
+    """Like ``publish``, with the feed that ``make`` returns. It gets the new snapshot's path, where
+    it may write tables of its own, and the commit to be followed."""
     folder = _Folder(spark, root)
-    _, in_use = _published(spark, root)
+    before = latest(spark, root)
     name = f"snapshot-{version.isoformat()}-{uuid.uuid4().hex}"
     try:
-        write_feed(feed, folder.at(f"{name}/feed"))
+        _write_tables(make(folder.at(name), before), folder.at(name))
         size = folder.size(f"{name}/feed")
         if size == 0:
             raise PublishRejected("the new snapshot is empty")
-        if in_use and size < folder.size(f"{in_use[0]}/feed") * MIN_SIZE_RATIO:
+        if before and size < folder.size(f"{before.folder}/feed") * MIN_SIZE_RATIO:
             raise PublishRejected("the new snapshot is significantly smaller than the old one")
-        written = read_feed(spark, folder.at(f"{name}/feed"))
-        build_teams(written).write.parquet(folder.at(f"{name}/teams"))
-        build_stints(written).write.parquet(folder.at(f"{name}/stints"))
-        try:
-            check_constraints(*_tables(spark, folder.at(name)))
-        except ValueError as broken:
-            raise PublishRejected(str(broken)) from broken
+        number = before.number + 1 if before else 1
+        text = f"{version.isoformat()}\n{name}\n"
+        if not folder.put(f"commits/{number:012d}", text, replace=False):
+            raise PublishConflict("another snapshot was published meanwhile")
     except BaseException:
         folder.delete(name)
         raise
-    kept, old = in_use[:BACKUPS], in_use[BACKUPS:]
-    folder.write_text("updated.txt", "\n".join([version.isoformat(), name, *kept]) + "\n")
-    for unused in old:
-        folder.delete(unused)
+    folder.put("updated.txt", f"{version.isoformat()}\n", replace=True)
+    _forget(spark, folder, number - 1 - BACKUPS)
+    return Commit(number, version, name)
+
+
+def _forget(spark: SparkSession, folder: _Folder, number: int) -> None:
+    """Remove the folder of a commit that is no backup any more; its commit stays, so that its
+    number is never given again."""
+    name = f"{number:012d}"
+    if number > 0 and folder.exists(f"commits/{name}"):
+        folder.delete(_read(spark, folder, name).folder)
+
+
+def _write_tables(feed: DataFrame, path: str) -> None:
+    """The three tables of a snapshot; raises PublishRejected if a constraint is broken.
+
+    The feed is computed for ``stints`` only, which keep the team's name and URL; all else is
+    read from there, each time only the columns it needs. Rules on single rows are counted while
+    rows are written.
+    """
+    spark = feed.sparkSession
+    stints = build_stints(feed, "team_name", "team_url")
+    of_stints, of_teams = Observation(), Observation()
+    _by_team(stints.observe(of_stints, *null_counts(STINT_RULES))).write.parquet(f"{path}/stints")
+    written = spark.read.parquet(f"{path}/stints")
+    records = written.withColumnsRenamed(
+        {"team_id": "team_unique_name", "player_uid": "player_unique_id", "nickname": "player_id"}
+    )
+    write_feed(records.select(*feed.columns), f"{path}/feed")
+    build_teams(records).observe(of_teams, *null_counts(TEAM_RULES)).write.parquet(f"{path}/teams")
+    # Teams are one row each by the way they are made.
+    broken = rows_of_rules("teams", of_teams.get) + rows_of_rules("stints", of_stints.get)
+    broken.append(("stints.team_id known", unknown_teams(*_tables(spark, path)).count()))
+    found = "; ".join(f"{rule}: {count}" for rule, count in broken if count)
+    if found:
+        raise PublishRejected(found)
+
+
+def _by_team(stints: DataFrame) -> DataFrame:
+    """Rows of a team side by side and by join date, so that a reader of few teams or of a window
+    skips most of the file by its statistics. A large team is split by adaptive execution."""
+    return stints.hint("rebalance", "team_id").sortWithinPartitions("team_id", "join_date")
 
 
 def _tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -143,14 +245,12 @@ class RosterTables:
         self.version: dt.date | None = None
 
     def current(self) -> tuple[DataFrame, DataFrame]:
-        """Raises a LookupError as long as nothing is published."""
-        found, in_use = _published(self._spark, self._root)
-        newer = found is not None and (self.version is None or found > self.version)
-        if newer:
-            if not in_use:
-                raise ValueError(f"no folder is named for version {found} under {self._root}")
-            self._loaded = _tables(self._spark, f"{self._root.rstrip('/')}/{in_use[0]}")
-            self.version = found
+        """The tables of the newest version seen so far; an older one that is published later
+        loads nothing. Raises a LookupError as long as nothing is published."""
+        found = latest(self._spark, self._root)
+        if found and (self.version is None or found.version > self.version):
+            self._loaded = _tables(self._spark, f"{self._root.rstrip('/')}/{found.folder}")
+            self.version = found.version
         if self._loaded is None:
             raise LookupError(f"nothing is published under {self._root}")
         return self._loaded

@@ -3,9 +3,11 @@
 import datetime as dt
 import json
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from stintbook.plans.refresh import refresh
+from stintbook.plans.refresh import refresh, refresh_incremental
 from stintbook.schema import ROSTER_FEED, STINTS
 from stintbook.sources import feed as feeds
 from stintbook.sources import pages, shared, snapshot
@@ -281,6 +283,152 @@ def test_publish_rejects_broken_constraints(spark, tmp_path):
 
 
 def test_damaged_version_raises(spark, tmp_path):
-    (tmp_path / "updated.txt").write_text("soon")
+    (tmp_path / "commits").mkdir()
+    (tmp_path / "commits" / "000000000001").write_text("soon")
     with pytest.raises(ValueError, match="no date"):
         snapshot.read_version(spark, str(tmp_path))
+
+
+def test_readers_never_see_half_a_commit(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    snapshot.publish(feed_of(spark, [{}] * 10), root, D(2024, 1, 1))
+    seen = []
+    put = snapshot._Folder.put
+
+    def look() -> None:
+        tables = snapshot.RosterTables(spark, root)
+        seen.append((tables.current()[1].count(), tables.version))
+
+    def watched(self, name, text, replace):
+        look()
+        done = put(self, name, text, replace)
+        look()
+        return done
+
+    monkeypatch.setattr(snapshot._Folder, "put", watched)
+    snapshot.publish(feed_of(spark, [{}] * 12), root, D(2024, 1, 2))
+    assert seen == [
+        (10, D(2024, 1, 1)), (12, D(2024, 1, 2)), (12, D(2024, 1, 2)), (12, D(2024, 1, 2)),
+    ]
+    assert (tmp_path / "updated.txt").read_text() == "2024-01-02\n"
+    assert not list(tmp_path.rglob("*.tmp"))
+    # a file that is being written has no number yet
+    (tmp_path / "commits" / "000000000003.abc.tmp").write_text("2024-")
+    look()
+    assert seen[-1] == (12, D(2024, 1, 2))
+
+
+def test_one_of_two_publishers_is_rejected(spark, tmp_path, monkeypatch):
+    root = str(tmp_path)
+    snapshot.publish(feed_of(spark, [{}] * 10), root, D(2024, 1, 1))
+    write, turns = snapshot._write_tables, []
+
+    def other_first(feed, path):
+        write(feed, path)
+        if not turns:
+            turns.append(path)
+            snapshot.publish(feed_of(spark, [{}] * 11), root, D(2024, 1, 3))
+
+    monkeypatch.setattr(snapshot, "_write_tables", other_first)
+    with pytest.raises(snapshot.PublishConflict):
+        snapshot.publish(feed_of(spark, [{}] * 15), root, D(2024, 1, 2))
+    assert snapshot.latest(spark, root)[:2] == (2, D(2024, 1, 3))
+    assert snapshot.RosterTables(spark, root).current()[1].count() == 11
+    assert not list(tmp_path.glob("snapshot-2024-01-02*")) and not list(tmp_path.rglob("*.tmp"))
+
+
+def test_older_version_is_not_loaded(spark, tmp_path):
+    root = str(tmp_path)
+    tables = snapshot.RosterTables(spark, root)
+    snapshot.publish(feed_of(spark, [{}] * 10), root, D(2024, 1, 2))
+    loaded = tables.current()
+    snapshot.publish(feed_of(spark, [{}] * 11), root, D(2024, 1, 1))
+    assert tables.current() is loaded and tables.version == D(2024, 1, 2)
+
+
+def test_publish_computes_the_feed_once(spark, tmp_path):
+    computed = spark.sparkContext.accumulator(0)
+
+    def counted(rows):
+        for batch in rows:
+            computed.add(batch.num_rows)
+            yield batch
+
+    feed = feed_of(spark, [{}] * 40)
+    feed = feed.repartition(4).mapInArrow(counted, feed.schema)
+    snapshot.publish(feed, str(tmp_path), D(2024, 1, 1))
+    assert computed.value == 40
+    folder = next(tmp_path.glob("snapshot-*"))
+    back = feeds.read_feed(spark, str(folder / "feed"))
+    assert back.columns == ROSTER_FEED.names and back.count() == 40
+
+
+def test_all_broken_rules_are_named(spark, tmp_path):
+    rows = [{"player_id": None, "team_url": None}, {"team_unique_name": None}, {}]
+    with pytest.raises(snapshot.PublishRejected) as error:
+        snapshot.publish(feed_of(spark, rows), str(tmp_path), D(2024, 1, 1))
+    assert "stints.nickname not null: 1" in str(error.value)
+    assert "teams.unique_name not null: 1" in str(error.value)
+
+
+def shown(spark, root) -> list:
+    stints = snapshot.RosterTables(spark, root).current()[1]
+    return sorted(map(repr, stints.drop("join_date").collect()))
+
+
+def test_refresh_parses_changed_pages_only(spark, tmp_path):
+    def table(*pages_):
+        return page_table(spark, *[(f"https://w.example/game/{u}", h) for u, h in pages_])
+
+    one, two, three = (team_page(first=player_row(nick)) for nick in ("A", "B", "C"))
+    empty = "<html><body>no roster</body></html>"
+    root = str(tmp_path / "steps")
+    steps = [
+        (table(("T1", one), ("T2", two), ("T3", empty)), 3, 3),
+        # the same again, in another order and with other ids
+        (table(("T3", empty), ("T2", two), ("T1", one)), 3, 0),
+        # one changed, one new, one gone, one twice
+        (table(("T1", one), ("T1", one), ("T2", three), ("T4", two)), 3, 2),
+        (table(("T2", three), ("T4", two), ("T1", one), ("T1", one), ("T5", None)), 3, 0),
+    ]
+    for k, (pages_, contents, parsed) in enumerate(steps):
+        day = D(2024, 1, 1 + k)
+        done = refresh_incremental(pages_, root, day)
+        assert (done.contents, done.parsed) == (contents, parsed)
+        whole = str(tmp_path / f"whole{k}")
+        refresh(pages_, whole, day)
+        assert shown(spark, root) == shown(spark, whole)
+
+
+def test_refresh_after_a_snapshot_without_contents(spark, tmp_path):
+    table = page_table(spark, ("https://w.example/game/Team", team_page(first=player_row())))
+    refresh(table, str(tmp_path), D(2024, 5, 6))
+    done = refresh_incremental(table, str(tmp_path), D(2024, 5, 7))
+    assert done.parsed == 1 and done.commit.number == 2
+
+
+def test_window_reads_few_row_groups(spark, tmp_path):
+    """Stints lie by team and join date, so a team's rows are in few files and row groups."""
+    rows = [
+        {"team_unique_name": f"t{i % 40:02}", "team_name": f"t{i % 40:02}",
+         "join_date": D(2020, 1, 1) + dt.timedelta(days=i // 40)}
+        for i in range(8000)
+    ]
+    root = str(tmp_path)
+    snapshot.publish(feed_of(spark, rows).repartition(8), root, D(2024, 1, 1))
+    folder = next(tmp_path.glob("snapshot-*"))
+    held = [
+        path.name
+        for path in (folder / "stints").glob("*.parquet")
+        if "t07" in set(pq.read_table(path, columns=["team_id"]).column(0).to_pylist())
+    ]
+    assert len(held) == 1
+    for path in (folder / "stints").glob("*.parquet"):
+        found = pq.read_table(path, columns=["team_id", "join_date"]).to_pylist()
+        order = [(r["team_id"], r["join_date"]) for r in found]
+        assert order == sorted(order)
+    _, stints = snapshot.RosterTables(spark, root).current()
+    window = stints.filter((F.col("team_id") == "t07") & (F.col("join_date") < D(2020, 2, 1)))
+    assert window.count() == 31
+    plan = window._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "EqualTo(team_id,t07)" in plan
