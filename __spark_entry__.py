@@ -6,23 +6,24 @@ Every query reads whole tables. Dates leave as ISO text, so that they compare as
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import os
 import sys
+import warnings
 from collections.abc import Callable
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from pyspark.sql import Column, DataFrame, SparkSession  # noqa: E402
+from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 from pyspark.sql import types as T  # noqa: E402
-from pyspark.sql import Window as W  # noqa: E402
 
 import oracles  # noqa: E402
 from stintbook import demo  # noqa: E402
 from stintbook.demo import AS_OF  # noqa: E402
 from stintbook.functions import dates, labels, predicates, text  # noqa: E402
-from stintbook.operators import lineups, lookups, merging, overlap, rankings, teammates  # noqa: E402
-from stintbook.plans import main_report, player_page, team_page  # noqa: E402
+from stintbook.operators import changes, lineups, lookups, merging, overlap, rankings, teammates  # noqa: E402
+from stintbook.plans import main_report, player_page, refresh, team_page  # noqa: E402
 from stintbook.schema import RECORD  # noqa: E402
 from stintbook.sources import feed, pages, shared, snapshot  # noqa: E402
 
@@ -30,8 +31,9 @@ from stintbook.sources import feed, pages, shared, snapshot  # noqa: E402
 try:
     from stintbook.llm import queries as llm
 except ImportError as missing:
+    # Without the folder it is left out silently; a library it lacks is named.
     if missing.name not in {"stintbook.llm", "corpus_pipeline"}:
-        raise
+        warnings.warn(f"the operators on training text are left out: {missing}", stacklevel=1)
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -254,30 +256,136 @@ def _listed_teams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.teams_of(feed.build_teams(records), listed)
 
 
-def _numbered(rows: DataFrame, page: str, *order: Column) -> DataFrame:
-    """Rows of a few players' pages with their place on the page."""
-    return rows.withColumn("place", F.row_number().over(W.partitionBy(page).orderBy(*order)))
-
-
 def _player_page_order(stints: DataFrame) -> DataFrame:
     listed = player_page.player_teams(lookups.stints_of(stints, _busiest(stints)), AS_OF)
-    ties = [F.asc_nulls_last(c) for c in ("team_id", "url_with_filters", "position", "join_date",
-                                          "inactive_date", "leave_date", "join_date_raw",
-                                          "inactive_date_raw", "leave_date_raw")]
-    return _numbered(listed, "player_uid", F.asc("period_start"), *ties).select(
-        "player_uid", "place", "period_start", "team_id"
-    )
+    placed = player_page.numbered(listed, "player_uid", player_page.reading_order_of_teams())
+    return placed.select("player_uid", "place", "period_start", "team_id")
 
 
 def _teammate_page_order(stints: DataFrame) -> DataFrame:
     mates = player_page.player_teammates(stints, _busiest(stints), AS_OF)
-    order = [F.desc("total_days"), F.asc("first_start"), F.asc("player_uid"),
-             F.asc("overlap_start"), F.asc("team_id"), F.asc("period")]
-    return _numbered(mates, "of_player", *order).select(
+    placed = player_page.numbered(mates, "of_player", player_page.reading_order_of_mates())
+    return placed.select(
         "of_player", "place", "player_uid", "total_days", "overlap_start", "team_id"
     )
 
 
+def _reload_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader has loaded after each of three publications, the second of an older version."""
+    root = shared.fresh_path(spark, "snapshots")
+    records = demo.feed(spark, sf_dir)
+    older = records.filter(~F.col("team_unique_name").endswith("00"))
+    tables = snapshot.RosterTables(spark, root)
+    steps = []
+    for step, (feed_, version) in enumerate(
+        [(older, SOME_TO), (records, SOME_FROM), (records, AS_OF)], 1
+    ):
+        held = tables.version
+        snapshot.publish(feed_, root, version)
+        teams, stints = tables.current()
+        counted = stints.agg(F.count(F.lit(1)).alias("stints")).join(
+            teams.agg(F.count(F.lit(1)).alias("teams"))
+        )
+        # a kept table, because the snapshot goes when it is no backup any more
+        steps.append(
+            shared.keep(
+                counted.select(
+                    F.lit(step).alias("step"),
+                    F.lit(tables.version.isoformat()).alias("version"),
+                    F.lit(tables.version != held).alias("loaded"),
+                    "stints",
+                    "teams",
+                ),
+                "step",
+            )
+        )
+    return functools.reduce(DataFrame.unionByName, steps)
+
+
+def _refresh_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed after a second refresh, and how many pages that one parsed.
+
+    In the first one a tenth of the pages is missing, and another tenth says something else.
+    """
+    root = shared.fresh_path(spark, "snapshots")
+    # kept, because the order of a page's rows is not fixed
+    now = shared.keep(demo.team_pages(spark, sf_dir), "team-pages")
+    kind = F.col("page_id") % 10
+    other = F.when(kind == 4, F.replace("html", F.lit("Full "), F.lit("Fuller "))).otherwise(F.col("html"))
+    refresh.refresh_incremental(now.filter(kind != 3).withColumn("html", other), root, SOME_FROM)
+    done = refresh.refresh_incremental(now, root, SOME_TO)
+    records = feed.read_feed(spark, f"{root}/{done.commit.folder}/feed")
+    return _iso(records.withColumn("parsed_pages", F.lit(done.parsed).cast("bigint")))
+
+
+def _stints_before(stints: DataFrame) -> DataFrame:
+    """An earlier state: teams that end in 00 are not there yet, those in 3 lack their captains,
+    and those in 7 have some other nicknames."""
+    team = F.col("team_id")
+    nickname = F.when(
+        team.endswith("7") & (F.col("position") == "(Coach)"), F.lit("old")
+    ).otherwise(F.col("nickname"))
+    return stints.filter(
+        ~team.endswith("00") & ~(team.endswith("3") & F.col("is_captain"))
+    ).withColumn("nickname", nickname)
+
+
+def _lineup_update(stints: DataFrame) -> DataFrame:
+    """Line-ups brought up to date from those of an earlier state, and which were made anew."""
+    now = shared.keep(stints, "stints")
+    before = shared.keep(_stints_before(now), "stints-before")
+    old = shared.keep(_segments(before).withColumn("made_anew", F.lit(False)), "lineups-before")
+    changed = shared.keep(changes.changed_teams(before, now), "changed")
+    return changes.bring_up_to_date(
+        old, changed, now, lambda s: _segments(s).withColumn("made_anew", F.lit(True))
+    )
+
+
+def _lineup_nested(stints: DataFrame) -> DataFrame:
+    """Nested line-ups in one window, with their players in a text, in the order of the array."""
+    order = [c for c in RECORD if c not in ("team_id", "full_name", "player_url")]
+    nested = team_page.nested_lineups(
+        stints, AS_OF, SOME_FROM, SOME_TO, "nick1", entry_order=order, most_members=3
+    )
+    said = F.transform(
+        "players", lambda p: F.concat_ws(":", p.nickname, p.player_uid, p.position, p.join_date)
+    )
+    return nested.select(
+        "team_id", "lineup_no", "part", "period", "game_version",
+        F.size("players").cast("bigint").alias("members"),
+        F.array_join(said, ";").alias("players"),
+    )
+
+
+def _team_header(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of the listed teams, with a window that starts late, and without one."""
+    records = demo.feed(spark, sf_dir)
+    stints, teams = feed.build_stints(records), feed.build_teams(records)
+    late = dt.date(1998, 10, 1)
+    windows = [(None, None), (late, None), (SOME_FROM, SOME_TO)]
+    parts = [
+        team_page.team_headers(teams, stints, AS_OF, *w).withColumn("window_no", F.lit(i))
+        for i, w in enumerate(windows)
+    ]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _dates_shown(stints: DataFrame) -> DataFrame:
+    shown = team_page.shown_dates(stints, AS_OF)
+    flat = [
+        F.col(f"{d}.{part}").alias(f"{d}_{part}")
+        for d in ("join_date", "inactive_date", "leave_date")
+        for part in ("display", "original")
+    ]
+    return shown.select("player_uid", "team_id", *flat)
+
+
+def _version_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Before anything is published, and after."""
+    before = snapshot.version_shown(spark, shared.fresh_path(spark, "snapshots"))
+    return before.unionByName(snapshot.version_shown(spark, _published(spark, sf_dir)))
+
+
 def _player_days(stints: DataFrame, merge: str) -> DataFrame:
     spans = overlap.clean_spans(stints, AS_OF)
     return merging.covered_days(spans, ["player_uid"], merge)
@@ -360,6 +468,13 @@ def _own_queries() -> dict[str, Query]:
         "team_by_id": _listed_teams,
         "player_page_order": _on_stints(_player_page_order),
         "teammate_page_order": _on_stints(_teammate_page_order),
+        "reload_gate": _reload_gate,
+        "refresh_incremental": _refresh_incremental,
+        "lineup_update": _on_stints(_lineup_update),
+        "lineup_nested": _on_stints(_lineup_nested),
+        "team_header": _team_header,
+        "dates_shown": _on_stints(_dates_shown),
+        "version_shown": _version_shown,
         "teams_dim": _teams,
         "stints_load": lambda spark, sf_dir: _iso(feed.build_stints(demo.feed(spark, sf_dir))),
         "constraint_report": _constraints,

@@ -44,9 +44,12 @@ def dated_records(stints: DataFrame) -> DataFrame:
     )
 
 
-def undated_records(stints: DataFrame) -> DataFrame:
-    """Records whose dates cannot be placed in time; each team shows them apart."""
-    return stints.filter(~has_valid_dates()).select(*RECORD)
+def undated_records(stints: DataFrame, *more: str) -> DataFrame:
+    """Records whose dates cannot be placed in time; each team shows them apart.
+
+    ``more`` names columns that are kept besides.
+    """
+    return stints.filter(~has_valid_dates()).select(*RECORD, *[m for m in more if m not in RECORD])
 
 
 def lineup_segments(records: DataFrame) -> DataFrame:

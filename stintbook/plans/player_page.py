@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stintbook.functions.labels import (
     country_text,
@@ -78,6 +79,26 @@ def player_teammates(
     )
 
 
+def reading_order_of_teams() -> list[Column]:
+    """Entries of one player, earliest first; the rest only makes equal starts repeatable."""
+    rest = ["team_id", "url_with_filters", "position", "join_date", "inactive_date", "leave_date",
+            "join_date_raw", "inactive_date_raw", "leave_date_raw"]
+    return [F.asc("period_start"), *[F.asc_nulls_last(c) for c in rest]]
+
+
+def reading_order_of_mates() -> list[Column]:
+    """Mates of one player, the longest time first, and each mate's periods in time."""
+    return [
+        F.desc("total_days"),
+        *[F.asc(c) for c in ("first_start", "player_uid", "overlap_start", "team_id", "period")],
+    ]
+
+
+def numbered(rows: DataFrame, page: str, order: list[Column]) -> DataFrame:
+    """Rows of many players' pages with their ``place`` on the page of ``page``."""
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(page).orderBy(*order)))
+
+
 def player_page(
     stints: DataFrame, player_uid: str, as_of: dt.date
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -86,6 +107,6 @@ def player_page(
     mates = player_teammates(stints, mine.select("player_uid"), as_of)
     return (
         player_headers(mine),
-        player_teams(mine, as_of).orderBy("period_start", "team_id"),
-        mates.orderBy(F.desc("total_days"), "first_start", "player_uid", "overlap_start"),
+        player_teams(mine, as_of).orderBy(*reading_order_of_teams()),
+        mates.orderBy(*reading_order_of_mates()),
     )

@@ -1,4 +1,4 @@
-"""Team page: the line-ups of one team, or of all teams at once."""
+"""Team page: the line-ups of one team, or of all teams at once, flat or nested."""
 
 from __future__ import annotations
 
@@ -6,11 +6,13 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from stintbook.functions.labels import (
     INVALID_PERIOD,
     country_text,
     date_text,
+    dated_text,
     or_empty,
     period_text,
     position_text,
@@ -26,6 +28,9 @@ from stintbook.operators.lineups import (
 )
 from stintbook.operators.lookups import team
 
+# Members in one row of the nested form; a larger line-up takes several rows.
+MOST_MEMBERS = 1_000
+
 
 def _member_fields(as_of: dt.date, highlight: str) -> list[Column]:
     position = position_text(F.col("is_captain"), F.col("position"))
@@ -64,18 +69,37 @@ def team_lineups(
     ``lineup_no`` 0 holds the entries with unusable dates; the others follow in time. The
     window is applied to the stints first, so it can move the edges of the line-ups.
     """
+    return _lineup_rows(stints, as_of, date_from, date_to, highlight, team_id, [])
+
+
+def _lineup_rows(
+    stints: DataFrame,
+    as_of: dt.date,
+    date_from: dt.date | None,
+    date_to: dt.date | None,
+    highlight: str,
+    team_id: str | None,
+    entry_order: list[str],
+) -> DataFrame:
+    """``team_lineups`` with the columns ``entry_order`` of the undated entries (else null)."""
     if team_id is not None:
         stints = stints.filter(F.col("team_id") == team_id)
     inside = team_window(stints, date_from, date_to, as_of)
     records = dated_records(inside)
     segments = shown_segments(lineup_segments(records), date_from, date_to, as_of)
     fields = _member_fields(as_of, highlight)
-    undated = undated_records(inside).select(
+    entry = [F.col(c).alias(f"entry_{i}") for i, c in enumerate(entry_order)]
+    none = [
+        F.lit(None).cast(inside.schema[c].dataType).alias(f"entry_{i}")
+        for i, c in enumerate(entry_order)
+    ]
+    undated = undated_records(inside, *entry_order).select(
         "team_id",
         F.lit(0).cast("long").alias("lineup_no"),
         F.lit(INVALID_PERIOD).alias("period"),
         F.lit("-").alias("game_version"),
         *fields,
+        *entry,
     )
     dated = lineup_members(records, segments).select(
         "team_id",
@@ -83,32 +107,124 @@ def team_lineups(
         period_text(F.col("segment_start"), F.col("segment_end"), as_of).alias("period"),
         F.col("segment_version").alias("game_version"),
         *fields,
+        *none,
     )
     return undated.unionByName(dated)
 
 
-def team_page(
-    teams: DataFrame,
+def nested_lineups(
     stints: DataFrame,
-    team_id: str,
     as_of: dt.date,
     date_from: dt.date | None = None,
     date_to: dt.date | None = None,
     highlight: str = "",
+    team_id: str | None = None,
+    entry_order: list[str] | None = None,
+    most_members: int = MOST_MEMBERS,
 ) -> DataFrame:
-    """The page of one team in reading order; no rows if the team is unknown.
+    """One row per line-up: team_id, lineup_no, part, period, game_version, players (an array).
+
+    Players stand by nickname, then id. Line-up 0, the entries with unusable dates, keeps the
+    order of its entries: by the columns ``entry_order`` of the stints, else as the stints are
+    read. No array is longer than ``most_members``: a larger line-up goes on in the next ``part``,
+    and its members are numbered by a window that sorts on disk where it has to; smaller line-ups
+    need none.
+    """
+    if entry_order is None:
+        stints = stints.withColumn("entry", F.monotonically_increasing_id())
+        entry_order = ["entry"]
+    rows = _lineup_rows(stints, as_of, date_from, date_to, highlight, team_id, entry_order)
+    keys = ["team_id", "lineup_no", "period", "game_version"]
+    entry = [f"entry_{i}" for i in range(len(entry_order))]
+    names = [c for c in rows.columns if c not in {*keys, *entry}]
+    # What decides the place of a player first, each after a flag that puts nulls last; the rest
+    # of the record makes the order of equal nicknames fixed.
+    place = F.struct(
+        *[
+            part
+            for c in [*entry, "nickname", "player_uid", *names]
+            for part in (
+                F.when(F.col("lineup_no") == 0, F.col(c).isNull())
+                if c in entry
+                else F.col(c).isNull(),
+                F.col(c),
+            )
+        ]
+    )
+    rows = rows.select(*keys, place.alias("place"), F.struct(*names).alias("player"))
+    sized = rows.groupBy("team_id", "lineup_no").agg(F.count(F.lit(1)).alias("members"))
+    sized = sized.filter(F.col("members") > most_members).select(
+        F.col("team_id").alias("large_id"), F.col("lineup_no").alias("large_no")
+    )
+    is_large = F.col("team_id").eqNullSafe(F.col("large_id")) & (
+        F.col("lineup_no") == F.col("large_no")
+    )
+    small = rows.join(sized, is_large, "left_anti").withColumn("part", F.lit(1).cast("bigint"))
+    in_order = W.partitionBy("team_id", "lineup_no").orderBy("place")
+    number = F.row_number().over(in_order) - 1
+    large = rows.join(sized, is_large, "left_semi").withColumn(
+        "part", (F.floor(number / most_members) + 1).cast("bigint")
+    )
+    # At most ``most_members`` in each.
+    members = F.array_sort(F.collect_list(F.struct("place", "player")))
+    return (
+        small.unionByName(large)
+        .groupBy(*keys, "part")
+        .agg(F.transform(members, lambda m: m.player).alias("players"))
+        .select("team_id", "lineup_no", "part", "period", "game_version", "players")
+    )
 
-    A team without a line-up to show has one row, with its name and links only.
+
+def team_headers(
+    teams: DataFrame,
+    stints: DataFrame,
+    as_of: dt.date,
+    date_from: dt.date | None = None,
+    date_to: dt.date | None = None,
+) -> DataFrame:
+    """Name, URL and reset link of the teams that have stints in the window.
 
     ``reset_url`` leads to the page without a window; it is null where none was given.
     """
     unfiltered = date_from is None and date_to is None
     reset = F.lit(None).cast("string") if unfiltered else team_link(F.col("unique_name"))
-    known = team(teams, team_id).select(
+    inside = team_window(stints, date_from, date_to, as_of)
+    there = inside.select(F.col("team_id").alias("unique_name"))
+    return teams.join(there, "unique_name", "left_semi").select(
         F.col("unique_name").alias("team_id"),
         F.col("name").alias("team_name"),
         F.col("wiki_url").alias("team_url"),
         reset.alias("reset_url"),
     )
-    lineups = team_lineups(stints, as_of, date_from, date_to, highlight, team_id)
+
+
+def team_page(
+    teams: DataFrame,
+    stints: DataFrame,
+    team_id: str,
+    as_of: dt.date,
+    date_from: dt.date | None = None,
+    date_to: dt.date | None = None,
+    highlight: str = "",
+) -> DataFrame:
+    """The page of one team in reading order; no rows if the team is unknown or has no stints in
+    the window.
+
+    A team with stints but without a line-up to show has one row, with its name and links only.
+    """
+    mine = stints.filter(F.col("team_id") == team_id)
+    known = team_headers(team(teams, team_id), mine, as_of, date_from, date_to)
+    lineups = team_lineups(mine, as_of, date_from, date_to, highlight)
     return known.join(lineups, "team_id", "left").orderBy("lineup_no", "nickname", "player_uid")
+
+
+def shown_dates(stints: DataFrame, as_of: dt.date) -> DataFrame:
+    """Each stint's dates as a page shows them, with the text they were read from (else null)."""
+    return stints.select(
+        "player_uid",
+        "team_id",
+        *[
+            dated_text(date_text(F.col(d), as_of), F.col(f"{d}_raw")).alias(d)
+            for d in ("join_date", "inactive_date", "leave_date")
+        ],
+    )

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintbook.functions.dates import iso_date
+from stintbook.functions.labels import version_iso
 from stintbook.functions.text import strip
 from stintbook.schema import STINTS, TEAMS
 from stintbook.sources.feed import (
@@ -149,6 +150,12 @@ def version_table(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "rosters_updated_date date")
 
 
+def version_shown(spark: SparkSession, root: str) -> DataFrame:
+    """The version as a page shows it, ``db_last_updated_date``; null if nothing was published."""
+    rows = spark.createDataFrame([(read_version(spark, root),)], "version date")
+    return rows.select(version_iso(F.col("version")).alias("db_last_updated_date"))
+
+
 def publish(feed: DataFrame, root: str, version: dt.date) -> Commit:
     """Write the feed and its tables to a new folder, check them, then commit it.
 
