@@ -356,6 +356,34 @@ def test_language(spark):
     assert kept.count() >= 0.99 * docs.count()
 
 
+def test_repeated_row_changes_no_language(spark):
+    docs = spark.read.parquet(f"{SF_DIR}/../sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    one = docs.filter("lang = 'en' AND text IS NOT NULL AND crc32(string(doc_id)) % 4 <> 2").limit(1)
+    repeated = one.withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(10_000)))).drop("n")
+    rows = docs.unionByName(repeated)
+    sample = language_id._sample(rows)
+    assert sample.count() == language_id._sample(docs).count()
+    found, expected = language_id.train(rows), language_id.train(docs)
+    assert found.languages == expected.languages == ["de", "en", "es", "fr"]
+    assert (found.table == expected.table).all() and found.least == expected.least
+    # texts that differ under one doc_id: the smallest is learned
+    other = one.withColumn("text", F.lit("!"))
+    assert language_id._sample(docs.unionByName(other)).filter("text = '!'").count() == 1
+
+
+@pytest.mark.parametrize("left_out", ["en", "es"])
+def test_unlearned_language_is_rejected(spark, left_out):
+    docs = spark.read.parquet(f"{SF_DIR}/../sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    model = language_id.train(docs.withColumn("lang", F.nullif("lang", F.lit(left_out))))
+    assert left_out not in model.languages
+    rows = language_id.identify(docs, model).join(docs.select("doc_id", "lang"), "doc_id")
+    share = rows.filter("score > 0").groupBy((F.col("lang") == left_out).alias("out")).agg(
+        F.avg(F.col("rejected").cast("int")).alias("share")
+    )
+    share = {r.out: r.share for r in share.collect()}
+    assert share[True] >= 0.9 and share[False] <= 0.01
+
+
 def test_language_cases(make):
     docs = make(["hello there friend", "1234 !!", "x"])
     model = language_id.train(docs)
