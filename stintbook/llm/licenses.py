@@ -1,17 +1,16 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line, or a notice that crosses line ends. A template matches a line when at least
-``THRESHOLD`` of the template's distinct words stand in the line, in any order. Template words are ordered by their frequency over all blocks
-of the corpus, rarest first. A block that meets the threshold holds one of the first few words of
-that order (prefix filter), is at least as large as the needed overlap (length filter), and after
-each word the words left must still suffice (positional filter). So only blocks with a rare
-template word are looked at, and none that meets the threshold is missed.
-
-A notice wrapped over lines keeps its word order. Over line ends a template matches a span of at
-most ``SPAN`` words in which its words follow each other in order, other words between them or
-not, and no more of them are missing than a line may lack. Every such span is found: a text
-whose words as a whole pass the same three filters is walked once, with the latest start of each
-partial match.
+Blocks of a text are its lines and, for each template, overlapping windows of its words: twice as
+many as the template has, a new one every half template. So a notice that is wrapped over lines at
+any place lies in a window, whatever its length, and so does one with up to half as many other
+words between its own. A template matches a block when at least ``THRESHOLD`` of the template's
+distinct words stand in it, in any order.
+
+Template words are ordered by their frequency over all lines of the corpus, rarest first. A block
+that meets the threshold holds one of the first few words of that order (prefix filter), is at
+least as large as the needed overlap (length filter), and after each word the words left must still
+suffice (positional filter). So only blocks with a rare template word are looked at, and none that
+meets the threshold is missed.
 
 Besides, fixed phrases are found wherever their words stand side by side.
 """
@@ -30,8 +29,6 @@ from pyspark.sql import functions as F
 from stintbook.llm.units import stretches
 
 THRESHOLD = 0.9
-# Words from the first to the last one of a notice that crosses line ends.
-SPAN = 32
 # Phrases and their labels.
 PHRASES = {
     "gnu general public license": "gpl",
@@ -52,6 +49,61 @@ TEMPLATES = {
     "mpl-2.0": "subject to the terms of the Mozilla Public License, v. 2.0",
     "bsd": "Redistribution and use in source and binary forms, with or without modification",
     "all-rights-reserved": "Copyright All rights reserved",
+    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of
+this software and associated documentation files (the "Software"), to deal in the Software without
+restriction, including without limitation the rights to use, copy, modify, merge, publish,
+distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+Software is furnished to do so, subject to the following conditions: The above copyright notice and
+this permission notice shall be included in all copies or substantial portions of the Software. THE
+SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT
+LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "bsd-text": """Redistribution and use in source and binary forms, with or without modification,
+are permitted provided that the following conditions are met: 1. Redistributions of source code must
+retain the above copyright notice, this list of conditions and the following disclaimer. 2.
+Redistributions in binary form must reproduce the above copyright notice, this list of conditions
+and the following disclaimer in the documentation and/or other materials provided with the
+distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY
+EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT
+HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR
+CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES;
+LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE)
+ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH
+DAMAGE.""",
+    "isc-text": """Permission to use, copy, modify, and/or distribute this software for any purpose
+with or without fee is hereby granted, provided that the above copyright notice and this permission
+notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL
+WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL
+DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION
+OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE.""",
+    "zlib-text": """This software is provided as-is, without any express or implied warranty. In no
+event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial
+applications, and to alter it and redistribute it freely, subject to the following restrictions: 1.
+The origin of this software must not be misrepresented; you must not claim that you wrote the
+original software. If you use this software in a product, an acknowledgment in the product
+documentation would be appreciated but is not required. 2. Altered source versions must be plainly
+marked as such, and must not be misrepresented as being the original software. 3. This notice may
+not be removed or altered from any source distribution.""",
+    "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may
+not use this file except in compliance with the License. You may obtain a copy of the License at
+http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in
+writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
+WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific
+language governing permissions and limitations under the License.""",
+    "gpl-header": """This program is free software: you can redistribute it and/or modify it under
+the terms of the GNU General Public License as published by the Free Software Foundation, either
+version 3 of the License, or (at your option) any later version. This program is distributed in the
+hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more
+details. You should have received a copy of the GNU General Public License along with this program.
+If not, see http://www.gnu.org/licenses/""",
 }
 
 # Words after A-Z are lower case: digits, a-z, and everything beyond ASCII, as UTF-8 bytes.
@@ -66,19 +118,20 @@ class Templates:
     """Templates with their words in the given order of frequency."""
 
     def __init__(self, templates: dict[str, str], frequency: dict[bytes, int]) -> None:
-        self._said = {k: words_of(t) for k, t in templates.items()}
-        self.words = {k: set(w) for k, w in self._said.items()}
+        said = {k: words_of(t) for k, t in templates.items()}
+        self.words = {k: set(w) for k, w in said.items()}
         self.order = sorted(
             {w for s in self.words.values() for w in s}, key=lambda w: (frequency.get(w, 0), w)
         )
         self._place = {w: i for i, w in enumerate(self.order)}
         self.vocabulary = frozenset(self.order)
         self._prefix: dict[bytes, list[str]] = {}
-        self._sorted, self._need = {}, {}
+        self._sorted, self._need, self._steps = {}, {}, {}
         for name, words in self.words.items():
             own = sorted(words, key=self._place.__getitem__)
             need = math.ceil(THRESHOLD * len(own) - 1e-9)
             self._sorted[name], self._need[name] = own, need
+            self._steps[name] = window_of(len(said[name]))
             for word in own[: len(own) - need + 1]:
                 self._prefix.setdefault(word, []).append(name)
         self.prefix = frozenset(self._prefix)
@@ -88,40 +141,49 @@ class Templates:
         out = {}
         seen = block & self.prefix
         for name in {n for w in seen for n in self._prefix[w]}:
-            own, need = self._sorted[name], self._need[name]
-            if len(block) < need:
-                continue
-            found = 0
-            for i, word in enumerate(own):
-                if found + len(own) - i < need:
-                    break
-                found += word in block
-            if found >= need:
-                out[name] = found / len(own)
+            share = self.share(name, block)
+            if share:
+                out[name] = share
         return out
 
-    def spans(self, name: str, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
-        """First and last place and containment of the shortest spans that end at each place and
-        hold the template's words in order."""
-        said, own = self._said[name], self.words[name]
-        spare = len(own) - self._need[name]
-        # The latest start of a match that is through with so many words, by words missing.
-        start = [[-1] * (spare + 1) for _ in range(len(said) + 1)]
+    def share(self, name: str, block: set[bytes]) -> float:
+        """The containment of a template in a block, 0 below the threshold."""
+        own, need = self._sorted[name], self._need[name]
+        if len(block) < need:
+            return 0.0
+        found = 0
+        for i, word in enumerate(own):
+            if found + len(own) - i < need:
+                return 0.0
+            found += word in block
+        return found / len(own) if found >= need else 0.0
+
+    def windows(self, words: list[bytes]) -> Iterator[tuple[str, int, float]]:
+        """Template, first word and containment of the windows that meet their template."""
+        everything = set(words)
+        names = {n for w in everything & self.prefix for n in self._prefix[w]}
+        # A window has no word that the text has not.
+        open_ = {n for n in names if self.share(n, everything)}
+        if not open_:
+            return
+        starts: dict[str, set[int]] = {n: set() for n in open_}
         for at, word in enumerate(words):
-            if word not in own:
-                continue
-            for i in range(len(said) - 1, -1, -1):
-                if said[i] != word:
-                    continue
-                for missing in range(spare + 1):
-                    # All words before are missing, or a match goes on.
-                    begin = at if i == missing else start[i][missing]
-                    begin = max(begin, start[i][missing])
-                    for k in range(min(len(said) - i, spare - missing + 1)):
-                        place = start[i + 1 + k]
-                        place[missing + k] = max(place[missing + k], begin)
-                    if begin >= 0 and at - begin < SPAN and missing + len(said) - i - 1 <= spare:
-                        yield begin, at, len(own.intersection(words[begin : at + 1])) / len(own)
+            for name in self._prefix.get(word, ()):
+                if name in open_:
+                    size, step = self._steps[name]
+                    first = max(0, at - size + step) // step
+                    starts[name].update(range(first * step, at + 1, step))
+        for name in sorted(open_):
+            size = self._steps[name][0]
+            for a in sorted(starts[name]):
+                share = self.share(name, set(words[a : a + size]))
+                if share:
+                    yield name, a, share
+
+
+def window_of(words: int) -> tuple[int, int]:
+    """Words in a window for a template of so many words, and from one window to the next."""
+    return 2 * words, (words + 1) // 2
 
 
 def _frequency(docs: DataFrame, vocabulary: frozenset[bytes]) -> dict[bytes, int]:
@@ -170,8 +232,8 @@ def _places(raw: bytes, words: list[bytes]) -> list[tuple[int, str]]:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_base, first_word, last_word, base_labels, labels,
-    score (the largest containment of a matching template, else 0), n_blocks (matching lines, and
-    groups of overlapping matches over line ends that touch no matching line).
+    score (the largest containment of a matching template, else 0), n_lines and n_windows (of them
+    that match a template; a window counts for each template it is cut for).
 
     Null text counts as empty; texts without a phrase have null places and empty labels; repeated
     rows are scanned each; other columns are left out; an empty table gives an empty result.
@@ -193,15 +255,15 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
 
     names = [
         "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
-        "n_blocks",
+        "n_lines", "n_windows",
     ]
     long, text, real = pa.int64(), pa.string(), pa.float64()
-    kinds = [long, long, long, long, text, text, real, long]
+    kinds = [long, long, long, long, text, text, real, long, long]
     sql = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
         scanned,
         f"doc_id {sql}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, "
-        "base_labels string, labels string, score double, n_blocks bigint",
+        "base_labels string, labels string, score double, n_lines bigint, n_windows bigint",
     )
 
 
@@ -211,30 +273,16 @@ def _scan(text: str, templates: Templates) -> tuple:
     places = _places(raw, words)
     base = sorted({label for _, label in places})
     found: dict[str, float] = {}
-    blocks = 0
+    lines = windows = 0
     if not templates.prefix.isdisjoint(words):
-        lines = [_WORD.findall(line) for line in raw.split(b"\n")]
-        hit = []
-        for line in lines:
-            matches = templates.matches(set(line))
-            hit.append(bool(matches))
+        for line in raw.split(b"\n"):
+            matches = templates.matches(set(_WORD.findall(line)))
+            lines += bool(matches)
             for name, share in matches.items():
                 found[name] = max(found.get(name, 0.0), share)
-        blocks = sum(hit)
-        near = templates.matches(set(words)) if len(lines) > 1 else {}
-        if near:
-            line_of = [k for k, line in enumerate(lines) for _ in line]
-            crossing = []
-            for name in near:
-                for a, b, share in templates.spans(name, words):
-                    if line_of[a] < line_of[b]:
-                        found[name] = max(found.get(name, 0.0), share)
-                        if not any(hit[line_of[a] : line_of[b] + 1]):
-                            crossing.append((a, b))
-            upto = -1
-            for a, b in sorted(crossing):
-                blocks += a > upto
-                upto = max(upto, b)
+        for name, _, share in templates.windows(words):
+            windows += 1
+            found[name] = max(found.get(name, 0.0), share)
     starts = [at for at, _ in places]
     return (
         len(words),
@@ -244,5 +292,6 @@ def _scan(text: str, templates: Templates) -> tuple:
         ",".join(base),
         ",".join(sorted({*base, *found})),
         max(found.values(), default=0.0),
-        blocks,
+        lines,
+        windows,
     )

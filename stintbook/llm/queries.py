@@ -213,9 +213,11 @@ WITH d AS (
   SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word,
          list(DISTINCT label) AS base FROM places GROUP BY doc_id
 ), template AS MATERIALIZED (
-  SELECT name, own, len(own) AS n, ceil({threshold} * len(own) - 1e-9) AS need
-  FROM (SELECT name, list_distinct(regexp_extract_all(lower(said), '{word}')) AS own
-        FROM (VALUES {templates}) v(name, said))
+  SELECT name, own, len(own) AS n, ceil({threshold} * len(own) - 1e-9) AS need,
+         2 * len(said) AS size, (len(said) + 1) // 2 AS step
+  FROM (SELECT name, said, list_distinct(said) AS own
+        FROM (SELECT name, regexp_extract_all(lower(said), '{word}') AS said
+              FROM (VALUES {templates}) v(name, said)))
 ), lines AS (
   SELECT doc_id, k, regexp_extract_all(line, '{word}') AS w
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line,
@@ -223,15 +225,26 @@ WITH d AS (
 ), matched AS (
   SELECT doc_id, k, name, len(list_intersect(own, w)) AS found, n, need FROM lines, template
   WHERE len(list_intersect(own, w)) >= need
+), windows AS (
+  SELECT doc_id, name, own, n, need, w[a + 1:a + size] AS w
+  FROM (SELECT doc_id, w, name, own, n, need, size, unnest(range(0, len(w), step)) AS a
+        FROM words, template WHERE len(list_intersect(own, w)) >= need)
+), within AS (
+  SELECT doc_id, name, len(list_intersect(own, w)) AS found, n FROM windows
+  WHERE len(list_intersect(own, w)) >= need
+), every AS (
+  SELECT doc_id, name, found / n AS share, k, 0 AS at_window FROM matched
+  UNION ALL SELECT doc_id, name, found / n, NULL, 1 FROM within
 ), more AS (
-  SELECT doc_id, list(DISTINCT name) AS names, max(found / n) AS score,
-         count(DISTINCT k) AS n_blocks FROM matched GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT name) AS names, max(share) AS score,
+         count(DISTINCT k) AS n_lines, sum(at_window)::BIGINT AS n_windows FROM every GROUP BY doc_id
 )
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(base, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(names, [])))),
                   ',') AS labels,
-  coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_blocks, 0) AS n_blocks
+  coalesce(score, 0.0)::DOUBLE AS score, coalesce(n_lines, 0) AS n_lines,
+  coalesce(n_windows, 0) AS n_windows
 FROM words LEFT JOIN base USING (doc_id) LEFT JOIN more USING (doc_id)
 """
 
