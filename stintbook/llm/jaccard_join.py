@@ -403,32 +403,60 @@ def _found(docs: DataFrame, group: int, block: int) -> DataFrame:
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, texts in stretches(batches, STRETCH):
         ids = set_ids(*shingle_sets(texts))
-        yield rows.append_column("_set_id", pa.array(ids, pa.int64()))
+        yield rows.append_column("set_id", pa.array(ids, pa.int64()))
+
+
+def _in_sets(docs: DataFrame) -> DataFrame:
+    """The rows as a struct ``row``, with ``id`` and ``set_id`` beside it."""
+    # Any name may be taken, so all columns but the text go by their place.
+    named = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(docs.columns)}
+    plain = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    schema = T.StructType([*plain.schema.fields, T.StructField("set_id", T.LongType())])
+    whole = F.struct(*[F.col(n).alias(c) for c, n in named.items()])
+    rows = plain.mapInArrow(_with_sets, schema)
+    return rows.select(whole.alias("row"), F.col(named["doc_id"]).alias("id"), "set_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with all its columns, of each component only the smallest doc_id.
 
-    A doc_id names one document: rows that repeat it stay or go together. Rows without a doc_id
-    are decided by their text: they go where their set stands in a row with a doc_id, else one row
-    of each set stays, the one with the smallest text. Their texts without words all stay, as they
-    link with nothing. As in ``components``, sets that only stand in such rows have no near copies.
+    A doc_id that stands for one set names one document: rows that repeat it stay or go together.
+    Where a doc_id has texts of several sets, each is decided by its own component. Rows without a
+    doc_id go where their set stands in a row with a doc_id, else one row of each set stays, the
+    one with the smallest text. Their texts without words all stay, as they link with nothing. As
+    in ``components``, sets that only stand in such rows have no near copies. Columns may have any
+    name.
     """
-    found = _found(docs, GROUP, BLOCK)
-    stays = found.filter("doc_id = component_id").select("doc_id").distinct()
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    named = docs.join(stays, "doc_id", "left_semi").select(*columns)
-    schema = T.StructType([*docs.schema.fields, T.StructField("_set_id", T.LongType())])
-    nameless = docs.filter("doc_id IS NULL").mapInArrow(_with_sets, schema)
+    found = keep(_found(docs, GROUP, BLOCK), "classes")
     real = found.filter("doc_id IS NOT NULL")
-    elsewhere = real.select(F.col("set_id").alias("_set_id")).distinct()
+    first = real.filter("doc_id = component_id").select("doc_id", "set_id").distinct()
+    several = (
+        real.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.max("set_id").alias("b"))
+        .filter("a <> b")
+        .select("doc_id")
+    )
+    several = keep(several, "several")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    plain = first.select("doc_id").distinct().join(several, "doc_id", "left_anti")
+    named = docs.join(plain, "doc_id", "left_semi").select(*columns)
+    # Only rows that doc_ids don't decide are hashed again.
+    unclear = _in_sets(
+        docs.join(several, "doc_id", "left_semi").select(*columns).unionByName(
+            docs.filter("doc_id IS NULL")
+        )
+    )
+    mine = (F.col("id") == F.col("doc_id")) & (F.col("own_set") == F.col("set_id"))
+    kept = first.withColumnRenamed("set_id", "own_set")
+    each = unclear.filter("id IS NOT NULL").join(kept, mine, "left_semi").select("row.*")
+    nameless = unclear.filter("id IS NULL")
+    elsewhere = real.select("set_id").distinct()
     # Texts without words have the number 0.
     single = (
-        nameless.filter("_set_id <> 0")
-        .join(elsewhere, "_set_id", "left_anti")
-        .groupBy("_set_id")
-        .agg(F.min_by(F.struct(*columns), "text").alias("_row"))
-        .select("_row.*")
+        nameless.filter("set_id <> 0")
+        .join(elsewhere, "set_id", "left_anti")
+        .groupBy("set_id")
+        .agg(F.min_by("row", "row.text").alias("row"))
+        .select("row.*")
     )
-    empty = nameless.filter("_set_id = 0").select(*columns)
-    return named.unionByName(single).unionByName(empty)
+    empty = nameless.filter("set_id = 0").select("row.*")
+    return named.unionByName(each).unionByName(single).unionByName(empty)

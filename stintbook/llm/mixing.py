@@ -8,7 +8,7 @@ document, so the largest source is read once and others up to the limit.
 The weights are realised by budgeted block permutations. The documents of a source lie in blocks
 by a hash; each epoch reads the blocks in an order of its own. Full epochs read all blocks; the
 last one reads blocks until the source's budget is spent, and in the block where that happens, its
-documents by their hash. Nothing is collected: the driver sees sums only. DataFrame operations.
+documents by their hash. Tokens are estimated from the text alone, or given by the caller. Nothing is collected: the driver sees sums only. DataFrame operations.
 """
 
 from __future__ import annotations
@@ -23,15 +23,19 @@ from stintbook.sources.shared import keep
 # Of the entropy of equal weights; and how often a document may be read on average.
 ENTROPY, REPEATS = 0.9, 1.5
 BLOCKS = 1024
+# Bits of a key that its range leaves open: 4,096 ranges.
+KEY_BITS = 52
 STEPS = 40
 
-GAP = r"[\x20\x09-\x0D]+"
+# A token where there is no vocabulary: up to six letters of a script with spaces between words, one
+# letter of a script without, up to three digits, or any other sign.
+_ALONE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+TOKEN = rf"[{_ALONE}]|[\p{{L}}\p{{M}}&&[^{_ALONE}]]{{1,6}}|\p{{N}}{{1,3}}|[^\s\p{{L}}\p{{M}}\p{{N}}]"
 
 
 def tokens() -> Column:
-    """Words of the text as its token count."""
-    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), GAP), "")
-    return F.size(words).cast("long")
+    """An estimate of the text's token count that needs no vocabulary, in one pass."""
+    return F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TOKEN)).cast("long")
 
 
 def _key() -> Column:
@@ -127,50 +131,76 @@ def plan(rows: DataFrame, entropy: float, repeats: float) -> DataFrame:
     in_last = rows.withColumn("block", block).join(
         last, F.col("source").eqNullSafe(F.col("_s")) & (F.col("block") == F.col("last_block"))
     )
-    # Rows with equal keys are taken together or not at all.
+    # That block may be large itself: by ranges of the key first, then within the range where the
+    # budget ends. Rows with equal keys are taken together or not at all, and summed before.
+    part = F.shiftright("key", KEY_BITS)
+    keys = in_last.groupBy("source", "left", "key").agg(F.sum("n_tokens").alias("n_tokens"))
+    parts = keys.groupBy("source", "left", part.alias("part")).agg(F.sum("n_tokens").alias("size"))
+    by_part = Window.partitionBy("source").orderBy("part")
+    parts = parts.withColumn("upto", F.sum("size").over(by_part))
+    ends = parts.filter("upto > left AND upto - size <= left").select(
+        F.col("source").alias("_p"), F.col("part").alias("end_part"),
+        (F.col("upto") - F.col("size")).alias("before"),
+    )
+    whole = parts.filter("upto <= left").groupBy("source").agg(F.max("part").alias("part"))
+    last_key = F.shiftleft("part", KEY_BITS).bitwiseOR(F.lit((1 << KEY_BITS) - 1))
+    whole_cut = whole.select("source", last_key.alias("cut"))
     spent = F.sum("n_tokens").over(Window.partitionBy("source").orderBy("key"))
+    partly = keys.join(
+        ends, F.col("source").eqNullSafe(F.col("_p")) & (part == F.col("end_part"))
+    )
+    partly = partly.withColumn("spent", spent + F.col("before")).filter("spent <= left")
     cut = (
-        in_last.withColumn("spent", spent)
-        .filter("spent <= left")
+        whole_cut.unionByName(partly.select("source", F.col("key").alias("cut")))
         .groupBy(F.col("source").alias("_c"))
-        .agg(F.max("key").alias("cut"))
+        .agg(F.max("cut").alias("cut"))
     )
     out = sources.join(last.drop("left"), F.col("source").eqNullSafe(F.col("_s")), "left")
     out = out.join(cut, F.col("source").eqNullSafe(F.col("_c")), "left").drop("_s", "_c")
     return keep(out, "plan")
 
 
-def _epochs(docs: DataFrame, entropy: float, repeats: float) -> DataFrame:
-    """``docs`` with the columns _key, _block, _epoch: a row for each time it is read."""
-    rows = keep(docs.select("source", tokens().alias("n_tokens"), _key().alias("key")), "tokens")
+def _epochs(
+    docs: DataFrame, entropy: float, repeats: float, counted: Column | None
+) -> DataFrame:
+    """A row for each time a document is read: row (its columns), source, n_tokens, block, epoch."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    n_tokens = tokens() if counted is None else F.coalesce(counted, F.lit(0)).cast("long")
+    # The caller's columns are in one struct, so no name can clash with these.
+    mine = docs.select(
+        whole.alias("row"), F.col("source"), _key().alias("key"), n_tokens.alias("n_tokens")
+    ).withColumn("block", _block(F.col("key")))
+    rows = keep(mine.select("source", "n_tokens", "key"), "tokens")
     weights = plan(rows, entropy, repeats).select(
-        F.col("source").alias("_source"),
-        F.col("full").alias("_full"),
-        F.col("last_block").alias("_last_block"),
-        F.col("last_place").alias("_last_place"),
-        F.col("cut").alias("_cut"),
+        F.col("source").alias("of"), "full", "last_block", "last_place", "cut"
     )
-    mine = docs.withColumn("_key", _key()).withColumn("_block", _block(F.col("_key")))
-    joined = mine.join(weights, F.col("source").eqNullSafe(F.col("_source")))
-    place = _place(F.col("_block"), F.col("_full") + 1, F.col("source"))
+    joined = mine.join(weights, F.col("source").eqNullSafe(F.col("of")))
+    place = _place(F.col("block"), F.col("full") + 1, F.col("source"))
     once_more = F.coalesce(
-        F.when(F.col("_block") == F.col("_last_block"), F.col("_key") <= F.col("_cut")).otherwise(
-            place < F.col("_last_place")
+        F.when(F.col("block") == F.col("last_block"), F.col("key") <= F.col("cut")).otherwise(
+            place < F.col("last_place")
         ),
         F.lit(False),
     )
-    times = F.col("_full") + once_more.cast("int")
-    return joined.withColumn("_epoch", F.explode(F.sequence(F.lit(1), times)))
+    times = F.col("full") + once_more.cast("int")
+    return joined.withColumn("epoch", F.explode(F.sequence(F.lit(1), times)))
 
 
-def mix(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    entropy: float = ENTROPY,
+    repeats: float = REPEATS,
+    counted: Column | None = None,
+) -> DataFrame:
     """``docs`` with all its columns, each row as often as the mixture reads it, at least once.
 
-    A null source is a source of its own. Texts that are null or empty have no tokens; a source of
-    only such texts is read once. Rows with the same doc_id are read equally often. An empty table
-    gives an empty result.
+    ``counted`` gives the tokens of a row where a vocabulary's counts are known, as those of
+    ``token_counts``; without it they are estimated. A null source is a source of its own. Texts
+    that are null or empty have no tokens; a source of only such texts is read once. Rows with the
+    same doc_id are read equally often. Columns may have any name; an empty table gives an empty
+    result.
     """
-    return _epochs(docs, entropy, repeats).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _epochs(docs, entropy, repeats, counted).select("row.*")
 
 
 def schedule(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS) -> DataFrame:
@@ -178,12 +208,8 @@ def schedule(docs: DataFrame, entropy: float = ENTROPY, repeats: float = REPEATS
 
     Within an epoch a source's blocks are read by ``place``; cases as for ``mix``.
     """
-    epochs = _epochs(docs.select("doc_id", "source", "text"), entropy, repeats)
+    epochs = _epochs(docs.select("doc_id", "source", "text"), entropy, repeats, None)
+    place = _place(F.col("block"), F.col("epoch"), F.col("source"))
     return epochs.select(
-        "doc_id",
-        "source",
-        tokens().alias("n_tokens"),
-        F.col("_epoch").alias("epoch"),
-        F.col("_block").alias("block"),
-        _place(F.col("_block"), F.col("_epoch"), F.col("source")).alias("place"),
+        "row.doc_id", "source", "n_tokens", "epoch", "block", place.alias("place")
     )

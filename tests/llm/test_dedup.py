@@ -9,8 +9,16 @@ import re
 import numpy as np
 import pytest
 from conftest import SF_DIR
+from pyspark.sql import functions as F
 
-from stintbook.llm import components, exact_dedup, jaccard_join, shingles, suffix_dedup
+from stintbook.llm import (
+    components,
+    exact_dedup,
+    jaccard_join,
+    mixing,
+    shingles,
+    suffix_dedup,
+)
 
 from .conftest import changed, prose
 
@@ -237,3 +245,83 @@ def test_empty_tables(make):
     assert jaccard_join.components(docs).count() == 0
     assert jaccard_join.keep_first(docs).count() == 0
     assert suffix_dedup.repeated_bytes(docs).count() == 0
+
+
+HELPERS = (
+    "row id sha size best rows hot hash place minus nameless _sha _key _block _epoch _full _cut "
+    "_source _set_id _row _stays_id _stays_sha key block of set_id own_set full last_block "
+    "last_place cut epoch n_tokens component_id a b"
+).split()
+
+
+@pytest.mark.parametrize("stage", ["exact", "near", "mixed"])
+def test_stages_keep_all_columns(spark, stage):
+    """A caller's column may have any name, those of helper columns too."""
+    run = {
+        "exact": exact_dedup.drop_duplicates, "near": jaccard_join.keep_first, "mixed": mixing.mix,
+    }[stage]
+    rng = random.Random(7)
+    texts = [prose(rng, 20) for _ in range(6)]
+    rows = [(i, t, "s") for i, t in enumerate([*texts, texts[0], texts[1] + " x", None, ""])]
+    rows += [(None, texts[2], "s"), (None, "other words", None)]
+    schema = "doc_id bigint, text string, source string"
+    docs = spark.createDataFrame(rows, schema)
+    plain = run(docs)
+    for names in (HELPERS, ["a.b", "my column", "MAP"]):
+        wide = docs.withColumns({c: F.concat(F.lit(f"{c}:"), "doc_id") for c in names})
+        found = run(wide)
+        assert found.columns == wide.columns
+        assert sorted(map(repr, found.select("doc_id", "text", "source").collect())) == sorted(
+            map(repr, plain.collect())
+        )
+        for r in found.collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{c}:{r.doc_id}") for c in names)
+
+
+@pytest.mark.parametrize("support", [None, 0.4])
+def test_the_named_row_stays(spark, monkeypatch, support):
+    if support:
+        monkeypatch.setattr(exact_dedup, "SUPPORT", support)
+    rng = random.Random(3)
+    rows = [(1, "a   b   c", 0), (1, "a b c", 1), (2, "a b  c", 2), (None, "a     b c  ", 3)]
+    rows += [(7, "x y", 4)] * 50 + [(8, "x y", 5)] * 3 + [(9, "x  y", 6)] * 2
+    rows += [(4, "q r", 7), (4, "q\tr", 8), (4, "q\nr", 9), (None, None, 10), (5, "", 11), (6, "", 12)]
+    for _ in range(3):
+        rng.shuffle(rows)
+        docs = spark.createDataFrame(rows, "doc_id bigint, text string, n int").repartition(3)
+        found = exact_dedup.drop_duplicates(docs).collect()
+        best = {}
+        for i, t, n in rows:
+            key = "".join((t or "").split())
+            order = (-len(t or ""), i is None, i or 0)
+            best[key] = min(best.get(key, (order,)), (order,))
+        assert len(found) == len(best)
+        for r in found:
+            key = "".join((r.text or "").split())
+            assert (-len(r.text or ""), r.doc_id is None, r.doc_id or 0) == best[key][0]
+    assert exact_dedup.drop_duplicates(docs.limit(0)).count() == 0
+
+
+def test_losers_of_frequent_texts_are_not_moved(spark):
+    docs = spark.range(20_000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.lit("hot " * 50)).otherwise(F.concat(F.lit("t"), "id")).alias("text"),
+    )
+    kept = exact_dedup.drop_duplicates(docs)
+    assert kept.count() == 20_000 - 6_667 + 1
+    # they are left out by the broadcast table, below the exchange of the texts
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    lines = plan.splitlines()
+    ordinary = next(i for i, line in enumerate(lines) if "Join LeftOuter, (sha" in line)
+    assert any("broadcast" in line for line in lines[ordinary + 1 :])
+
+
+def test_each_text_of_a_doc_id_is_decided(spark):
+    """A row whose text is a near copy of another document goes, even if its doc_id stays."""
+    rng = random.Random(5)
+    a, b, c = (prose(rng, 60) for _ in range(3))
+    rows = [(5, a), (7, a + " x"), (5, b), (3, b + " y"), (5, c), (None, c), (None, "own words here"), (5, a)]
+    found = jaccard_join.keep_first(spark.createDataFrame(rows, "doc_id int, text string"))
+    assert sorted(map(repr, map(tuple, found.collect()))) == sorted(
+        map(repr, [(5, a), (5, a), (3, b + " y"), (5, c), (None, "own words here")])
+    )

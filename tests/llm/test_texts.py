@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -392,6 +393,18 @@ def test_language_cases(make):
     assert {r.lang_pred for r in language_id.identify(docs, none).collect()} == {"und"}
 
 
+def pieces_of(text):
+    """The estimate of a text's tokens, by another road."""
+    count = 0
+    for kind, run in itertools.groupby(text or "", lambda c: "a" if c.isalpha() else c.isdigit()):
+        size = len(list(run))
+        if kind == "a":
+            count += -(-size // 6)
+        elif kind:
+            count += -(-size // 3)
+    return count + sum(not (c.isalnum() or c.isspace()) for c in text or "")
+
+
 def mixed_docs(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, rng.randint(1, 30)), "big" if i % 10 else f"s{i % 40}") for i in range(900)]
@@ -402,7 +415,7 @@ def mixed_docs(spark):
 @pytest.mark.parametrize(("entropy", "repeats"), [(0.9, 1.5), (0.99, 50.0), (0.1, 1.1)])
 def test_mixing(spark, entropy, repeats):
     docs = mixed_docs(spark)
-    words = {r.doc_id: len((r.text or "").split()) for r in docs.collect()}
+    words = {r.doc_id: pieces_of(r.text) for r in docs.collect()}
     source = {r.doc_id: r.source for r in docs.collect()}
     tokens = Counter()
     for i, n in words.items():
@@ -444,6 +457,18 @@ def test_mixing(spark, entropy, repeats):
     assert Counter(r.doc_id for r in mixed.collect()) == read
 
 
+def test_tokens_in_scripts_without_spaces(make):
+    texts = ["漢字かな交じり文", "ภาษาไทย", "abcdefg hi", "a" * 600, "12345 6", "é e\u0301,.!", " \t\n", "ab漢cd"]
+    docs = make(texts, odd=False)
+    found = [r[0] for r in docs.select("doc_id", mixing.tokens().alias("n")).orderBy("doc_id").select("n").collect()]
+    assert found == [8, 7, 3, 100, 3, 5, 0, 3]
+    # a caller's counts go before the estimate
+    given = docs.withColumn("source", F.when(F.col("doc_id") < 4, "a").otherwise("b"))
+    n = F.when(F.col("doc_id") < 4, 100).otherwise(10)
+    read = Counter(r.source for r in mixing.mix(given, 1.0, 10.0, n).collect())
+    assert read["a"] == 4 and read["b"] == 40
+
+
 def test_mixing_cases(make):
     assert mixing.mix(make([], odd=False)).count() == 0
     docs = make(["", None], odd=False)
