@@ -82,6 +82,8 @@ def _sample(docs: DataFrame) -> DataFrame:
     # The least hashes of a language are among those below a bound, so few rows of a large one
     # are ranked.
     sizes = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("of_lang"))
+    # Of more languages than texts, only the first by name can have one.
+    sizes = F.broadcast(sizes.orderBy("lang").limit(IN_ALL))
     below = (order / F.lit(2.0**64) + 0.5) * F.col("of_lang") <= ROOM * PER_LANGUAGE
     few = ids.join(sizes, "lang").filter(below)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(order, "doc_id"))
