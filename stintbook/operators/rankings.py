@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -17,6 +18,9 @@ from stintbook.sources.shared import keep
 
 # How many times ``limit`` rows are tried to find a lower bound for a place in the top list.
 PROBE = 10
+# A round of counting has so many times the players of the one before, up to a size whose ids are
+# still few for the driver.
+ROUND_GROWTH, LARGEST_ROUND = 8, 20_000
 
 
 def _top(ranked: DataFrame, measure: str, ids: list[str], limit: int) -> DataFrame:
@@ -177,26 +181,61 @@ def teammate_counts(players: DataFrame, periods: DataFrame) -> DataFrame:
 def most_teammates(stints: DataFrame, as_of: dt.date, limit: int = 10) -> DataFrame:
     """Players with the most different teammates.
 
-    The players with the best bounds are counted first. Nobody whose bound is below the
-    ``limit``-th best of those counts can be in the result, so only the rest is counted. The
-    result is exact; where bounds are close to the counts, few players are left to join.
+    Players are counted in rounds, those with the best bounds first and among equal bounds by id,
+    until the ``limit``-th best of the counts beats the next bound, or equals it with a smaller
+    id. Nobody behind that can be in the result, so it is exact; where bounds are close to the
+    counts, or very many players tie, few are counted.
     """
     return most_teammates_of_spans(clean_spans(stints, as_of), limit)
 
 
 def most_teammates_of_spans(spans: DataFrame, limit: int) -> DataFrame:
+    spark = spans.sparkSession
     periods = keep(team_spans(spans), "team-spans")
     bounds = keep(teammate_bounds(periods), "teammate-bounds")
-    probe = _top(bounds, "bound", ["player_uid"], PROBE * limit)
-    counts = keep(teammate_counts(probe, periods), "teammate-counts")
-    needed = _kth_best(counts, "teammate_count", limit)
-    # whoever was tried is counted already
-    hopeful = bounds.filter(F.col("bound") >= needed)
-    rest = hopeful.join(probe.select("player_uid"), "player_uid", "left_anti")
+    left, size, rounds = bounds, PROBE * limit, []
+    while True:
+        # the players of this round, and the next one; bounded by LARGEST_ROUND
+        ahead = _top(left, "bound", ["player_uid"], size + 1).collect()
+        chosen = spark.createDataFrame([(r.player_uid,) for r in ahead[:size]], "player_uid string")
+        rounds.append(keep(teammate_counts(chosen, periods), "teammate-counts"))
+        counts = functools.reduce(DataFrame.unionByName, rounds)
+        best = _top(counts, "teammate_count", ["player_uid"], limit)
+        if len(ahead) <= size:
+            return best
+        following = ahead[size]
+        found = best.collect()
+        if len(found) == limit and _beats(found[-1], following):
+            return best
+        if size == LARGEST_ROUND:
+            break
+        left = bounds.filter(_from(following))
+        size = min(ROUND_GROWTH * size, LARGEST_ROUND)
+    # Bounds tell little here: all who can still win are counted together.
+    needed = found[-1].teammate_count if len(found) == limit else 0
+    rest = bounds.filter(_from(following) & (F.col("bound") >= needed))
     counts = counts.unionByName(teammate_counts(rest, periods))
     return _top(counts, "teammate_count", ["player_uid"], limit)
 
 
+def _beats(last: Row, following: Row) -> bool:
+    """Whether the last one of a full list stays before a player with this bound, and so before
+    all who come later in the order of bounds."""
+    if last.teammate_count != following.bound:
+        return last.teammate_count > following.bound
+    # without an id comes last
+    return following.player_uid is None or (
+        last.player_uid is not None and last.player_uid < following.player_uid
+    )
+
+
+def _from(first: Row) -> Column:
+    """Players from this one on, in falling order of bounds and then by id."""
+    uid = F.col("player_uid")
+    same = uid.isNull() if first.player_uid is None else uid.isNull() | (uid >= first.player_uid)
+    return (F.col("bound") < first.bound) | ((F.col("bound") == first.bound) & same)
+
+
 def pair_days(stints: DataFrame, as_of: dt.date, merge: str = "lag") -> DataFrame:
     """Days together of every pair that ever shared a team. The output is as large as that."""
     together = self_overlaps(clean_spans(stints, as_of).distinct(), True)

@@ -189,6 +189,44 @@ def test_most_teammates(spark, seed):
         assert [tuple(r) for r in found] == best[:limit]
 
 
+@pytest.mark.parametrize("largest", [20_000, 30])
+def test_rounds_stop_early_among_ties(spark, monkeypatch, largest):
+    """3,000 players of one team with the same dates tie; a few of them are enough."""
+    monkeypatch.setattr(rankings, "LARGEST_ROUND", largest)
+    counted = []
+    count = rankings.teammate_counts
+
+    def watched(players, periods):
+        counted.append(players.count())
+        return count(players, periods)
+
+    monkeypatch.setattr(rankings, "teammate_counts", watched)
+    spans_ = spark.range(3_000).select(
+        F.format_string("P%05d", "id").alias("player_uid"),
+        F.lit("t").alias("team_id"),
+        F.lit(ORIGIN).alias("start"),
+        F.lit(ORIGIN + dt.timedelta(days=9)).alias("end"),
+    )
+    found = rankings.most_teammates_of_spans(spans_, 3).collect()
+    assert [tuple(r) for r in found] == [(f"P{i:05}", 2_999) for i in range(3)]
+    assert counted == [rankings.PROBE * 3]
+
+
+@pytest.mark.parametrize("growth,largest", [(2, 10_000), (2, 8), (1, 4)])
+def test_rounds_find_the_same(spark, monkeypatch, growth, largest):
+    monkeypatch.setattr(rankings, "PROBE", 1)
+    monkeypatch.setattr(rankings, "ROUND_GROWTH", growth)
+    monkeypatch.setattr(rankings, "LARGEST_ROUND", largest)
+    rows = random_stints(8, players=60)
+    mates = defaultdict(set)
+    for a, b in brute_pairs(rows, False):
+        mates[a].add(b)
+        mates[b].add(a)
+    best = sorted(((p, len(m)) for p, m in mates.items()), key=lambda t: (-t[1], t[0]))
+    found = rankings.most_teammates(frame(spark, rows), AS_OF, 4).collect()
+    assert [tuple(r) for r in found] == best[:4]
+
+
 def test_teammate_bounds_hold(spark):
     rows = random_stints(5, players=60)
     periods = rankings.team_spans(overlap.clean_spans(frame(spark, rows), AS_OF))
