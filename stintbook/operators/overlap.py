@@ -6,6 +6,9 @@ the later one starts on a day of the earlier one, so the spans' nodes are joined
 around all starts, by equality. A pair meets in exactly one node. So rows that meet are the result,
 but for a player's own spans and equal starts, however many spans a team has on how few days; and
 a large team is as many keys as it has nodes.
+
+A team with at most ``DIRECT`` spans is one node: there no span meets more than so many others,
+and looking at all of them costs less than copying spans to nodes.
 """
 
 from __future__ import annotations
@@ -38,6 +41,7 @@ def clean_spans(stints: DataFrame, as_of: dt.date) -> DataFrame:
 # Sizes of a node: 1, 4, 16, ... days. Longer spans take several of the largest.
 SIZES = 8
 _FAN_BITS = 2
+DIRECT = 200
 
 
 def _nodes(first: Column, after: Column) -> Column:
@@ -90,13 +94,22 @@ def _meeting(earlier: DataFrame, later: DataFrame, closed: bool) -> DataFrame:
     """Each row of ``later`` with each of ``earlier`` in whose days it starts.
 
     ``earlier`` has ``team_id, earlier_start, earlier_end``, ``later`` has ``team_id`` and
-    ``later_start``. With ``closed`` the end is one of the days.
+    ``later_start``; both are read twice. With ``closed`` the end is one of the days.
     """
     after = F.date_add("earlier_end", 1) if closed else F.col("earlier_end")
-    spread = earlier.withColumn("at", F.explode(_nodes(F.col("earlier_start"), after)))
-    starts = later.withColumn("at", F.explode(_around(F.col("later_start"))))
-    flat = lambda df: df.select("*", "at.size", "at.node").drop("at")
-    return flat(spread).join(flat(starts), _KEYS).drop("size", "node")
+    counted = later.groupBy("team_id").agg(F.count(F.lit(1)).alias("starts"))
+    large = counted.filter(F.col("starts") > DIRECT).select("team_id", F.lit(True).alias("large"))
+    one = F.array(F.struct(F.lit(-1).alias("size"), F.lit(0).alias("node")))
+
+    def at_nodes(df: DataFrame, nodes: Column) -> DataFrame:
+        at = F.when(F.col("large"), nodes).otherwise(one)
+        spread = df.join(large, "team_id", "left").withColumn("at", F.explode(at))
+        return spread.select(*df.columns, "at.size", "at.node")
+
+    spread = at_nodes(earlier, _nodes(F.col("earlier_start"), after))
+    starts = at_nodes(later, _around(F.col("later_start")))
+    inside = (F.col("later_start") >= F.col("earlier_start")) & (F.col("later_start") < after)
+    return spread.join(starts, _KEYS).filter(inside).drop("size", "node")
 
 
 def _lasting(spans: DataFrame, closed: bool) -> DataFrame:

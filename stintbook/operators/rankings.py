@@ -20,7 +20,7 @@ from stintbook.sources.shared import keep
 PROBE = 10
 # A round of counting has so many times the players of the one before, up to a size whose ids are
 # still few for the driver.
-ROUND_GROWTH, LARGEST_ROUND = 8, 20_000
+ROUND_GROWTH, LARGEST_ROUND = 40, 20_000
 
 
 def _top(ranked: DataFrame, measure: str, ids: list[str], limit: int) -> DataFrame:
@@ -210,6 +210,8 @@ def most_teammates_of_spans(spans: DataFrame, limit: int) -> DataFrame:
         if size == LARGEST_ROUND:
             break
         left = bounds.filter(_from(following))
+        if len(found) == limit:
+            left = left.filter(F.col("bound") >= found[-1].teammate_count)
         size = min(ROUND_GROWTH * size, LARGEST_ROUND)
     # Bounds tell little here: all who can still win are counted together.
     needed = found[-1].teammate_count if len(found) == limit else 0
@@ -354,5 +356,6 @@ def pairs_with_most_time_of_spans(spans: DataFrame, merge: str, limit: int) -> D
         .filter(F.datediff("last_end", "start") >= needed)
         .select("player_uid", "team_id", "start", "end")
     )
+    early = keep(early, "early-spans")
     seeds = keep(self_overlaps(early, True).select(*pair).distinct(), "pairs")
     return _top(_days_of_pairs(seeds, spans, merge), "total_days", pair, limit)

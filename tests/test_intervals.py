@@ -85,8 +85,10 @@ def test_contained_interval(spark):
         covered_days(df, ["k"], "other")
 
 
+@pytest.mark.parametrize("direct", [0, 70, 200])
 @pytest.mark.parametrize("closed", [True, False])
-def test_self_overlaps(spark, closed):
+def test_self_overlaps(spark, monkeypatch, closed, direct):
+    monkeypatch.setattr(overlap, "DIRECT", direct)
     rows = random_stints(1)
     cleaned = overlap.clean_spans(frame(spark, rows), AS_OF)
     found = defaultdict(list)
@@ -96,7 +98,9 @@ def test_self_overlaps(spark, closed):
     assert {k: sorted(v) for k, v in found.items()} == {k: sorted(v) for k, v in expected.items()}
 
 
-def test_long_and_reversed_spans(spark):
+@pytest.mark.parametrize("direct", [0, 200])
+def test_long_and_reversed_spans(spark, monkeypatch, direct):
+    monkeypatch.setattr(overlap, "DIRECT", direct)
     # a long overlap is found once; a reversed span meets nothing
     rows = [
         ("A", "t", D(2020, 1, 1), D(2022, 12, 31)),
@@ -128,7 +132,8 @@ def test_nodes_make_up_the_days(spark, rows):
 
 
 @pytest.mark.parametrize("closed", [True, False])
-def test_rows_that_meet_are_the_result(spark, closed):
+def test_rows_that_meet_are_the_result(spark, monkeypatch, closed):
+    monkeypatch.setattr(overlap, "DIRECT", 0)
     cleaned = overlap.clean_spans(frame(spark, random_stints(3)), AS_OF)
     side = lambda name: overlap._lasting(cleaned, closed).select(
         "team_id", *[F.col(c).alias(f"{name}_{c}") for c in ("player_uid", "start", "end")]
