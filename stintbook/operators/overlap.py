@@ -87,29 +87,54 @@ def _around(date: Column) -> Column:
     )
 
 
-_KEYS = ["team_id", "size", "node"]
+# Which side covers the other's start; in a small team, either.
+_KEYS = ["team_id", "kind", "size", "node"]
+_EITHER, _COVERS, _STARTS = -1, 0, 1
+
+
+def _days_after(end: str, closed: bool) -> Column:
+    """The first day that is none of a span's."""
+    return F.date_add(end, 1) if closed else F.col(end)
+
+
+def _large_teams(spans: DataFrame) -> DataFrame:
+    counted = spans.groupBy("team_id").agg(F.count(F.lit(1)).alias("spans"))
+    return counted.filter(F.col("spans") > DIRECT).select("team_id", F.lit(True).alias("large"))
+
+
+def _of_kind(kind: int, nodes: Column) -> Column:
+    return F.transform(
+        nodes, lambda n: F.struct(F.lit(kind).alias("kind"), n.size.alias("size"), n.node.alias("node"))
+    )
+
+
+def _at_nodes(df: DataFrame, large: DataFrame, nodes: Column) -> DataFrame:
+    """Rows once for each of their nodes; in a small team once."""
+    one = F.array(
+        F.struct(F.lit(_EITHER).alias("kind"), F.lit(0).alias("size"), F.lit(0).alias("node"))
+    )
+    at = F.when(F.col("large"), nodes).otherwise(one)
+    spread = df.join(large, "team_id", "left").withColumn("at", F.explode(at))
+    return spread.select(*df.columns, "at.kind", "at.size", "at.node")
 
 
 def _meeting(earlier: DataFrame, later: DataFrame, closed: bool) -> DataFrame:
     """Each row of ``later`` with each of ``earlier`` in whose days it starts.
 
     ``earlier`` has ``team_id, earlier_start, earlier_end``, ``later`` has ``team_id`` and
-    ``later_start``; both are read twice. With ``closed`` the end is one of the days.
+    ``later_start``; ``later`` is read twice. With ``closed`` the end is one of the days.
     """
-    after = F.date_add("earlier_end", 1) if closed else F.col("earlier_end")
-    counted = later.groupBy("team_id").agg(F.count(F.lit(1)).alias("starts"))
-    large = counted.filter(F.col("starts") > DIRECT).select("team_id", F.lit(True).alias("large"))
-    one = F.array(F.struct(F.lit(-1).alias("size"), F.lit(0).alias("node")))
-
-    def at_nodes(df: DataFrame, nodes: Column) -> DataFrame:
-        at = F.when(F.col("large"), nodes).otherwise(one)
-        spread = df.join(large, "team_id", "left").withColumn("at", F.explode(at))
-        return spread.select(*df.columns, "at.size", "at.node")
-
-    spread = at_nodes(earlier, _nodes(F.col("earlier_start"), after))
-    starts = at_nodes(later, _around(F.col("later_start")))
+    large = _large_teams(later)
+    after = _days_after("earlier_end", closed)
+    covers = _of_kind(_COVERS, _nodes(F.col("earlier_start"), after))
+    starts = _of_kind(_COVERS, _around(F.col("later_start")))
     inside = (F.col("later_start") >= F.col("earlier_start")) & (F.col("later_start") < after)
-    return spread.join(starts, _KEYS).filter(inside).drop("size", "node")
+    return (
+        _at_nodes(earlier, large, covers)
+        .join(_at_nodes(later, large, starts), _KEYS)
+        .filter(inside)
+        .drop("kind", "size", "node")
+    )
 
 
 def _lasting(spans: DataFrame, closed: bool) -> DataFrame:
@@ -152,32 +177,28 @@ def overlaps_with(chosen: DataFrame, mates: DataFrame, closed: bool = False) ->
     ``chosen`` has ``player_uid, team_id, start, end``; ``mates`` has those and any further
     columns, which are kept. Adds ``of_player`` and the overlap as ``overlap_start`` and
     ``overlap_end``. Both sides are copied to their nodes, so ``mates`` should be narrow; spans
-    that end before they start meet nothing. ``chosen`` is read several times, so it should be a
-    kept or a small table.
+    that end before they start meet nothing. ``mates`` is read twice.
     """
     renamed = {"player_uid": "of_player", "start": "of_start", "end": "of_end"}
     own = _lasting(chosen, closed).select(
         "team_id", *[F.col(c).alias(n) for c, n in renamed.items()]
     )
-    mates = _lasting(mates, closed).join(own.select("team_id").distinct(), "team_id", "left_semi")
+    mates = _lasting(mates, closed)
+    large = _large_teams(mates)
 
-    def as_side(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
-        return df.withColumns({f"{name}_start": F.col(start), f"{name}_end": F.col(end)})
+    def both_ways(start: str, end: str, covers: int, starts: int) -> Column:
+        nodes = _nodes(F.col(start), _days_after(end, closed))
+        return F.concat(_of_kind(covers, nodes), _of_kind(starts, _around(F.col(start))))
 
-    joining = _meeting(
-        as_side(own, "of_start", "of_end", "earlier"),
-        as_side(mates, "start", "end", "later"),
-        closed,
-    )
-    there = _meeting(
-        as_side(mates, "start", "end", "earlier"),
-        as_side(own, "of_start", "of_end", "later"),
-        closed,
-    ).filter(F.col("start") < F.col("of_start"))
+    begins, until = F.greatest("start", "of_start"), F.least("end", "of_end")
+    meets = begins <= until if closed else begins < until
+    # Equal starts meet both ways; one of them counts.
+    once = (F.col("kind") != _STARTS) | (F.col("start") < F.col("of_start"))
     return (
-        joining.unionByName(there)
-        .filter(F.col("player_uid") != F.col("of_player"))
-        .withColumn("overlap_start", F.greatest("start", "of_start"))
-        .withColumn("overlap_end", F.least("end", "of_end"))
+        _at_nodes(own, large, both_ways("of_start", "of_end", _COVERS, _STARTS))
+        .join(_at_nodes(mates, large, both_ways("start", "end", _STARTS, _COVERS)), _KEYS)
+        .filter((F.col("player_uid") != F.col("of_player")) & meets & once)
+        .withColumn("overlap_start", begins)
+        .withColumn("overlap_end", until)
         .select("of_player", *mates.columns, "overlap_start", "overlap_end")
     )
