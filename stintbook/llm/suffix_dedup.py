@@ -19,21 +19,23 @@ doc_id. Strings are judged on the input, and never reach over documents.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintbook.llm.shingles import mix
-from stintbook.sources.shared import keep
+from stintbook.sources.shared import keep, keep_bucketed
 
 WINDOW, GRAM = 50, 20
 # Bytes in a shard, and windows that are merged at a time.
 SHARD, RANGE = 1 << 20, 200_000
+# Bytes of text in a block, as far as there may be so many blocks.
+BLOCK, MOST_BLOCKS = 16 << 20, 20_000
 # Bytes of text that are named at a time; few enough for the processor's cache.
 STRETCH = 100_000
 # Rows without a doc_id count as the largest.
@@ -92,7 +94,7 @@ class _Block:
     def __init__(self, rows: pa.Table) -> None:
         ids = rows.column("doc_id").to_numpy(zero_copy_only=False)
         if ids.dtype.kind == "f":
-            ids = pa.compute.fill_null(rows.column("doc_id"), LAST).to_numpy()
+            ids = pc.fill_null(rows.column("doc_id"), LAST).to_numpy()
         order = np.argsort(ids, kind="stable")
         texts = rows.column("text").to_pylist()
         self.ids = ids[order].astype(np.int64)
@@ -140,7 +142,8 @@ def _name(buckets: int):
         order = np.argsort(bucket, kind="stable")
         bucket, found, several = bucket[order], found[order], several[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist()
-        spans = list(zip(cuts, [*cuts[1:], len(bucket)], strict=True))
+        # A block of short texts has none.
+        spans = list(zip(cuts, [*cuts[1:], len(bucket)][: len(cuts)], strict=True))
         return pa.table(
             {
                 "bucket": pa.array([int(bucket[a]) for a, _ in spans], pa.int32()),
@@ -461,7 +464,7 @@ def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if len(gone) else text
         out.append((len(text), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest()))
     ids = pa.array(block.ids, pa.int64())
-    ids = pa.compute.if_else(pa.compute.equal(ids, LAST), pa.scalar(None, pa.int64()), ids)
+    ids = pc.if_else(pc.equal(ids, LAST), pa.scalar(None, pa.int64()), ids)
     columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
     return pa.table(
         {
@@ -475,48 +478,40 @@ def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
 
 
 def _names_of(found: pa.Table) -> np.ndarray:
-    return _sorted_names(found.filter(pa.compute.is_valid(found.column("names"))))
+    return _sorted_names(found.filter(pc.is_valid(found.column("names"))))
 
 
 def repeated_bytes(docs: DataFrame, shard: int = SHARD) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null text counts as empty; texts under 50 bytes lose nothing. Rows with the same doc_id take
-    nothing from each other; rows without a doc_id count as the largest. Other columns are left
-    out; an empty table gives an empty result. ``shard`` only steers the work.
+    nothing from each other; rows without a doc_id count as the largest. doc_id is a whole number,
+    and returned as a bigint. Other columns are left out; an empty table gives an empty result. ``shard`` only steers the work.
     """
-    spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = f"stintbook_blocks_{uuid.uuid4().hex}"
-    block = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
-    (
-        docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", block.alias("block"))
-        .repartition(buckets, "block")
-        .write.bucketBy(buckets, "block")
-        .option("compression", "zstd")
-        .format("parquet")
-        .saveAsTable(table)
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    count = min(MOST_BLOCKS, size // BLOCK + 1)
+    # By row, so that neither a repeated doc_id nor a missing one fills a block.
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(count)).cast("int")
+    doc_id = F.col("doc_id").cast("bigint").alias("doc_id")
+    blocks = keep_bucketed(
+        docs.select(doc_id, "text", block.alias("block")), "blocks", "block", count
     )
-    try:
-        blocks = spark.table(table)
-        named = blocks.groupBy("block").applyInArrow(_name(4 * buckets), _NAMES)
-        shared = keep(
-            named.groupBy("bucket").applyInArrow(_share, "block int, names binary"), "shared"
-        )
-        both = lambda other: blocks.groupBy("block").cogroup(other.groupBy("block"))
-        pieces = both(shared).applyInArrow(_send(4 * buckets), _PIECES)
-        found = pieces.groupBy("bucket").applyInArrow(
-            _classes(shard), "block int, pieces binary, least binary, sizes binary"
-        )
-        back = found.withColumn("names", F.lit(None).cast("binary")).unionByName(
-            shared.select(
-                "block",
-                F.lit(b"").alias("pieces"),
-                F.lit(b"").alias("least"),
-                F.lit(b"").alias("sizes"),
-                "names",
-            )
+    named = blocks.groupBy("block").applyInArrow(_name(4 * count), _NAMES)
+    shared = keep(
+        named.groupBy("bucket").applyInArrow(_share, "block int, names binary"), "shared"
+    )
+    both = lambda other: blocks.groupBy("block").cogroup(other.groupBy("block"))
+    pieces = both(shared).applyInArrow(_send(4 * count), _PIECES)
+    found = pieces.groupBy("bucket").applyInArrow(
+        _classes(shard), "block int, pieces binary, least binary, sizes binary"
+    )
+    back = found.withColumn("names", F.lit(None).cast("binary")).unionByName(
+        shared.select(
+            "block",
+            F.lit(b"").alias("pieces"),
+            F.lit(b"").alias("least"),
+            F.lit(b"").alias("sizes"),
+            "names",
         )
-        return keep(both(back).applyInArrow(_cut, f"doc_id bigint, {_CUT}"), "cut")
-    finally:
-        spark.sql(f"DROP TABLE IF EXISTS {table}")
+    )
+    return keep(both(back).applyInArrow(_cut, f"doc_id bigint, {_CUT}"), "cut")

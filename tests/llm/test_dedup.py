@@ -325,3 +325,19 @@ def test_each_text_of_a_doc_id_is_decided(spark):
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(
         map(repr, [(5, a), (5, a), (3, b + " y"), (5, c), (None, "own words here")])
     )
+
+
+def test_bytes_of_rows_without_ids_only(spark, monkeypatch):
+    """They count as one document, and lie in several blocks."""
+    rng = random.Random(11)
+    shared = prose(rng, 60)
+    rows = [(None, shared), (None, shared), (None, f"x {shared}"), (None, None), (None, "")]
+    schema = "doc_id int, text string"
+    found = suffix_dedup.repeated_bytes(spark.createDataFrame(rows, schema)).collect()
+    assert [(r.n_removed, r.n_spans) for r in found] == [(0, 0)] * 5
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 100)
+    named = [(5, f"{shared} y"), *rows]
+    found = suffix_dedup.repeated_bytes(spark.createDataFrame(named, schema)).collect()
+    assert len(found) == 6
+    size = len(shared.encode())
+    assert sorted(r.n_removed for r in found) == [0, 0, 0, size, size, size]

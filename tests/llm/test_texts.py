@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import itertools
 import math
 import random
 import re
@@ -253,6 +252,44 @@ def test_chat_pieces_have_the_same_tokens(byte_pairs, monkeypatch):
     assert [x for p in parts for x in p.loss] == whole.loss
 
 
+def test_posterior_equals_brute_force(spark):
+    """Expectation maximisation over the documents one by one, with products of likelihoods."""
+    docs = spark.read.parquet(f"{SF_DIR}/../sf0.01/documents.parquet").select("doc_id", "text")
+    rules = list(quality.votes())
+    voted = quality.features(docs).withColumns(quality.votes()).collect()
+    votes = np.array([[r[k] for k in rules] for r in voted])
+    good, right = 0.7, np.empty((len(rules), 2))
+    for column, prior in enumerate((quality.PRIOR_GOOD, quality.PRIOR_BAD)):
+        right[:, column] = prior[0] / sum(prior)
+
+    def posterior():
+        if_good = np.where(votes == 1, right[:, 0], np.where(votes == 0, 1 - right[:, 0], 1.0))
+        if_bad = np.where(votes == 1, 1 - right[:, 1], np.where(votes == 0, right[:, 1], 1.0))
+        a, b = good * if_good.prod(axis=1), (1 - good) * if_bad.prod(axis=1)
+        return a / (a + b)
+
+    for _ in range(quality.STEPS):
+        p, before = posterior(), (good, right.copy())
+        good = (p.sum() + 7) / (len(p) + 10)
+        for k in range(len(rules)):
+            voted_good, voted_bad = votes[:, k] == 1, votes[:, k] == 0
+            either = voted_good | voted_bad
+            a, b = quality.PRIOR_GOOD
+            right[k, 0] = min((p[voted_good].sum() + a) / (p[either].sum() + a + b), 0.9999)
+            a, b = quality.PRIOR_BAD
+            share = ((1 - p)[voted_bad].sum() + a) / ((1 - p)[either].sum() + a + b)
+            right[k, 1] = max(min(share, 0.9999), 1 - right[k, 0])
+        if max(abs(good - before[0]), np.abs(right - before[1]).max()) < quality.CLOSE:
+            break
+    expected = dict(zip((r.doc_id for r in voted), posterior(), strict=True))
+    found = quality.quality(docs).collect()
+    assert len(found) == len(expected)
+    for r in found:
+        assert r.p_good == pytest.approx(expected[r.doc_id], abs=1e-6)
+        near = abs(expected[r.doc_id] - quality.THRESHOLD) < 1e-6
+        assert near or r.kept == (not r.base_failed and expected[r.doc_id] >= quality.THRESHOLD)
+
+
 def test_licenses(make):
     texts = [
         "Released under the MIT License.", "the mit\nLicense and CC BY-NC, cc by", "GNU general",
@@ -394,15 +431,7 @@ def test_language_cases(make):
 
 
 def pieces_of(text):
-    """The estimate of a text's tokens, by another road."""
-    count = 0
-    for kind, run in itertools.groupby(text or "", lambda c: "a" if c.isalpha() else c.isdigit()):
-        size = len(list(run))
-        if kind == "a":
-            count += -(-size // 6)
-        elif kind:
-            count += -(-size // 3)
-    return count + sum(not (c.isalnum() or c.isspace()) for c in text or "")
+    return -(-len((text or "").encode()) // 4)
 
 
 def mixed_docs(spark):
@@ -457,11 +486,20 @@ def test_mixing(spark, entropy, repeats):
     assert Counter(r.doc_id for r in mixed.collect()) == read
 
 
-def test_tokens_in_scripts_without_spaces(make):
-    texts = ["漢字かな交じり文", "ภาษาไทย", "abcdefg hi", "a" * 600, "12345 6", "é e\u0301,.!", " \t\n", "ab漢cd"]
+def test_tokens_in_scripts_without_spaces(make, byte_pairs):
+    """Shares of sources in different scripts are near those of a vocabulary's tokens."""
+    rng = random.Random(6)
+    kana = "あいうえおかきくけこさしすせそ"
+    texts = ["".join(rng.choice(kana) for _ in range(400)) for _ in range(4)]
+    texts += [prose(rng, 100) for _ in range(4)] + ["ab" * 300, "", None]
     docs = make(texts, odd=False)
-    found = [r[0] for r in docs.select("doc_id", mixing.tokens().alias("n")).orderBy("doc_id").select("n").collect()]
-    assert found == [8, 7, 3, 100, 3, 5, 0, 3]
+    sizes = [r.n for r in docs.orderBy("doc_id").select(mixing.tokens().alias("n")).collect()]
+    assert sizes == [pieces_of(t) for t in texts]
+    real = Tokenizer.from_file(byte_pairs)
+    counts = [len(real.encode(t or "").ids) for t in texts]
+    share = lambda n: sum(n[:4]) / sum(n)
+    # by words these four texts would have a hundredth
+    assert abs(share(sizes) - share(counts)) < 0.25 * share(counts)
     # a caller's counts go before the estimate
     given = docs.withColumn("source", F.when(F.col("doc_id") < 4, "a").otherwise("b"))
     n = F.when(F.col("doc_id") < 4, 100).otherwise(10)
