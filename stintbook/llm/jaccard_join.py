@@ -13,7 +13,8 @@ lower bound of the symmetric difference, drops false candidates; the rest is ver
   in large numbers) are linked as candidates to one of their kind per frequent part; no pair is
   lost, and none is written out.
 - Candidates form clusters; each cluster is verified by comparing sketches, then sets, of those
-  not yet connected. Large clusters are split into blocks, and all pairs of blocks are compared.
+  not yet connected. Large clusters are split into blocks, bounded in sets and in shingles, and all
+  pairs of blocks are compared.
 
 Sets are named by 64-bit hashes, and shingles too; equal hashes are taken as equal.
 """
@@ -35,8 +36,8 @@ from stintbook.sources.shared import keep
 
 # Sets that share a part and are paired directly; more make the part frequent.
 GROUP = 24
-# Sets of a cluster that are compared in one task.
-BLOCK = 2_000
+# Sets of a cluster that are compared in one task, and shingles of these: a task holds two blocks.
+BLOCK, BLOCK_SHINGLES = 2_000, 500_000
 # Characters of text that are worked on at a time.
 STRETCH = 2_000_000
 # Copies of a set are sent on once by a task, as far as it remembers.
@@ -345,20 +346,22 @@ def _candidates(docs: DataFrame, described: DataFrame, group: int) -> DataFrame:
     return near.unionByName(hung.distinct())
 
 
-def components(docs: DataFrame, group: int = GROUP, block: int = BLOCK) -> DataFrame:
+def components(
+    docs: DataFrame, group: int = GROUP, block: int = BLOCK, shingles: int = BLOCK_SHINGLES
+) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id.
 
     Two documents link when the Jaccard similarity of their sets of five-word shingles is at least
-    0.8; ``group`` and ``block`` only steer the work. ``component_id`` is the smallest doc_id
+    0.8; ``group``, ``block`` and ``shingles`` only steer the work. ``component_id`` is the smallest doc_id
     reachable by links. A text with fewer than five words has its whole sequence as one shingle;
     texts that are null or without words link with nothing. Rows that repeat a doc_id have the component of their text. Sets that only stand in
     rows without a doc_id link with nothing but themselves. Other columns are left out; an empty
     table gives an empty result.
     """
-    return _found(docs, group, block).select("doc_id", "n_shingles", "component_id")
+    return _found(docs, group, block, shingles).select("doc_id", "n_shingles", "component_id")
 
 
-def _found(docs: DataFrame, group: int, block: int) -> DataFrame:
+def _found(docs: DataFrame, group: int, block: int, shingles: int) -> DataFrame:
     """``components`` with the set_id of each row."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", "text")
@@ -370,18 +373,25 @@ def _found(docs: DataFrame, group: int, block: int) -> DataFrame:
     )
     clusters = keep(connected(_candidates(texts, described, group)), "clusters")
     # One text for each set of a cluster.
-    first = described.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
-    sizes = clusters.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
+    first = described.groupBy("set_id").agg(
+        F.min("doc_id").alias("doc_id"), F.min("n_shingles").alias("n")
+    )
+    first = clusters.withColumnRenamed("node", "set_id").join(first, "set_id")
+    first = keep(first, "members")
+    most = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / shingles)
+    sizes = first.groupBy("root").agg(F.ceil(most).alias("blocks"))
     mine = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
     blocks = (
-        clusters.withColumnRenamed("node", "set_id")
-        .join(sizes, "root")
+        first.join(sizes, "root")
         .withColumn("own", mine)
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
         .select(
-            "set_id", "root", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")
+            "set_id",
+            "doc_id",
+            "root",
+            F.least("own", "other").alias("x"),
+            F.greatest("own", "other").alias("y"),
         )
-        .join(first, "set_id")
     )
     links = (
         blocks.join(texts, "doc_id")
@@ -427,7 +437,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     in ``components``, sets that only stand in such rows have no near copies. Columns may have any
     name.
     """
-    found = keep(_found(docs, GROUP, BLOCK), "classes")
+    found = keep(_found(docs, GROUP, BLOCK, BLOCK_SHINGLES), "classes")
     real = found.filter("doc_id IS NOT NULL")
     first = real.filter("doc_id = component_id").select("doc_id", "set_id").distinct()
     several = (

@@ -101,7 +101,8 @@ def test_jaccard_join(make, seed, group, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == expected
 
 
-def test_jaccard_join_of_one_split_cluster(make, monkeypatch):
+@pytest.mark.parametrize("by", ["sets", "shingles"])
+def test_jaccard_join_of_one_split_cluster(make, monkeypatch, by):
     # all sets are candidates of each other, so only the comparison of blocks decides
     def star(docs, described, group):
         sets = described.filter("n_shingles > 0").select("set_id").distinct()
@@ -110,7 +111,8 @@ def test_jaccard_join_of_one_split_cluster(make, monkeypatch):
 
     monkeypatch.setattr(jaccard_join, "_candidates", star)
     docs = make(near_copies(6))
-    found = jaccard_join.components(docs, block=20).collect()
+    limit = {"block": 20} if by == "sets" else {"shingles": 2_000}
+    found = jaccard_join.components(docs, **limit).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_components(
         rows_of(docs)
     )
