@@ -357,6 +357,14 @@ def _lineup_nested(stints: DataFrame) -> DataFrame:
     )
 
 
+def _team_window_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The window read from a published snapshot, where stints lie by team and join date."""
+    root = shared.fresh_path(spark, "snapshots")
+    snapshot.publish(demo.feed(spark, sf_dir), root, SOME_TO)
+    _, stints = snapshot.RosterTables(spark, root).current()
+    return _iso(lineups.team_window(stints, SOME_FROM, SOME_TO, AS_OF).select(*RECORD))
+
+
 def _team_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Headers of the listed teams, with a window that starts late, and without one."""
     records = demo.feed(spark, sf_dir)
@@ -468,6 +476,7 @@ def _own_queries() -> dict[str, Query]:
         "team_by_id": _listed_teams,
         "player_page_order": _on_stints(_player_page_order),
         "teammate_page_order": _on_stints(_teammate_page_order),
+        "team_window_stored": _team_window_stored,
         "reload_gate": _reload_gate,
         "refresh_incremental": _refresh_incremental,
         "lineup_update": _on_stints(_lineup_update),

@@ -238,12 +238,6 @@ def _from(first: Row) -> Column:
     return (F.col("bound") < first.bound) | ((F.col("bound") == first.bound) & same)
 
 
-def pair_days(stints: DataFrame, as_of: dt.date, merge: str = "lag") -> DataFrame:
-    """Days together of every pair that ever shared a team. The output is as large as that."""
-    together = self_overlaps(clean_spans(stints, as_of).distinct(), True)
-    return covered_days(together, ["player1", "player2"], merge)
-
-
 def _days_of_pairs(pairs: DataFrame, spans: DataFrame, merge: str) -> DataFrame:
     """Days together of the given pairs, over all their teams.
 

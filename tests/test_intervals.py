@@ -173,7 +173,8 @@ def test_pairs_with_most_time(spark, merge, seed):
     rule = {"lag": lag_days, "exact": exact_days}[merge]
     totals = {pair: rule(v) for pair, v in brute_pairs(rows, True).items()}
     df = frame(spark, rows)
-    whole = rankings.pair_days(df, AS_OF, merge).collect()
+    together = overlap.self_overlaps(overlap.clean_spans(df, AS_OF).distinct(), True)
+    whole = covered_days(together, ["player1", "player2"], merge).collect()
     assert {(r.player1, r.player2): r.total_days for r in whole} == totals
     best = sorted(totals.items(), key=lambda t: (-t[1], t[0]))
     for limit in (4, 25, 10_000):

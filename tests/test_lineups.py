@@ -5,9 +5,9 @@ from collections import defaultdict
 
 import pytest
 
-from stintbook.operators import lineups, lookups
+from stintbook.operators import changes, lineups, lookups
 from stintbook.plans.player_page import player_page, player_teams
-from stintbook.plans.team_page import team_lineups, team_page
+from stintbook.plans.team_page import nested_lineups, team_lineups, team_page
 from stintbook.schema import RECORD
 
 from conftest import AS_OF, frame, random_stints, stint
@@ -199,3 +199,76 @@ def test_team_page_without_lineups(spark):
     (row,) = team_page(teams_of(spark), frame(spark, rows), "Team One", AS_OF).collect()
     assert row.team_url is not None and row.lineup_no is None
     assert row.player_uid is None
+
+
+def test_nested_lineups(spark):
+    rows = random_stints(12, size=120, players=25, teams=3)
+    stints = frame(spark, rows)
+    flat, nested = {}, {}
+    for r in team_lineups(stints, AS_OF, highlight="p3").collect():
+        player = {c: r[c] for c in r.__fields__ if c not in ("team_id", "lineup_no", "period", "game_version")}
+        flat.setdefault((r.team_id, r.lineup_no, r.period, r.game_version), []).append(player)
+    for most in (1_000, 4):
+        nested.clear()
+        found = nested_lineups(stints, AS_OF, highlight="p3", most_members=most).collect()
+        for r in sorted(found, key=lambda r: r.part):
+            assert 0 < len(r.players) <= most
+            players = nested.setdefault((r.team_id, r.lineup_no, r.period, r.game_version), [])
+            assert r.part == len(players) // most + 1
+            players += [p.asDict() for p in r.players]
+        assert set(nested) == set(flat)
+        for key, players in nested.items():
+            assert sorted(map(repr, players)) == sorted(map(repr, flat[key]))
+            if key[1]:
+                order = [(p["nickname"], p["player_uid"]) for p in players]
+                assert order == sorted(order)
+
+
+def test_undated_entries_keep_their_order(spark):
+    names = ["z", "a", "m", "b", "y"]
+    rows = [stint(n.upper(), "t", None, nickname=n) for n in names]
+    (line,) = nested_lineups(frame(spark, rows).coalesce(1), AS_OF).collect()
+    assert [p.nickname for p in line.players] == names
+    by_name = nested_lineups(frame(spark, rows), AS_OF, entry_order=["nickname"], most_members=2)
+    found = {r.part: [p.nickname for p in r.players] for r in by_name.collect()}
+    assert found == {1: ["a", "b"], 2: ["m", "y"], 3: ["z"]}
+
+
+def test_team_without_stints_in_the_window(spark):
+    rows = [stint("A", "Two", D(2020, 1, 1), leave=D(2020, 6, 1))]
+    page = lambda *window: team_page(teams_of(spark), frame(spark, rows), "Two", AS_OF, *window)
+    assert page().count() == page(D(2020, 1, 1)).count() == 1
+    assert page(None, D(2019, 1, 1)).count() == 0
+    assert page(D(2021, 1, 1)).count() == 0
+
+
+def test_changed_teams(spark):
+    rows = random_stints(13, size=150, teams=6)
+    rows += [stint("N", None, D(2020, 1, 1)), stint("M", "moved", D(2020, 1, 1), position="x")]
+    same = frame(spark, rows[::-1]).repartition(3)
+    before = frame(spark, rows)
+    assert changes.changed_teams(before, same).count() == 0
+    now = [dict(r) for r in rows if r["team_id"] != "t1"]
+    now[-1] |= {"position": None, "flag_name": "x"}  # the same value in another column
+    now[-2] |= {"nickname": "other"}  # of the team without an id
+    now += [dict(next(r for r in rows if r["team_id"] == "t2")), stint("K", "new", D(2020, 1, 1))]
+    found = changes.changed_teams(before, frame(spark, now)).collect()
+    assert {(r.team_id, r.gone) for r in found} == {
+        ("t1", True), ("t2", False), ("new", False), ("moved", False), (None, False),
+    }
+
+
+def test_lineups_of_changed_teams(spark):
+    rows = random_stints(14, size=150, teams=6)
+    now = [r for r in rows if r["team_id"] != "t1"] + [stint("K", "t2", D(2020, 2, 2))]
+    made = []
+
+    def compute(stints):
+        made.append({r.team_id for r in stints.select("team_id").distinct().collect()})
+        return lineups.lineup_segments(lineups.dated_records(stints))
+
+    old, new = frame(spark, rows), frame(spark, now)
+    result = compute(old)
+    updated = changes.bring_up_to_date(result, changes.changed_teams(old, new), new, compute)
+    assert sorted(map(repr, updated.collect())) == sorted(map(repr, compute(new).collect()))
+    assert made[1] == {"t2"}
