@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stintbook.functions.predicates import stored_end
@@ -19,9 +19,30 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ROSTER_FEED).option("mode", "FAILFAST").json(path)
 
 
-def write_feed(feed: DataFrame, path: str, mode: str = "error") -> None:
+# A compressed file is read by one task, so it holds this many records at most.
+RECORDS_PER_FILE = 500_000
+
+
+def write_feed(feed: DataFrame, path: str, mode: str = "error", compression: str = "none") -> None:
     """JSON lines, UTF-8, null keys kept."""
-    feed.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    _writer(feed, mode, compression).option("ignoreNullFields", "false").json(path)
+
+
+def write_sized_feed(feed: DataFrame, path: str, compression: str = "gzip") -> int:
+    """Like ``write_feed``; returns the bytes of the lines, whatever they take when compressed."""
+    written = Observation()
+    record = F.to_json(F.struct(*feed.columns), {"ignoreNullFields": "false"})
+    lines = feed.select(record.alias("value"))
+    size = F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).cast("bigint").alias("size")
+    _writer(lines.observe(written, size), "error", compression).text(path)
+    return written.get["size"]
+
+
+def _writer(rows: DataFrame, mode: str, compression: str) -> DataFrameWriter:
+    writer = rows.write.mode(mode).option("compression", compression)
+    if compression != "none":
+        writer = writer.option("maxRecordsPerFile", RECORDS_PER_FILE)
+    return writer
 
 
 def build_teams(feed: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Versioned snapshots of the feed: guarded publishing and reload on a newer version.
 
-Each snapshot has a folder of its own with ``feed`` (JSON lines) and the tables ``teams`` and
-``stints`` (Parquet), which never changes. ``commits`` has a small file per published snapshot,
-numbered: the version as an ISO date, then the folder. The one with the highest number is current.
+Each snapshot has a folder of its own with ``feed`` (JSON lines, gzip), ``feed_size`` (the bytes of
+these lines before compression) and the tables ``teams`` and ``stints`` (Parquet), which never
+changes. ``commits`` has a small file per published snapshot, numbered: the version as an ISO date,
+then the folder. The one with the highest number is current.
 
 A commit is written beside and renamed to the number after the one its publisher started from,
 without overwriting. So readers see the old snapshot or the new one and never half of one, and of
@@ -35,7 +36,7 @@ from stintbook.sources.feed import (
     null_counts,
     rows_of_rules,
     unknown_teams,
-    write_feed,
+    write_sized_feed,
 )
 
 # The current snapshot and this many before it stay.
@@ -179,10 +180,10 @@ def publish_from(
     name = f"snapshot-{version.isoformat()}-{uuid.uuid4().hex}"
     try:
         _write_tables(make(folder.at(name), before), folder.at(name))
-        size = folder.size(f"{name}/feed")
+        size = _feed_size(spark, folder, name)
         if size == 0:
             raise PublishRejected("the new snapshot is empty")
-        if before and size < folder.size(f"{before.folder}/feed") * MIN_SIZE_RATIO:
+        if before and size < _feed_size(spark, folder, before.folder) * MIN_SIZE_RATIO:
             raise PublishRejected("the new snapshot is significantly smaller than the old one")
         number = before.number + 1 if before else 1
         text = f"{version.isoformat()}\n{name}\n"
@@ -196,6 +197,13 @@ def publish_from(
     return Commit(number, version, name)
 
 
+def _feed_size(spark: SparkSession, folder: _Folder, name: str) -> int:
+    """Bytes of the lines of a snapshot's feed. Where none are noted, its files are plain."""
+    if not folder.exists(f"{name}/feed_size"):
+        return folder.size(f"{name}/feed")
+    return int(spark.read.text(folder.at(f"{name}/feed_size")).first().value)
+
+
 def _forget(spark: SparkSession, folder: _Folder, number: int) -> None:
     """Remove the folder of a commit that is no backup any more; its commit stays, so that its
     number is never given again."""
@@ -219,7 +227,8 @@ def _write_tables(feed: DataFrame, path: str) -> None:
     records = written.withColumnsRenamed(
         {"team_id": "team_unique_name", "player_uid": "player_unique_id", "nickname": "player_id"}
     )
-    write_feed(records.select(*feed.columns), f"{path}/feed")
+    size = write_sized_feed(records.select(*feed.columns), f"{path}/feed")
+    spark.range(1, numPartitions=1).select(F.lit(str(size))).write.text(f"{path}/feed_size")
     build_teams(records).observe(of_teams, *null_counts(TEAM_RULES)).write.parquet(f"{path}/teams")
     # Teams are one row each by the way they are made.
     broken = rows_of_rules("teams", of_teams.get) + rows_of_rules("stints", of_stints.get)

@@ -1,6 +1,7 @@
 """Feed, snapshots and page extraction."""
 
 import datetime as dt
+import gzip
 import json
 
 import pyarrow.parquet as pq
@@ -432,3 +433,41 @@ def test_window_reads_few_row_groups(spark, tmp_path):
     assert window.count() == 31
     plan = window._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters" in plan and "EqualTo(team_id,t07)" in plan
+
+
+def _lines(path):
+    return sorted(
+        line for p in path.glob("part-*.gz") for line in gzip.decompress(p.read_bytes()).splitlines()
+    )
+
+
+def test_feed_of_a_snapshot_is_compressed_and_sized_before(spark, tmp_path):
+    rows = [{"player_id": f"é{i}", "join_date": D(2024, 1, 6)} for i in range(40)] + [{}]
+    commit = snapshot.publish(feed_of(spark, rows), str(tmp_path), D(2024, 1, 1))
+    feeds.write_feed(feed_of(spark, rows), str(tmp_path / "plain"))
+    plain = b"".join(p.read_bytes() for p in (tmp_path / "plain").glob("part-*"))
+    assert _lines(tmp_path / commit.folder / "feed") == sorted(plain.splitlines())
+    noted = spark.read.text(f"{tmp_path}/{commit.folder}/feed_size").collect()
+    assert [int(r.value) for r in noted] == [len(plain)]
+    stored = sum(p.stat().st_size for p in (tmp_path / commit.folder / "feed").glob("part-*"))
+    assert stored < len(plain) / 4
+
+
+def test_size_of_a_feed_without_one_is_that_of_its_files(spark, tmp_path):
+    """Snapshots from before compression have plain files, whose size is not noted."""
+    root = str(tmp_path)
+    feeds.write_feed(feed_of(spark, [{}] * 10), f"{root}/old/feed")
+    (tmp_path / "commits").mkdir()
+    (tmp_path / "commits" / f"{1:012d}").write_text("2024-01-01\nold\n")
+    with pytest.raises(snapshot.PublishRejected, match="smaller"):
+        snapshot.publish(feed_of(spark, [{}] * 8), root, D(2024, 1, 2))
+    snapshot.publish(feed_of(spark, [{}] * 9), root, D(2024, 1, 2))
+    with pytest.raises(snapshot.PublishRejected, match="smaller"):
+        snapshot.publish(feed_of(spark, [{}] * 8), root, D(2024, 1, 3))
+
+
+def test_compressed_feed_takes_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "RECORDS_PER_FILE", 3)
+    feeds.write_feed(feed_of(spark, [{}] * 10).coalesce(1), str(tmp_path / "f"), compression="gzip")
+    assert len(list((tmp_path / "f").glob("part-*.gz"))) == 4
+    assert feeds.read_feed(spark, str(tmp_path / "f")).count() == 10
