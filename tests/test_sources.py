@@ -3,6 +3,7 @@
 import datetime as dt
 import gzip
 import json
+import random
 
 import pyarrow.parquet as pq
 import pytest
@@ -11,8 +12,8 @@ from pyspark.sql import functions as F
 from stintbook.plans.refresh import refresh, refresh_incremental
 from stintbook.schema import ROSTER_FEED, STINTS
 from stintbook.sources import feed as feeds
-from stintbook.sources import pages, shared, snapshot
-from stintbook.sources.html import parse, select
+from stintbook.sources import html, pages, shared, snapshot
+from stintbook.sources.html import Has, parse, select
 
 D = dt.date
 
@@ -471,3 +472,66 @@ def test_compressed_feed_takes_several_files(spark, tmp_path, monkeypatch):
     feeds.write_feed(feed_of(spark, [{}] * 10).coalesce(1), str(tmp_path / "f"), compression="gzip")
     assert len(list((tmp_path / "f").glob("part-*.gz"))) == 4
     assert feeds.read_feed(spark, str(tmp_path / "f")).count() == 10
+
+
+def _shape(element):
+    return (element.tag, element.attrs, list(element.classes), element.begin, element.end,
+            [c if isinstance(c, str) else _shape(c) for c in element.children])
+
+
+def _parsed(text):
+    parser = html._Parser()
+    parser.feed(text)
+    parser.close()
+    return parser.tree.closed()
+
+
+MARKS = [
+    "<td>", "</td>", "<TR Class='a b'>", '<tr class="a b a">', "</tr>", "<br/>", "<br />", "<li>", "x",
+    " &amp; ", "&lt", "&copy=1", '<a HREF="/i?a=1&amp;b=2">', '<a href="?a&copy=2">', "<a href=x>",
+    "</a>", "</a >", "<", ">", "<!-- <td> -->", "<p>", '<i title="a>b">', '<i title="">', "<i a>",
+    '<i id="n" id="m">', "<script>", "</script>", "<title>", "</p>", "é\n", '<a b="1"c="2">', "\0", "<1>",
+    '<div id="n">', "</div>", '<img src="s">', "&", "<?x>", "</>", '<x-y z="1">', '<h1 id = "q">', "<td",
+]
+
+
+def test_plain_pages_have_the_tree_of_the_parser():
+    rng = random.Random(5)
+    plain = 0
+    for _ in range(4000):
+        some = rng.sample(MARKS, 6) if rng.random() < 0.5 else MARKS[:4:2] + MARKS[3:6]
+        text = "".join(rng.choice(some) for _ in range(rng.randrange(12)))
+        plain += html._plain_tree(text) is not None
+        assert _shape(parse(text)) == _shape(_parsed(text)), text
+    assert plain > 500
+
+
+def test_select_looks_up_what_a_scan_finds():
+    rng = random.Random(6)
+    tests = {
+        Has("tag", "td"): lambda e: e.tag == "td",
+        Has("id", "n"): lambda e: e.attrs.get("id") == "n",
+        Has("class", "a"): lambda e: "a" in e.classes,
+        Has("class", "b", "tr"): lambda e: "b" in e.classes and e.tag == "tr",
+        Has("tag", "div"): lambda e: e.tag == "div",
+    }
+    for _ in range(500):
+        page = parse("".join(rng.choice(MARKS) for _ in range(20)))
+        scope, path = rng.choice(page.page), rng.choices(list(tests), k=rng.randrange(1, 4))
+        assert select(scope, *path) == select(scope, *[tests[t] for t in path])
+
+
+def test_plain_pages_are_not_given_to_the_parser(spark, monkeypatch):
+    """The HTML parser took most of the time of an extraction."""
+    from stintbook import demo
+
+    monkeypatch.setattr(html, "_Parser", None)
+    for made in (demo.roster_pages, demo.team_pages, demo.category_pages):
+        assert all(parse(r.html).page for r in made(spark, "/root/testdata/sf0.001").limit(50).collect())
+
+
+def test_pages_are_spread_before_parsing(spark):
+    from stintbook import demo
+
+    for made in (demo.category_pages, demo.roster_pages):
+        assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8
