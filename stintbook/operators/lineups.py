@@ -112,28 +112,48 @@ def shown_segments(
 
 
 def lineup_members(records: DataFrame, segments: DataFrame) -> DataFrame:
-    """One row per record and segment it was part of.
+    """One row per record and segment it was part of; ``segments`` are some of the records' own.
 
-    A record begins and ends on days on which its team changed, so an equality join on the day
-    gives its first and last segment; the numbers between are its segments. Work and output grow
-    alike, and a large team is split by day and by segment.
+    A record begins and ends on days on which its team changed, so the places of these days among
+    those of the team number its first and last segment, and all its segments lie between. A team's
+    segments come to each record as one array, bounded by the calendar, so the many rows of the
+    result are made beside the record and not moved. Adaptive execution splits a large team.
     """
-    numbered = lineup_segments(records)
-    first = numbered.select("team_id", "start", F.col("segment_no").alias("first_no"))
-    last = numbered.select("team_id", "end", F.col("segment_no").alias("last_no"))
     shown = segments.select(
         "team_id",
         "segment_no",
-        F.col("start").alias("segment_start"),
-        F.col("end").alias("segment_end"),
-        F.col("game_version").alias("segment_version"),
+        F.struct(
+            F.col("segment_no").alias("no"),
+            F.col("start").alias("from"),
+            F.col("end").alias("to"),
+            F.col("game_version").alias("version"),
+        ).alias("shown"),
+    )
+    numbered = lineup_segments(records).select("team_id", "segment_no", "start", "end")
+    of_team = (
+        numbered.join(shown, ["team_id", "segment_no"], "left")
+        .groupBy("team_id")
+        .agg(F.array_sort(F.collect_list(F.struct("segment_no", "start", "end", "shown"))).alias("all"))
+        .select(
+            "team_id",
+            F.col("all.start").alias("starts"),
+            F.col("all.end").alias("ends"),
+            F.col("all.shown").alias("all_shown"),
+        )
     )
     fields = [c for c in records.columns if c not in {"start", "end"}]
+    first = F.array_position("starts", F.col("start"))
+    last = F.array_position("ends", F.col("end"))
+    part_of = F.slice("all_shown", first, last - first + 1)
     return (
-        records.join(first, ["team_id", "start"])
-        .join(last, ["team_id", "end"])
-        .withColumn("segment_no", F.explode(F.sequence("first_no", "last_no")))
-        .select(*fields, "segment_no")
-        .join(shown, ["team_id", "segment_no"])
-        .select(*fields, "segment_no", "segment_start", "segment_end", "segment_version")
+        records.join(of_team, "team_id")
+        .select(*fields, F.explode(part_of).alias("segment"))
+        .filter(F.col("segment").isNotNull())
+        .select(
+            *fields,
+            F.col("segment.no").alias("segment_no"),
+            F.col("segment.from").alias("segment_start"),
+            F.col("segment.to").alias("segment_end"),
+            F.col("segment.version").alias("segment_version"),
+        )
     )

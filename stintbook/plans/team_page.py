@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,8 +128,7 @@ def nested_lineups(
     Players stand by nickname, then id. Line-up 0, the entries with unusable dates, keeps the
     order of its entries: by the columns ``entry_order`` of the stints, else as the stints are
     read. No array is longer than ``most_members``: a larger line-up goes on in the next ``part``,
-    and its members are numbered by a window that sorts on disk where it has to; smaller line-ups
-    need none.
+    and members are numbered by a window that sorts on disk where it has to.
     """
     if entry_order is None:
         stints = stints.withColumn("entry", F.monotonically_increasing_id())
@@ -138,43 +138,39 @@ def nested_lineups(
     entry = [f"entry_{i}" for i in range(len(entry_order))]
     names = [c for c in rows.columns if c not in {*keys, *entry}]
     # What decides the place of a player first, each after a flag that puts nulls last; the rest
-    # of the record makes the order of equal nicknames fixed.
+    # of the record makes the order of equal nicknames fixed. The player is read back from there.
+    first = [*entry, "nickname", "player_uid"]
     place = F.struct(
         *[
             part
-            for c in [*entry, "nickname", "player_uid", *names]
+            for c in [*first, *[n for n in names if n not in first]]
             for part in (
-                F.when(F.col("lineup_no") == 0, F.col(c).isNull())
-                if c in entry
-                else F.col(c).isNull(),
+                (
+                    F.when(F.col("lineup_no") == 0, F.col(c).isNull())
+                    if c in entry
+                    else F.col(c).isNull()
+                ).alias(f"no_{c}"),
                 F.col(c),
             )
         ]
     )
-    rows = rows.select(*keys, place.alias("place"), F.struct(*names).alias("player"))
-    sized = rows.groupBy("team_id", "lineup_no").agg(F.count(F.lit(1)).alias("members"))
-    sized = sized.filter(F.col("members") > most_members).select(
-        F.col("team_id").alias("large_id"), F.col("lineup_no").alias("large_no")
-    )
-    is_large = F.col("team_id").eqNullSafe(F.col("large_id")) & (
-        F.col("lineup_no") == F.col("large_no")
-    )
-    small = rows.join(sized, is_large, "left_anti").withColumn("part", F.lit(1).cast("bigint"))
-    in_order = W.partitionBy("team_id", "lineup_no").orderBy("place")
-    number = F.row_number().over(in_order) - 1
-    large = rows.join(sized, is_large, "left_semi").withColumn(
-        "part", (F.floor(number / most_members) + 1).cast("bigint")
-    )
+    rows = rows.select(*keys, place.alias("place"))
+    # The rows are moved once: the groups lie where the window has put their line-ups.
+    number = F.row_number().over(W.partitionBy("team_id", "lineup_no").orderBy("place")) - 1
+    parts = rows.withColumn("part", (F.floor(number / most_members) + 1).cast("bigint"))
     # At most ``most_members`` in each.
-    members = F.array_sort(F.collect_list(F.struct("place", "player")))
+    members = F.array_sort(F.collect_list("place"))
     return (
-        small.unionByName(large)
-        .groupBy(*keys, "part")
-        .agg(F.transform(members, lambda m: m.player).alias("players"))
+        parts.groupBy(*keys, "part")
+        .agg(F.transform(members, _player(names)).alias("players"))
         .select("team_id", "lineup_no", "part", "period", "game_version", "players")
     )
 
 
+def _player(names: list[str]) -> Callable[[Column], Column]:
+    return lambda place: F.struct(*[place[n].alias(n) for n in names])
+
+
 def team_headers(
     teams: DataFrame,
     stints: DataFrame,

@@ -272,3 +272,11 @@ def test_lineups_of_changed_teams(spark):
     updated = changes.bring_up_to_date(result, changes.changed_teams(old, new), new, compute)
     assert sorted(map(repr, updated.collect())) == sorted(map(repr, compute(new).collect()))
     assert made[1] == {"t2"}
+
+
+def test_rows_of_members_are_not_moved_once_they_are_made(spark):
+    records = lineups.dated_records(frame(spark, random_stints(15, size=40)))
+    members = lineups.lineup_members(records, lineups.lineup_segments(records))
+    lines = members._jdf.queryExecution().sparkPlan().toString().splitlines()
+    kinds = [i for i, line in enumerate(lines) if "Join" in line], [i for i, line in enumerate(lines) if "Generate" in line]
+    assert kinds[1][0] < kinds[0][0]
