@@ -8,17 +8,19 @@ doc_id. Strings are judged on the input, and never reach over documents.
    mostly share that name, and equal windows always do. Windows whose name occurs in one document
    only can't repeat; for the others, the bytes under each run of windows of one name are sent to
    the bucket of the name. So equal windows meet, and nothing else needs to be sorted.
-3. A bucket is cut into shards of bounded size. Each shard is indexed by a suffix array, built by
+3. A bucket is cut into shards of bounded size, by name, so that equal windows meet in one shard; a
+   name with more bytes than that has several. Each shard is indexed by a suffix array, built by
    doubling (Larsson and Sadakane): suffixes are ranked by their first 8 bytes, then unsorted
    groups are refined by the ranks 8, 16 and 32 bytes further on. Common prefixes of neighbours
-   follow by Kasai's rule, and windows with 50 bytes in common form a class. Shards are merged by
-   binary search of their sorted windows, range by range.
+   follow by Kasai's rule, and windows with 50 bytes in common form a class. Shards of one name are
+   merged range by range, found by binary search, as runs of their sorted windows.
 4. The smallest document of each class goes back to the blocks, which cut their texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stintbook.llm.shingles import mix
+from stintbook.llm.units import ranges
 from stintbook.sources.shared import keep, keep_bucketed
 
 WINDOW, GRAM = 50, 20
@@ -38,6 +41,8 @@ SHARD, RANGE = 1 << 20, 200_000
 BLOCK, MOST_BLOCKS = 16 << 20, 20_000
 # Bytes of text that are named at a time; few enough for the processor's cache.
 STRETCH = 100_000
+# The part of a name that goes with a piece. Where two names share it, they are sorted together.
+_TAG = (1 << 32) - 1
 # Rows without a doc_id count as the largest.
 LAST = np.iinfo(np.int64).max
 
@@ -176,20 +181,22 @@ def _share(rows: pa.Table) -> pa.Table:
     )
 
 
-_PIECES = "bucket int, block int, sizes binary, bytes binary, ids binary"
+_PIECES = "bucket int, block int, sizes binary, bytes binary, ids binary, tags binary"
 
 
 def _send(buckets: int):
     """Distinct pieces of a block under shared names, each with its smallest document."""
 
     def send(rows: pa.Table, shared: pa.Table) -> pa.Table:
-        out: dict[int, dict[bytes, int]] = {}
+        out: dict[int, dict[bytes, tuple[int, int]]] = {}
         if rows.num_rows and shared.num_rows:
             block = _Block(rows)
+            ids = block.ids.tolist()
             for i, _, piece, name in block.pieces(_sorted_names(shared)):
                 # Documents come by rising doc_id.
-                target = (name >> 20) % buckets
-                out.setdefault(target, {}).setdefault(piece, int(block.ids[i]))
+                own = out.setdefault((name >> 20) % buckets, {})
+                if piece not in own:
+                    own[piece] = ids[i], name & _TAG
         number = shared.column("block")[0].as_py() if out else 0
         pack = lambda x, kind: np.fromiter(x, kind).tobytes()
         return pa.table(
@@ -198,7 +205,8 @@ def _send(buckets: int):
                 "block": pa.array([number] * len(out), pa.int32()),
                 "sizes": pa.array([pack(map(len, p), np.int32) for p in out.values()], pa.binary()),
                 "bytes": pa.array([b"".join(p) for p in out.values()], pa.binary()),
-                "ids": pa.array([pack(p.values(), np.int64) for p in out.values()], pa.binary()),
+                "ids": pa.array([pack((i for i, _ in p.values()), np.int64) for p in out.values()], pa.binary()),
+                "tags": pa.array([pack((t for _, t in p.values()), np.uint32) for p in out.values()], pa.binary()),
             }
         )
 
@@ -303,7 +311,7 @@ class _Shard:
         self.sample = np.minimum.reduceat(masked, self.first)
         self.class_of = np.empty(len(order), np.int64)
         self.class_of[order] = np.repeat(
-            np.arange(len(self.first)), np.diff([*self.first, len(order)])
+            np.arange(len(self.first)), np.diff(np.append(self.first, len(order)))
         )
         self.real = np.flatnonzero(self.sample < len(self.text))
 
@@ -350,20 +358,45 @@ def _merge(shards: list[_Shard]) -> None:
     cuts = [[0, *(s.find(m) for m in marks), len(s.real)] for s in shards]
     for k in range(ranges):
         spans = [(c[k], c[k + 1]) for c in cuts]
-        words = [s.windows(a, b) for s, (a, b) in zip(shards, spans, strict=True)]
-        least = [s.least[s.real[a:b]] for s, (a, b) in zip(shards, spans, strict=True)]
         # As text: fixed width, so the order is that of the bytes.
-        words = [w.view(f"S{WINDOW}") for w in words]
-        for i, x in enumerate(words):
-            best = least[i].copy()
-            for j, y in enumerate(words):
-                if i == j or not len(x) or not len(y):
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                same = y[at] == x
-                best[same] = np.minimum(best[same], least[j][at[same]])
-            a, b = spans[i]
-            shards[i].least[shards[i].real[a:b]] = best
+        words = np.concatenate(
+            [s.windows(a, b).view(f"S{WINDOW}") for s, (a, b) in zip(shards, spans, strict=True)]
+        )
+        if not len(words):
+            continue
+        least = np.concatenate([s.least[s.real[a:b]] for s, (a, b) in zip(shards, spans, strict=True)])
+        # Sorted runs, one after the other: a stable sort merges them.
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        best = np.empty(len(order), np.int64)
+        best[order] = np.repeat(
+            np.minimum.reduceat(least[order], first), np.diff(np.append(first, len(order)))
+        )
+        done = 0
+        for s, (a, b) in zip(shards, spans, strict=True):
+            s.least[s.real[a:b]] = best[done : done + b - a]
+            done += b - a
+
+
+def _shards(sizes: np.ndarray, tags: np.ndarray, shard: int) -> list[list[np.ndarray]]:
+    """The pieces of each shard, in groups of shards that have to be merged.
+
+    Equal windows have one name, so pieces of one name stay together, and a group is one shard. Only
+    where a name makes a group much larger than a shard, the group is cut into several.
+    """
+    order = np.argsort(tags, kind="stable")
+    sizes, tags = sizes[order], tags[order]
+    begin = np.cumsum(sizes) - sizes
+    new = np.concatenate([[True], tags[1:] != tags[:-1]])[: len(tags)]
+    part = np.maximum.accumulate(np.where(new, begin, 0)) // shard
+    out = []
+    cuts = [*np.flatnonzero(np.diff(part, prepend=-1)).tolist(), len(part)]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        within = (begin[a:b] - begin[a]) // (2 * shard)
+        inner = np.flatnonzero(np.diff(within)) + 1
+        out.append(np.split(order[a:b], inner))
+    return out
 
 
 def _digest(piece: bytes) -> bytes:
@@ -375,27 +408,29 @@ def _classes(shard: int):
 
     def classes(rows: pa.Table) -> pa.Table:
         least: dict[bytes, int] = {}
+        tag_of: dict[bytes, int] = {}
         holders: list[list[bytes]] = []
-        for sizes, raw, ids in zip(
-            *(rows.column(c).to_pylist() for c in ("sizes", "bytes", "ids")), strict=True
+        for sizes, raw, ids, tags in zip(
+            *(rows.column(c).to_pylist() for c in ("sizes", "bytes", "ids", "tags")), strict=True
         ):
             ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
             own = [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)]
             holders.append(own)
+            tag_of.update(zip(own, np.frombuffer(tags, np.uint32).tolist(), strict=True))
             for piece, i in zip(own, np.frombuffer(ids, np.int64).tolist(), strict=True):
                 known = least.get(piece)
                 if known is None or i < known:
                     least[piece] = i
         pieces = list(least)
-        part = (np.cumsum([len(p) for p in pieces]) // shard).tolist()
-        groups: dict[int, list[bytes]] = {}
-        for p, k in zip(pieces, part, strict=True):
-            groups.setdefault(k, []).append(p)
-        shards = [_Shard(g, [least[p] for p in g]) for g in groups.values()]
-        _merge(shards)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        tags = np.fromiter((tag_of[p] for p in pieces), np.uint32, len(pieces))
         answer: dict[bytes, bytes] = {}
-        for group, made in zip(groups.values(), shards, strict=True):
-            answer.update(zip(group, made.answers(), strict=True))
+        for parts in _shards(lengths, tags, shard):
+            groups = [[pieces[k] for k in part.tolist()] for part in parts]
+            shards = [_Shard(g, [least[p] for p in g]) for g in groups]
+            _merge(shards)
+            for group, made in zip(groups, shards, strict=True):
+                answer.update(zip(group, made.answers(), strict=True))
         out = [
             (b"".join(map(_digest, own)), b"".join(answer[p] for p in own),
              np.array([len(answer[p]) for p in own], np.int32).tobytes())
@@ -413,18 +448,56 @@ def _classes(shard: int):
     return classes
 
 
-def _spans(packed: bytes, size: int) -> list[tuple[int, int, int]]:
-    """Bytes under the windows of each run, and their smallest document."""
-    rows = np.frombuffer(packed, np.int64).reshape(-1, 2).tolist()
-    stops = [a for a, _ in rows[1:]] + [size - WINDOW + 1]
-    return [(a, b + WINDOW - 1, x) for (a, x), b in zip(rows, stops, strict=False)]
+def _mark(begin: np.ndarray, end: np.ndarray, size: int) -> np.ndarray:
+    change = np.bincount(begin, minlength=size + 1)
+    change -= np.bincount(end, minlength=size + 1)
+    return np.cumsum(change[:-1]) > 0
 
 
-def _mark(spans: list[int], size: int) -> np.ndarray:
-    edges = np.array(spans).reshape(-1, 2)
-    change = np.bincount(edges[:, 0], minlength=size + 1)
-    change -= np.bincount(edges[:, 1], minlength=size + 1)
-    return np.cumsum(change[:-1]) > 0
+def _covered(block: _Block, found: pa.Table) -> dict[int, np.ndarray]:
+    """Which bytes go, of documents of the block that lose any to another text."""
+    number: dict[bytes, int] = {}
+    pieces = itertools.count()
+    runs, many = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
+    for digests, least, sizes in zip(
+        *(found.column(c).to_pylist() for c in ("pieces", "least", "sizes")), strict=True
+    ):
+        for k in range(0, len(digests), 16):
+            number[digests[k : k + 16]] = next(pieces)
+        runs.append(np.frombuffer(least, np.int64).reshape(-1, 2))
+        many.append(np.frombuffer(sizes, np.int32) // 16)
+    if not number:
+        return {}
+    place, smallest = np.concatenate(runs).T
+    many = np.concatenate(many).astype(np.int64)
+    last = np.cumsum(many) - 1
+    known: dict[bytes, int] = {}
+    met = []
+    for i, at, piece, _ in block.pieces(_names_of(found)):
+        k = known.get(piece)
+        if k is None:
+            k = known[piece] = number.get(_digest(piece), -1)
+        if k >= 0:
+            met.append((i, at, k, len(piece)))
+    if not met:
+        return {}
+    owner, at, piece, size = np.array(met, np.int64).T
+    # Each run of windows of each piece, wherever it stands.
+    of = np.repeat(np.arange(len(piece)), many[piece])
+    row = ranges(last[piece] + 1 - many[piece], many[piece])
+    stop = np.where(
+        row == last[piece[of]], size[of] - WINDOW + 1, place[np.minimum(row + 1, len(place) - 1)]
+    )
+    gone = smallest[row] < block.ids[owner[of]]
+    of, begin, end = of[gone], place[row[gone]], stop[gone] + WINDOW - 1
+    owner, begin, end = owner[of], begin + at[of], end + at[of]
+    # Documents come one after the other.
+    first = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+    out = {}
+    for a, b in zip(first, [*first[1:], len(owner)], strict=False):
+        i = int(owner[a])
+        out[i] = _mark(begin[a:b], end[a:b], len(block.texts[i]))
+    return out
 
 
 _CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -433,31 +506,14 @@ _CUT = "n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 def _cut(rows: pa.Table, found: pa.Table) -> pa.Table:
     """The documents of a block without their repeated bytes."""
     block = _Block(rows)
-    answers: dict[bytes, bytes] = {}
-    for digests, least, sizes in zip(
-        *(found.column(c).to_pylist() for c in ("pieces", "least", "sizes")), strict=True
-    ):
-        ends = np.cumsum(np.frombuffer(sizes, np.int32)).tolist()
-        for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False)):
-            answers[digests[16 * k : 16 * k + 16]] = least[a:b]
-    covered: dict[int, list[int]] = {}
-    if answers:
-        read: dict[bytes, list[tuple[int, int, int]]] = {}
-        for i, at, piece, _ in block.pieces(_names_of(found)):
-            runs = read.get(piece)
-            if runs is None:
-                runs = read[piece] = _spans(answers.get(_digest(piece), b""), len(piece))
-            own = block.ids[i]
-            for a, b, smallest in runs:
-                if smallest < own:
-                    covered.setdefault(i, []).extend((at + a, at + b))
+    covered = _covered(block, found)
     out = []
     for i, text in enumerate(block.texts):
         original = block.first[text]
         if block.ids[original] < block.ids[i] and len(text) >= WINDOW:
             gone = np.ones(len(text), bool)
         elif original in covered:
-            gone = _mark(covered[original], len(text))
+            gone = covered[original]
         else:
             gone = np.zeros(0, bool)
         spans = int(np.count_nonzero(np.diff(gone.view(np.int8), prepend=np.int8(0)) == 1))

@@ -220,6 +220,32 @@ def test_suffix_dedup_on_the_smallest_table(spark):
     assert {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeated_bytes(docs).collect()} == expected
 
 
+def test_shards_hold_whole_names():
+    rng = np.random.default_rng(4)
+    tags = np.append(rng.integers(0, 300, 900), np.full(100, 300)).astype(np.uint32)
+    sizes = rng.integers(50, 80, len(tags))
+    found = suffix_dedup._shards(sizes, tags, 1_000)
+    assert sorted(k for parts in found for part in parts for k in part) == list(range(len(tags)))
+    held = [{int(tags[k]) for part in parts for k in part} for parts in found]
+    assert sum(map(len, held)) == len(set(tags.tolist()))
+    # only the last name is larger than a shard
+    assert [len(parts) > 1 for parts in found] == [300 in names for names in held]
+    assert max(sizes[part].sum() for parts in found for part in parts) <= 2 * 1_000 + 80
+    assert suffix_dedup._shards(sizes[:0], tags[:0], 1_000) == []
+
+
+def test_suffix_dedup_of_a_name_with_several_shards(make):
+    """One phrase between other words in each text, some of which come back in part."""
+    rng = random.Random(9)
+    phrase = "the one phrase that they all have"
+    texts = [f"{prose(rng, 9)} {phrase} {prose(rng, 9)}" for _ in range(60)]
+    texts += [t[k : k + 90] for k, t in enumerate(texts[:30])]
+    rng.shuffle(texts)
+    docs = make(texts)
+    found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.repeated_bytes(docs, 200).collect()}
+    assert found == brute_repeats(rows_of(docs))
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(7)
     for _ in range(40):
