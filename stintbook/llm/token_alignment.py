@@ -44,6 +44,9 @@ SPACE = "▁"
 PIECE = 1 << 16
 # Characters of new units that are encoded together, and of a block of documents.
 TOGETHER, BLOCK = 400_000, 32_000_000
+# Characters of texts that are aligned at a time, and of units and bytes of answers in each store.
+# Every task of an executor holds as much; a longer text is still aligned as a whole.
+STRETCH, STORED = 1_000_000, 32_000_000
 # Links of a group that are written out; larger groups are multiplied by their distinct tokens.
 WRITTEN = 4_096
 
@@ -125,7 +128,7 @@ class Aligner:
         self._size_a = np.array([len(x) for x in self._bytes_a], np.int64)
         self._size_b = np.array([len(x) for x in self._bytes_b], np.int64)
         self._shown = [str(i) for i in range(max(len(self._bytes_a), len(self._bytes_b)))]
-        self._units = Units(self._solve)
+        self._units = Units(self._solve, stored=STORED)
 
     def _solve(self, units: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -259,7 +262,7 @@ def groups(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     Cases as for ``link_counts``."""
 
     def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in stretches(batches):
+        for rows, texts in stretches(batches, STRETCH):
             found, codes, bounds = aligner(path_a, path_b).answers(texts)
             real = _sums(found, codes, bounds)[0] > 0
             said = pa.array(_texts(found, codes, bounds, real), pa.string())
@@ -323,7 +326,7 @@ def _counted(path_a: str, path_b: str):
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, size, pairs, out = TaskContext.get().partitionId() << 32, 0, _Pairs(), None
-        for rows, texts in stretches(batches):
+        for rows, texts in stretches(batches, STRETCH):
             out = out or _Rows(rows.schema.field("doc_id").type)
             found, codes, bounds = aligner(path_a, path_b).answers(texts)
             sums = _sums(found, codes, bounds)
@@ -380,10 +383,14 @@ def _finished(docs: pa.Table, counts: pa.Table) -> pa.Table:
     sizes = pc.list_value_length(lists).to_numpy()
     number = lists.flatten().to_numpy()
     times = docs.column("times").combine_chunks().flatten().to_numpy()
-    running = np.zeros((2, len(number) + 1), np.int64)
-    np.cumsum(total[:, number] * times, axis=1, out=running[:, 1:])
     bounds = np.concatenate([[0], np.cumsum(sizes)])
-    sums = running[:, bounds[1:]] - running[:, bounds[:-1]]
+    running = np.zeros(len(number) + 1, np.int64)
+    sums = []
+    # one after the other, in one array: a block has millions of links
+    for each in total:
+        np.multiply(each[number], times, out=running[1:])
+        np.cumsum(running[1:], out=running[1:])
+        sums.append(running[bounds[1:]] - running[bounds[:-1]])
     out = docs.select(["doc_id", *_NAMES])
     out = out.append_column("n_best", pa.array(sums[0])).append_column("count_sum", pa.array(sums[1]))
     return out.append_column("groups_sha256", docs.column("groups_sha256"))

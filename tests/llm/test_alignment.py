@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 from collections import Counter
+from unittest.mock import Mock
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from conftest import SF_DIR
@@ -118,6 +120,20 @@ def test_blocks_of_a_task(spark, byte_pairs, pieces):
     assert found(df, (byte_pairs, pieces)) == Brute(byte_pairs, pieces).rows(rows + many)
 
 
+def test_texts_held_at_a_time(monkeypatch, byte_pairs, pieces):
+    aligner = token_alignment.aligner(byte_pairs, pieces)
+    assert aligner._units._stored <= 32_000_000
+    held, plain = [], aligner.answers
+    monkeypatch.setattr(aligner, "answers", lambda texts: held.append(sum(map(len, texts))) or plain(texts))
+    monkeypatch.setattr(token_alignment, "TaskContext", Mock())
+    token_alignment.TaskContext.get.return_value.partitionId.return_value = 0
+    texts = [prose(random.Random(k % 3), 20_000) for k in range(30)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    rows = sum(x.num_rows for x in token_alignment._counted(byte_pairs, pieces)(iter([batch])))
+    assert rows == len(texts) + 1 and sum(held) == sum(map(len, texts)) > 2_000_000
+    assert max(held) <= 1_000_000 + max(map(len, texts))
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_merge_path(seed):
     rng = np.random.default_rng(seed)
