@@ -258,6 +258,20 @@ def test_changed_teams(spark):
     }
 
 
+def test_digests_are_exact_sums_of_longs(spark):
+    stints = frame(spark, random_stints(16, size=300, teams=3))
+    columns = sorted(stints.columns)
+    hashed = stints.select("team_id", *[changes._row_hash(columns, k).alias(f"h{k}") for k in (1, 2)])
+    expected = defaultdict(lambda: [0, 0, 0])
+    for r in hashed.collect():
+        expected[r.team_id] = [a + b for a, b in zip(expected[r.team_id], (1, r.h1, r.h2))]
+    digests = changes.team_digests(stints)
+    found = {r.team_id: [r.records, int(r.digest_1), int(r.digest_2)] for r in digests.collect()}
+    assert found == expected and digests.schema["digest_1"].dataType.precision == 29
+    plan = digests._jdf.queryExecution().sparkPlan().toString()
+    assert not [x for x in plan.splitlines() if "partial_sum(cast" in x and "decimal" in x]
+
+
 def test_lineups_of_changed_teams(spark):
     rows = random_stints(14, size=150, teams=6)
     now = [r for r in rows if r["team_id"] != "t1"] + [stint("K", "t2", D(2020, 2, 2))]
