@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from stintbook.operators import overlap, rankings
 from stintbook.operators.merging import covered_days, disjoint_periods
 from stintbook.operators.teammates import teammate_periods, teammate_summary
+from stintbook.plans import main_report
+from stintbook.sources.shared import keep
 
 from conftest import AS_OF, frame, is_clean, overlap_end, random_stints, stint
 
@@ -261,6 +263,37 @@ def test_teammate_bounds_are_close(spark):
     assert found == {"long": 2, "back": 2, "short": 1}
 
 
+def test_few_numbers_are_moved_for_bounds(spark):
+    periods = rankings.team_spans(overlap.clean_spans(frame(spark, random_stints(6)), AS_OF))
+    plan = rankings.teammate_bounds(periods)._jdf.queryExecution().sparkPlan().toString()
+    lines = [x for x in plan.splitlines() if "Aggregate(keys=[player_uid" in x and "partial_" in x]
+    assert any("opened_before" in x for x in lines)
+    assert all(x.count("partial_") <= 6 for x in lines if "opened_before" in x)
+
+
+def test_mates_are_looked_up_in_teams_of_the_chosen(spark):
+    rows = random_stints(9, teams=8) + [stint("lone", "own", D(2020, 1, 1), D(2020, 3, 1))]
+    rows += [stint("mate", "own", D(2020, 2, 1), D(2020, 4, 1)), stint("lone", None, D(2020, 1, 1))]
+    periods = rankings.team_spans(overlap.clean_spans(frame(spark, rows), AS_OF))
+    counts = rankings.teammate_counts(spark.createDataFrame([("lone",)], "player_uid string"), periods)
+    assert [tuple(r) for r in counts.collect()] == [("lone", 1)]
+    teams = {f for f in counts.inputFiles() if "teams-of-chosen" in f}
+    assert {r.team_id for r in spark.read.parquet(*teams).collect()} == {"own", None}
+
+
+def test_kept_tables_are_small(spark):
+    kept = keep(frame(spark, random_stints(7)), "some")
+    assert all(".zstd." in f for f in kept.inputFiles()) and kept.count() > 0
+
+
+def test_main_report_reads_stints_once(spark, tmp_path):
+    path = str(tmp_path / "stints")
+    frame(spark, random_stints(8)).write.parquet(path)
+    report = main_report.main_report(spark.read.parquet(path), AS_OF)
+    assert not [f for f in report.inputFiles() if path in f]
+    assert report.count() > 0
+
+
 def test_current_tenure(spark):
     rows = random_stints(4) + [
         stint("future", "t", AS_OF + dt.timedelta(days=9)),
