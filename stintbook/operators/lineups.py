@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -114,46 +114,94 @@ def shown_segments(
 def lineup_members(records: DataFrame, segments: DataFrame) -> DataFrame:
     """One row per record and segment it was part of; ``segments`` are some of the records' own.
 
-    A record begins and ends on days on which its team changed, so the places of these days among
-    those of the team number its first and last segment, and all its segments lie between. A team's
-    segments come to each record as one array, bounded by the calendar, so the many rows of the
-    result are made beside the record and not moved. Adaptive execution splits a large team.
+    A team's segments come to each record as one array, bounded by the calendar, so the many rows of
+    the result are made beside the record and not moved.
     """
-    shown = segments.select(
-        "team_id",
-        "segment_no",
-        F.struct(
-            F.col("segment_no").alias("no"),
-            F.col("start").alias("from"),
-            F.col("end").alias("to"),
-            F.col("game_version").alias("version"),
-        ).alias("shown"),
-    )
-    numbered = lineup_segments(records).select("team_id", "segment_no", "start", "end")
-    of_team = (
-        numbered.join(shown, ["team_id", "segment_no"], "left")
-        .groupBy("team_id")
-        .agg(F.array_sort(F.collect_list(F.struct("segment_no", "start", "end", "shown"))).alias("all"))
+    fields = [c for c in records.columns if c not in {"start", "end"}]
+    return (
+        _with_segments(records, segments, ["team_id"])
+        .select(*fields, F.explode("segments").alias("segment"))
         .select(
-            "team_id",
-            F.col("all.start").alias("starts"),
-            F.col("all.end").alias("ends"),
-            F.col("all.shown").alias("all_shown"),
+            *fields,
+            F.col("segment.no").alias("segment_no"),
+            F.col("segment.from").alias("segment_start"),
+            F.col("segment.to").alias("segment_end"),
+            F.col("segment.version").alias("segment_version"),
         )
     )
+
+
+# Segments whose members are made in one task at least; a team with more is spread over several.
+SEGMENTS_PER_BLOCK = 64
+
+
+def gathered_members(records: DataFrame, segments: DataFrame) -> DataFrame:
+    """``lineup_members`` with a ``block``, all rows of a team's block in one partition.
+
+    For results that need the members of a line-up together. A record is moved once for each block
+    of segments it was part of, and not for each segment, of which it takes the columns afterwards.
+    """
     fields = [c for c in records.columns if c not in {"start", "end"}]
-    first = F.array_position("starts", F.col("start"))
-    last = F.array_position("ends", F.col("end"))
-    part_of = F.slice("all_shown", first, last - first + 1)
+    block = F.floor(F.col("segment_no") / SEGMENTS_PER_BLOCK)
+    blocks = F.array_distinct(
+        F.transform("segments", lambda s: F.floor(s["no"] / SEGMENTS_PER_BLOCK))
+    )
     return (
-        records.join(of_team, "team_id")
-        .select(*fields, F.explode(part_of).alias("segment"))
-        .filter(F.col("segment").isNotNull())
+        _with_segments(records, segments, ["team_id"])
+        .select(*records.columns, F.explode(blocks).alias("block"))
+        .transform(_with_segments, segments.withColumn("block", block), ["team_id", "block"])
+        .select(*fields, "block", F.explode("segments").alias("segment"))
         .select(
             *fields,
+            "block",
             F.col("segment.no").alias("segment_no"),
             F.col("segment.from").alias("segment_start"),
             F.col("segment.to").alias("segment_end"),
             F.col("segment.version").alias("segment_version"),
         )
     )
+
+
+def _with_segments(records: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+    """Records with the array ``segments`` of those they were part of.
+
+    A record begins and ends on days on which its team changed, so a segment that starts inside it
+    also ends there.
+    """
+    found = F.array_sort(
+        F.collect_list(
+            F.struct(
+                F.col("start").alias("from"),
+                F.col("end").alias("to"),
+                F.col("segment_no").alias("no"),
+                F.col("game_version").alias("version"),
+            )
+        )
+    )
+    of_key = segments.groupBy(*keys).agg(found.alias("all"))
+    # a column of its own, because each step of the search would read it from the structs again
+    of_key = of_key.select(*keys, "all", F.col("all.from").alias("starts"))
+    if "block" in keys:
+        of_key = of_key.hint("shuffle_merge")  # a broadcast would leave the rows where they are
+    placed = records.join(of_key, keys).select(
+        *records.columns,
+        "all",
+        _count_below("starts", F.col("start")).alias("before"),
+        _count_below("starts", F.col("end")).alias("until"),
+    )
+    part_of = F.slice("all", F.col("before") + 1, F.col("until") - F.col("before"))
+    return placed.select(*records.columns, part_of.alias("segments"))
+
+
+# Fixed value: halvings that are enough for as many days as the calendar has.
+_HALVINGS = [2**i for i in reversed(range(22))]
+
+
+def _count_below(ordered: str, value: Column) -> Column:
+    """How many values of a sorted array are smaller, by bisection."""
+
+    def step(found: Column, width: Column) -> Column:
+        smaller = F.get(F.col(ordered), found + width - 1) < value
+        return F.when(smaller, found + width).otherwise(found)
+
+    return F.aggregate(F.array(*[F.lit(w) for w in _HALVINGS]), F.lit(0), step)

@@ -294,3 +294,32 @@ def test_rows_of_members_are_not_moved_once_they_are_made(spark):
     lines = members._jdf.queryExecution().sparkPlan().toString().splitlines()
     kinds = [i for i, line in enumerate(lines) if "Join" in line], [i for i, line in enumerate(lines) if "Generate" in line]
     assert kinds[1][0] < kinds[0][0]
+
+
+def test_segments_are_made_once_for_members(spark):
+    records = lineups.dated_records(frame(spark, random_stints(17, size=40)))
+    segments = lineups.lineup_segments(records)
+    plan = lineups.lineup_members(records, segments)._jdf.queryExecution().sparkPlan().toString()
+    assert sum(line.strip(" :+-").startswith("Window ") for line in plan.splitlines()) == 1
+
+
+def test_members_of_a_team_in_several_blocks(spark):
+    rows = [
+        stint(f"P{i}", "many", D(2010, 1, 1) + dt.timedelta(days=5 * i),
+              leave=D(2010, 1, 1) + dt.timedelta(days=5 * i + 5 * (1 + i % 90)))
+        for i in range(200)
+    ] + [stint("Q", "few", D(2011, 1, 1)), stint("N", None, D(2011, 1, 1))]
+    records = lineups.dated_records(frame(spark, rows))
+    segments = lineups.lineup_segments(records)
+    shown = segments.filter("members > 0 AND segment_no % 3 > 0")
+    flat = lineups.lineup_members(records, shown).collect()
+    gathered = lineups.gathered_members(records, shown)
+    assert sorted(map(repr, flat)) == sorted(map(repr, gathered.drop("block").collect()))
+    assert gathered.filter("team_id = 'many'").select("block").distinct().count() > 2
+    expected = {
+        (r.player_uid, s.team_id, s.segment_no)
+        for r in records.collect() for s in shown.collect()
+        if r.team_id and r.team_id == s.team_id and r.start <= s.start and s.end <= r.end
+    }
+    assert {(r.player_uid, r.team_id, r.segment_no) for r in flat} == expected
+    assert len(flat) == len(expected) > 1_000
