@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from stintbook.functions.labels import (
 from stintbook.functions.text import flag_path, team_link
 from stintbook.operators.lineups import (
     dated_records,
+    gathered_members,
     lineup_members,
     lineup_segments,
     shown_segments,
@@ -70,47 +70,48 @@ def team_lineups(
     ``lineup_no`` 0 holds the entries with unusable dates; the others follow in time. The
     window is applied to the stints first, so it can move the edges of the line-ups.
     """
-    return _lineup_rows(stints, as_of, date_from, date_to, highlight, team_id, [])
+    inside, records, segments = _windowed(stints, as_of, date_from, date_to, team_id)
+    undated = _undated_rows(inside, as_of, highlight)
+    dated = _dated_rows(lineup_members(records, segments), as_of, highlight)
+    return undated.unionByName(dated)
 
 
-def _lineup_rows(
+def _windowed(
     stints: DataFrame,
     as_of: dt.date,
     date_from: dt.date | None,
     date_to: dt.date | None,
-    highlight: str,
     team_id: str | None,
-    entry_order: list[str],
-) -> DataFrame:
-    """``team_lineups`` with the columns ``entry_order`` of the undated entries (else null)."""
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The stints in the window, of these the dated records, and their shown segments."""
     if team_id is not None:
         stints = stints.filter(F.col("team_id") == team_id)
     inside = team_window(stints, date_from, date_to, as_of)
     records = dated_records(inside)
-    segments = shown_segments(lineup_segments(records), date_from, date_to, as_of)
-    fields = _member_fields(as_of, highlight)
-    entry = [F.col(c).alias(f"entry_{i}") for i, c in enumerate(entry_order)]
-    none = [
-        F.lit(None).cast(inside.schema[c].dataType).alias(f"entry_{i}")
-        for i, c in enumerate(entry_order)
-    ]
-    undated = undated_records(inside, *entry_order).select(
+    return inside, records, shown_segments(lineup_segments(records), date_from, date_to, as_of)
+
+
+def _undated_rows(inside: DataFrame, as_of: dt.date, highlight: str, *more: str) -> DataFrame:
+    """``more`` names columns of the stints that are kept, as ``entry_0`` and so on."""
+    return undated_records(inside, *more).select(
         "team_id",
         F.lit(0).cast("long").alias("lineup_no"),
         F.lit(INVALID_PERIOD).alias("period"),
         F.lit("-").alias("game_version"),
-        *fields,
-        *entry,
+        *_member_fields(as_of, highlight),
+        *[F.col(c).alias(f"entry_{i}") for i, c in enumerate(more)],
     )
-    dated = lineup_members(records, segments).select(
+
+
+def _dated_rows(members: DataFrame, as_of: dt.date, highlight: str, *more: str) -> DataFrame:
+    return members.select(
         "team_id",
         F.col("segment_no").alias("lineup_no"),
         period_text(F.col("segment_start"), F.col("segment_end"), as_of).alias("period"),
         F.col("segment_version").alias("game_version"),
-        *fields,
-        *none,
+        *_member_fields(as_of, highlight),
+        *more,
     )
-    return undated.unionByName(dated)
 
 
 def nested_lineups(
@@ -133,44 +134,40 @@ def nested_lineups(
     if entry_order is None:
         stints = stints.withColumn("entry", F.monotonically_increasing_id())
         entry_order = ["entry"]
-    rows = _lineup_rows(stints, as_of, date_from, date_to, highlight, team_id, entry_order)
-    keys = ["team_id", "lineup_no", "period", "game_version"]
+    inside, records, segments = _windowed(stints, as_of, date_from, date_to, team_id)
+    undated = _undated_rows(inside, as_of, highlight, *entry_order)
+    dated = _dated_rows(gathered_members(records, segments), as_of, highlight, "block")
     entry = [f"entry_{i}" for i in range(len(entry_order))]
-    names = [c for c in rows.columns if c not in {*keys, *entry}]
-    # What decides the place of a player first, each after a flag that puts nulls last; the rest
-    # of the record makes the order of equal nicknames fixed. The player is read back from there.
+    return _in_parts(undated, ["team_id"], entry, most_members).unionByName(
+        # a line-up lies in one block, and the rows of a block already lie together
+        _in_parts(dated, ["team_id", "block", "lineup_no"], [], most_members)
+    )
+
+
+def _in_parts(
+    rows: DataFrame, lineup: list[str], entry: list[str], most_members: int
+) -> DataFrame:
+    """Line-ups, told apart by ``lineup``, as arrays of their players by place."""
+    keys = ["team_id", "lineup_no", "period", "game_version"]
+    names = [c for c in rows.columns if c not in {*keys, *lineup, *entry}]
+    # the rest of the record makes the order of equal nicknames fixed
     first = [*entry, "nickname", "player_uid"]
-    place = F.struct(
-        *[
-            part
-            for c in [*first, *[n for n in names if n not in first]]
-            for part in (
-                (
-                    F.when(F.col("lineup_no") == 0, F.col(c).isNull())
-                    if c in entry
-                    else F.col(c).isNull()
-                ).alias(f"no_{c}"),
-                F.col(c),
-            )
-        ]
+    place = [F.col(c).asc_nulls_last() for c in [*first, *[n for n in names if n not in first]]]
+    number = F.row_number().over(W.partitionBy(*lineup).orderBy(*place))
+    numbered = rows.withColumn("number", number).select(
+        *dict.fromkeys([*lineup, *keys]),
+        (F.floor((F.col("number") - 1) / most_members) + 1).cast("bigint").alias("part"),
+        F.struct("number", F.struct(*names).alias("player")).alias("placed"),
     )
-    rows = rows.select(*keys, place.alias("place"))
-    # The rows are moved once: the groups lie where the window has put their line-ups.
-    number = F.row_number().over(W.partitionBy("team_id", "lineup_no").orderBy("place")) - 1
-    parts = rows.withColumn("part", (F.floor(number / most_members) + 1).cast("bigint"))
     # At most ``most_members`` in each.
-    members = F.array_sort(F.collect_list("place"))
+    placed = F.array_sort(F.collect_list("placed"))
     return (
-        parts.groupBy(*keys, "part")
-        .agg(F.transform(members, _player(names)).alias("players"))
+        numbered.groupBy(*dict.fromkeys([*lineup, *keys]), "part")
+        .agg(placed["player"].alias("players"))
         .select("team_id", "lineup_no", "part", "period", "game_version", "players")
     )
 
 
-def _player(names: list[str]) -> Callable[[Column], Column]:
-    return lambda place: F.struct(*[place[n].alias(n) for n in names])
-
-
 def team_headers(
     teams: DataFrame,
     stints: DataFrame,

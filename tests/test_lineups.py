@@ -303,6 +303,16 @@ def test_segments_are_made_once_for_members(spark):
     assert sum(line.strip(" :+-").startswith("Window ") for line in plan.splitlines()) == 1
 
 
+def test_nested_lineups_move_records_and_not_their_segments(spark):
+    """No exchange stands between the segments of a record and the place of its player."""
+    stints = frame(spark, random_stints(18, size=40))
+    plan = nested_lineups(stints, AS_OF, D(2020, 1, 1), D(2021, 12, 31))._jdf.queryExecution().executedPlan()
+    lines = plan.toString().splitlines()
+    numbered = next(i for i, line in enumerate(lines) if "row_number()" in line and "block" in line)
+    made = next(i for i, line in enumerate(lines) if i > numbered and "Generate explode" in line)
+    assert not [line for line in lines[numbered:made] if "Exchange" in line]
+
+
 def test_members_of_a_team_in_several_blocks(spark):
     rows = [
         stint(f"P{i}", "many", D(2010, 1, 1) + dt.timedelta(days=5 * i),
