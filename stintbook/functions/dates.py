@@ -96,26 +96,64 @@ def raw_date(kind: Column, text: Column) -> Column:
     return _let(F.coalesce(strip(text), F.lit("")), kept)
 
 
+def read_cells(cells: Column) -> Column:
+    """The known ones of ``array<struct<label, text>>`` as ``array<struct<kind, date, raw>>``.
+
+    Kind, date and raw text are those of :func:`date_type`, :func:`parsed_date` and
+    :func:`raw_date`, whose shared parts are evaluated once.
+    """
+    kinds = F.transform(
+        cells,
+        lambda c: F.struct(
+            date_type(c["label"]).alias("kind"), F.coalesce(strip(c["text"]), F.lit("")).alias("text")
+        ),
+    )
+
+    def read(cell: Column) -> Column:
+        kind, shown = cell["kind"], cell["text"]
+        head = F.lower(F.substring(shown, 1, 10))
+        missing = (shown == "") & kind.isin("join_date", "leave_date")
+        return _let(
+            F.struct(iso_date(head).alias("exact"), missing.alias("missing")),
+            lambda known: F.when(
+                known["exact"].isNotNull(),
+                F.struct(
+                    kind.alias("kind"),
+                    known["exact"].alias("date"),
+                    F.lit(None).cast("string").alias("raw"),
+                ),
+            ).otherwise(
+                F.struct(
+                    kind.alias("kind"),
+                    F.when(shown != "", repaired_date(kind, shown)).alias("date"),
+                    F.when(known["missing"], F.lit("unknown"))
+                    .otherwise(F.nullif(shown, F.lit("")))
+                    .alias("raw"),
+                )
+            ),
+        )
+
+    return F.transform(F.filter(kinds, lambda c: c["kind"].isNotNull()), read)
+
+
 def date_columns(cells: Column) -> dict[str, Column]:
     """Six date columns and ``has_invalid_dates`` from ``array<struct<label, text>>``.
 
     The cells of a row sit in one small array, so no shuffle is needed to pivot them.
     A later cell of the same type replaces the date, but never clears an earlier raw text.
     """
-    known = F.filter(cells, lambda c: date_type(c["label"]).isNotNull())
+    return columns_of_read(read_cells(cells))
 
-    def last_of(kind: str) -> tuple[Column, Column]:
-        mine = F.filter(known, lambda c: date_type(c["label"]) == kind)
-        parsed = F.transform(mine, lambda c: parsed_date(F.lit(kind), c["text"]))
-        raws = F.transform(mine, lambda c: raw_date(F.lit(kind), c["text"]))
-        kept = F.filter(raws, lambda raw: raw.isNotNull())
-        return F.try_element_at(parsed, F.lit(-1)), F.try_element_at(kept, F.lit(-1))
 
+def columns_of_read(read: Column) -> dict[str, Column]:
+    """``date_columns`` from the result of :func:`read_cells`, kept as a column of its own: each of
+    these refers to it."""
     columns: dict[str, Column] = {}
-    inexact = F.size(known) == 0
     for name in DATE_TYPES:
-        columns[name], raw = last_of(name)
-        columns[f"{name}_raw"] = raw
-        inexact = inexact | raw.isNotNull()
-    columns["has_invalid_dates"] = inexact
+        mine = F.filter(read, lambda c: c["kind"] == name)
+        kept = F.filter(read, lambda c: (c["kind"] == name) & c["raw"].isNotNull())
+        columns[name] = F.try_element_at(mine, F.lit(-1))["date"]
+        columns[f"{name}_raw"] = F.try_element_at(kept, F.lit(-1))["raw"]
+    inexact = F.exists(read, lambda c: c["raw"].isNotNull())
+    columns["has_invalid_dates"] = (F.size(read) == 0) | inexact
     return columns

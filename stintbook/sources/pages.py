@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from stintbook.functions.dates import date_columns
+from stintbook.functions.dates import columns_of_read, read_cells
 from stintbook.functions.text import clean_id, name_from_url, strip, strip_or_null
 from stintbook.schema import ROSTER_FEED
 from stintbook.sources import html as html_tree
@@ -250,12 +250,12 @@ def extract_feed(pages: DataFrame) -> DataFrame:
 
 def extract_records(pages: DataFrame) -> DataFrame:
     """Roster feed records with the ``page_id`` they come from."""
-    rows = roster_rows(pages)
+    rows = roster_rows(pages).withColumn("cells", read_cells(F.col("cells")))
     tab = F.try_element_at("tabs", F.col("content_no"))
     only_game = F.when(F.size("games") == 1, F.get("games", F.lit(0)))
     nickname = F.coalesce(strip(F.col("nickname")), F.lit(""))
     name = F.coalesce(name_from_url(F.col("href")), F.lit(""))
-    dates = date_columns(F.col("cells"))
+    dates = columns_of_read(F.col("cells"))
     return rows.select(
         "page_id",
         clean_id(F.coalesce(name_from_url(F.col("url")), F.lit(""))).alias("team_unique_name"),

@@ -257,3 +257,22 @@ def test_window_is_closed_and_tolerates_nulls(spark):
     assert {r.player_uid for r in found.collect()} == {
         "ends on first day", "starts on last day", "unknown",
     }
+
+
+def test_cells_are_read_as_by_the_single_rules(spark):
+    """The kind of a cell, its date and its raw text, with their shared parts evaluated once."""
+    labels = ["Join Date:", "Inactive Date:", "Leave Date:", " join date", "Team:", None]
+    said = [None, "", " ", "2020-01-02", "20200102", "2020-1", "2020-??-??", "unknown", "2020/01/02 [1]",
+            " 2020-01-02\u3000", "????-01-01", "2020-13-45", "0000-01-01", "A" * 20, "2020-02"]
+    rows = [([(label, text)],) for label in labels for text in said]
+    schema = "cells array<struct<label: string, text: string>>"
+    first = F.get("cells", F.lit(0))
+    kind, shown = dates.date_type(first["label"]), first["text"]
+    single = F.when(
+        kind.isNotNull(),
+        F.array(F.struct(kind, dates.parsed_date(kind, shown), dates.raw_date(kind, shown))),
+    ).otherwise(F.array())
+    together, expected = zip(*apply(spark, schema, rows, dates.read_cells(F.col("cells")), single))
+    as_rows = lambda found: [[tuple(c) for c in cells] for cells in found]
+    assert as_rows(together) == as_rows(expected)
+    assert sum(map(len, together)) == 4 * len(said)
