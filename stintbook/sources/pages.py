@@ -21,10 +21,11 @@ from stintbook.functions.dates import columns_of_read, read_cells
 from stintbook.functions.text import clean_id, name_from_url, strip, strip_or_null
 from stintbook.schema import ROSTER_FEED
 from stintbook.sources import html as html_tree
+from stintbook.sources import rosters
 from stintbook.sources.html import Element, Has, Test, parse, select
 
 # The parsing code travels with the job, so executors need not have this package installed.
-for _module in (html_tree, sys.modules[__name__]):
+for _module in (html_tree, rosters, sys.modules[__name__]):
     cloudpickle.register_pickle_by_value(_module)
 
 _LINKS = "page_id bigint, url string, kind string, href string, link string"
@@ -213,6 +214,23 @@ def _page_job(
     return run
 
 
+def _roster_job(
+    schema: pa.Schema,
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pages that can be read together, then the others one by one."""
+    one_by_one = _page_job(_roster_rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in rosters.slices(batch):
+                rows, left = rosters.roster_columns(part, schema)
+                yield rows
+                if len(left):
+                    yield from one_by_one(iter([part.take(pa.array(left))]))
+
+    return run
+
+
 def _read(pages: DataFrame) -> DataFrame:
     """Pages with a text. All of them are parsed: marks in raw text can be written in many ways."""
     return pages.select("page_id", "url", "html").filter(F.col("html").isNotNull())
@@ -240,7 +258,7 @@ def roster_rows(pages: DataFrame) -> DataFrame:
         schema = _ROWS.replace("page_id bigint", "page_id string", 1)
     else:
         arrow, schema = _ROWS_ARROW, _ROWS
-    return _read(pages).mapInArrow(_page_job(_roster_rows, arrow), schema)
+    return _read(pages).mapInArrow(_roster_job(arrow), schema)
 
 
 def extract_feed(pages: DataFrame) -> DataFrame:

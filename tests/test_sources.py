@@ -5,6 +5,7 @@ import gzip
 import json
 import random
 
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 from stintbook.plans.refresh import refresh, refresh_incremental
 from stintbook.schema import ROSTER_FEED, STINTS
 from stintbook.sources import feed as feeds
-from stintbook.sources import html, pages, shared, snapshot
+from stintbook.sources import html, pages, rosters, shared, snapshot
 from stintbook.sources.html import Has, parse, select
 
 D = dt.date
@@ -535,3 +536,104 @@ def test_pages_are_spread_before_parsing(spark):
 
     for made in (demo.category_pages, demo.roster_pages):
         assert made(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == 8
+
+
+def _random_roster(rng):
+    """A page with parts of a roster in any order and depth, sometimes written in an odd way."""
+    texts = ["x", " y ", "", "Games: z", "CS2", "2020-01-02", "&amp;", "é　", "a > b", "\x1f", "&#1;"]
+    classes = ["roster-card", "Player", "ID", "flag", "Name", "LargeStuff", "Position", "Date",
+               "MobileStuffDate", "nav-tabs", "infobox-description", "content1", "content22 tab-x",
+               "tab1", "tab2 active", "Player roster-card", "ID Date", "wide"]
+    tags = ["div", "div", "h2", "td", "tr", "li", "a", "a", "i", "i", "abbr", "span", "img", "b", "br"]
+    hrefs = ["/wiki/A", "b/../c", "", " /x ", "//h/x", "/a//b", "/w?title=T&amp;action=edit", "?q", "/é", "/a/.", "#"]
+
+    if rng.random() < 0.7:  # nothing that is left to the tree
+        classes = [c for c in classes if not c.startswith(("content", "Player", "roster"))]
+        tags = [t for t in tags if t not in ("td", "tr", "li")]
+        ids = ["firstHeading", "Organization"]
+    else:
+        ids = ["firstHeading", "Player_Roster", "Organization"]
+
+    def element(depth):
+        tag, attrs = rng.choice(tags), ""
+        if rng.random() < 0.6:
+            attrs += f' class="{rng.choice(classes)}"'
+        if rng.random() < 0.08:
+            attrs += f' id="{rng.choice(ids)}"'
+        if tag in ("a", "div") and rng.random() < 0.7:
+            attrs += f' href="{rng.choice(hrefs)}"'
+        if tag in ("i", "img") and rng.random() < 0.7:
+            attrs += f' title="{rng.choice(["Captain", "Land", ""])}"'
+        if tag in ("img", "br"):
+            return f"<{tag}{attrs}>"
+        inside = "".join(
+            element(depth + 1) if depth < 5 and rng.random() < 0.6 else rng.choice(texts)
+            for _ in range(rng.randrange(4))
+        )
+        odd = rng.random()
+        tag = tag.upper() if odd < 0.05 else tag
+        return f"<{tag}{attrs}>{inside}" + ("" if odd > 0.999 else f"</{tag}>")
+
+    def row():
+        cells = [
+            f'<td class="ID"><span class="flag"><img title="{rng.choice(["L", "M &amp; N"])}"></span>'
+            f'<a href="{rng.choice(hrefs)}">{rng.choice(texts)}</a>{element(4)}</td>',
+            f'<td class="Name"><div class="LargeStuff">{rng.choice(texts)}{element(4)}</div></td>',
+            f'<td class="Position"><i>{rng.choice(texts)}</i></td>',
+            f'<td class="Date"><div class="MobileStuffDate">Join Date:</div><i>{rng.choice(texts)}'
+            f"<abbr>{rng.choice(texts)}</abbr></i>{element(4)}</td>",
+        ]
+        rng.shuffle(cells)
+        return f'<tr class="Player">{"".join(cells[: rng.randrange(5)])}</tr>'
+
+    def card():
+        inside = "".join(row() for _ in range(rng.randrange(4)))
+        held = f'<table class="roster-card">{inside}</table>{element(3)}'
+        return f'<div class="content{rng.randrange(3)}">{held}</div>' if rng.random() < 0.6 else held
+
+    tabs = '<ul class="nav-tabs"><li class="tab1">CS <b>2</b></li><li class="tab1">CS</li><li class="tab2"> CS:GO</li></ul>'
+    parts = [f"<div>{tabs if rng.random() < 0.7 else ''}{card()}{card()}</div>" for _ in range(2)]
+    end = rng.choice(["", '<h2><span id="Organization">S</span></h2>', '<div id="Organization"></div>'])
+    page = (
+        f'{rng.choice(texts)}<h1 id="firstHeading">{element(4)}<span>{rng.choice(texts)}</span></h1>'
+        f'<div><div class="infobox-description">{rng.choice(texts)}</div><div><a>CS</a>{element(4)}</div></div>'
+        f'<h3><span id="Player_Roster">P</span></h3>{parts[0]}{element(2)}{end}{parts[1]}{rng.choice(texts)}'
+    )
+    page = f"<body><main>{page}</main></body>" if rng.random() < 0.5 else page
+    odd = rng.random()
+    if odd < 0.1:
+        place = rng.randrange(len(page))
+        page = page[:place] + rng.choice(["<", ">", "\0", "<!-- c -->", "</div>", "<b", '"']) + page[place:]
+    return page if odd < 0.97 else rng.choice(["", "text", "<p>", "b>", "<"])
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_pages_read_together_have_the_rows_of_the_tree(seed, monkeypatch):
+    rng = random.Random(seed)
+    urls = ["https://w.example/game/T", "HTTP://W.example", "https://w.example/a?b=/c", "x", None, ""]
+    found = [(i, rng.choice(urls), _random_roster(rng)) for i in range(1_500)]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(c, t) for c, t in zip(zip(*found), (pa.int64(), pa.string(), pa.string()))],
+        ["page_id", "url", "html"],
+    )
+    schema = pages._ROWS_ARROW
+    expected = pages._page_job(pages._roster_rows, schema)(iter([batch]))
+    expected = [row for part in expected for row in part.to_pylist()]
+    monkeypatch.setattr(rosters, "_BYTES_AT_ONCE", 200_000)
+    monkeypatch.setattr(rosters, "_MOST_SEEN", 100)
+    given = pages._roster_job(schema)(iter([batch.slice(0, 700), batch.slice(700)]))
+    rows = [row for part in given for row in part.to_pylist()]
+    assert len(rows) > 1_000
+    assert sorted(map(repr, rows)) == sorted(map(repr, expected))
+    parts = rosters.slices(batch)
+    left = sum(len(rosters.roster_columns(p, schema)[1]) for p in parts)
+    assert len(parts) > 3 and left < 0.75 * len(found)
+
+
+def test_plain_rosters_are_read_together():
+    html = team_page(first=player_row("a") * 3, third=player_row("c", dates=[("Join Date:", "x")]))
+    html = html.replace('<base href="https://w.example/game/">', "")
+    given = [{"page_id": 1, "url": "https://w.example/game/T", "html": h} for h in (html, html + "<b>")]
+    (batch,) = pa.Table.from_pylist(given).to_batches()
+    rows, left = rosters.roster_columns(batch, pages._ROWS_ARROW)
+    assert rows.num_rows == 4 and left.tolist() == [1]
