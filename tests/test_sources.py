@@ -637,3 +637,21 @@ def test_plain_rosters_are_read_together():
     (batch,) = pa.Table.from_pylist(given).to_batches()
     rows, left = rosters.roster_columns(batch, pages._ROWS_ARROW)
     assert rows.num_rows == 4 and left.tolist() == [1]
+
+
+def test_pages_of_a_refresh_are_read_together(monkeypatch):
+    """There the id of a page is its digest."""
+    html = team_page(first=player_row("a"), third=player_row("b"))
+    html = html.replace('<base href="https://w.example/game/">', "")
+    given = [{"page_id": d, "url": "https://w.example/game/T", "html": html} for d in ("d1", "d2")]
+    schema = pages._ROWS_ARROW.set(0, pa.field("page_id", pa.string()))
+    expected = pages._page_job(pages._roster_rows, schema)(iter(pa.Table.from_pylist(given).to_batches()))
+    expected = [row for part in expected for row in part.to_pylist()]
+
+    def refuse(_):
+        raise AssertionError("read page by page")
+
+    monkeypatch.setattr(pages, "parse", refuse)
+    found = pages._roster_job(schema)(iter(pa.Table.from_pylist(given).to_batches()))
+    assert [row for part in found for row in part.to_pylist()] == expected
+    assert [row["page_id"] for row in expected] == ["d1", "d1", "d2", "d2"]
